@@ -40,3 +40,31 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     if not hashes:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate(hashes), np.concatenate(ids)
+
+
+TO_OWNERS = "target int, ids binary, values binary"
+
+
+def to_owners(ids: np.ndarray, values: np.ndarray, targets: int) -> pa.Table:
+    """One row of packed ids and values for each target of the ids' owners."""
+    t = bucket_of((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), targets)
+    order = np.argsort(t, kind="stable")
+    t, ids, values = t[order], ids[order], values[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1, [len(t)]]) if len(t) else np.zeros(1, dtype=int)
+    runs = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return pa.table({"target": pa.array(t[cuts[:-1]], pa.int32()), "ids": pa.array([ids[a:b].tobytes() for a, b in runs], pa.binary()), "values": pa.array([values[a:b].tobytes() for a, b in runs], pa.binary())})
+
+
+def gathered_by_owner(rows, kind: str, value: str):
+    """``doc_id`` and its packed sorted distinct values, one row for each owner; ``rows`` are :data:`TO_OWNERS`."""
+    dtype = np.dtype(kind)
+
+    def gather(t: pa.Table) -> pa.Table:
+        ids = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in t["ids"].to_pylist()])
+        values = np.concatenate([np.frombuffer(b, dtype=dtype) for b in t["values"].to_pylist()])
+        order = np.lexsort((values, ids))
+        ids, values = ids[order], values[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]]) if len(ids) else np.zeros(1, dtype=int)
+        return pa.table({"doc_id": pa.array(ids[cuts[:-1]], pa.int64()), value: pa.array([np.unique(values[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+    return rows.groupBy("target").applyInArrow(gather, f"doc_id long, {value} binary")

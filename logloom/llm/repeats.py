@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.jaccard import classes_of, only_representatives
-from logloom.llm.packed_rows import PACKED, bucket_of, pack, unpack
+from logloom.llm.packed_rows import PACKED, TO_OWNERS, bucket_of, gathered_by_owner, pack, to_owners, unpack
 from logloom.llm.shared import documents, stored, text_or_empty
 from logloom.llm.wordhash import mix, rolling_phrase_hashes, text_chunks, words_of
 
@@ -112,16 +112,11 @@ def _recurring(docs: DataFrame, buckets: int) -> DataFrame:
         h, i = h[order], i[order]
         same = h[1:] == h[:-1]
         twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        h, i = h[twice], i[twice]
-        order = np.lexsort((h, i))
-        h, i = h[order], i[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]]) if len(i) else np.zeros(1, dtype=int)
-        return pa.table({"doc_id": pa.array(i[cuts[:-1]], pa.int64()), "hashes": pa.array([np.unique(h[lo:hi]).tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        return to_owners(i[twice], h[twice], buckets)
 
     sent = docs.mapInArrow(run, PACKED)
-    each = sent.groupBy("bucket").applyInArrow(meet, "doc_id long, hashes binary")
-    # A document has one row a bucket at most.
-    return each.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    # Rows of bytes to the documents' owners, so their number follows the tasks and not documents times buckets.
+    return gathered_by_owner(sent.groupBy("bucket").applyInArrow(meet, TO_OWNERS), "uint64", "hashes")
 
 
 def _words(w, a: int, b: int) -> bytes:
@@ -202,7 +197,7 @@ def _covered(docs: DataFrame, buckets: int) -> DataFrame:
             shard = Shard()
             ids, known = batch.column(0).to_numpy(), batch.column(2)
             for row, w, a, b in _texts_with_windows(batch.column(1)):
-                shard.add(int(ids[row]), w, a, b, np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in known[row].as_py()]))
+                shard.add(int(ids[row]), w, a, b, np.frombuffer(known[row].as_py(), dtype=np.uint64))
                 if shard.words >= SHARD_WORDS:
                     rows = list(send(shard))
                     if rows:
@@ -221,15 +216,10 @@ def _covered(docs: DataFrame, buckets: int) -> DataFrame:
         first = np.concatenate([[True], h[1:] != h[:-1]])
         least = np.flatnonzero(first)[np.cumsum(first) - 1]
         later = (i != i[least]) | (s != s[least])
-        i, s = i[later], s[later]
-        order = np.lexsort((s, i))
-        i, s = i[order], s[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]]) if len(i) else np.zeros(1, dtype=int)
-        return pa.table({"doc_id": pa.array(i[cuts[:-1]], pa.int64()), "starts": pa.array([s[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+        return to_owners(i[later], s[later], buckets)
 
     sent = docs.select("doc_id", "text", "hashes").mapInArrow(run, "bucket int, hashes binary, ids binary, starts binary")
-    each = sent.groupBy("bucket").applyInArrow(meet, "doc_id long, starts binary")
-    return each.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    return gathered_by_owner(sent.groupBy("bucket").applyInArrow(meet, TO_OWNERS), "uint32", "starts")
 
 
 def _kept(docs: DataFrame) -> DataFrame:
@@ -248,10 +238,9 @@ def _kept(docs: DataFrame) -> DataFrame:
                     if copies[lo + i] and n >= WINDOW:
                         gone[:] = 1
                     else:
-                        for blob in starts[lo + i].as_py() or ():
-                            s = np.frombuffer(blob, dtype=np.uint32)
-                            np.add.at(gone, s, 1)
-                            np.add.at(gone, np.minimum(s + WINDOW, n), -1)
+                        s = np.frombuffer(starts[lo + i].as_py() or b"", dtype=np.uint32)
+                        gone[s] += 1
+                        gone[s + WINDOW] -= 1
                         gone = np.cumsum(gone)
                     stay = np.flatnonzero(gone[:n] <= 0)
                     n_words.append(n)

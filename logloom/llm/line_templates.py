@@ -10,8 +10,8 @@ tokens, the next ``LEAD`` levels are the leading tokens, with variable fields
   leaf's lines is constant, others are variable. Lines that agree with at least
   ``ALIKE`` of all positions as constants share the leaf's template, too.
 
-A template of at least ``MIN_TOKENS`` tokens found in at least ``MIN_DOCS``
-documents recurs: its lines are dropped everywhere but in the document with the
+A template of at least ``MIN_TOKENS`` tokens, at most half of them variable, that
+is found in at least ``MIN_DOCS`` documents recurs: its lines are dropped everywhere but in the document with the
 smallest id, so what the corpus says stays in it once. Shorter lines are left
 alone, as any prose repeats them by chance.
 
@@ -56,7 +56,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     """``doc, row, pos, line`` with the generalised line; lines of too few tokens are left out."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), _row_key().alias("row"), "text").where("text is not null")
     lines = base.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= 2 * MIN_TOKENS - 1)
-    return lines.select("doc", "row", "pos", generalised(F.col("line")).alias("line")).withColumn("size", F.length("line") - F.length(F.translate("line", " ", "")) + 1).where(F.col("size") >= MIN_TOKENS)
+    sized = lines.select("doc", "row", "pos", generalised(F.col("line")).alias("line")).withColumn("size", F.length("line") - F.length(F.translate("line", " ", "")) + 1)
+    # A line of little else than variable fields, such as a row of numbers, says nothing when generalised.
+    fixed = F.col("size") - F.regexp_count("line", F.lit(r"<\*>"))
+    return sized.where((F.col("size") >= MIN_TOKENS) & (fixed >= MIN_TOKENS - 1) & (2 * fixed >= F.col("size")))
 
 
 def _leaf() -> Column:

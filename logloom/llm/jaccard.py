@@ -8,22 +8,24 @@ The join gives the components of the link graph, not all pairs of copies.
    pivot separates them, so regions start from what a close pair must share. A
    size class fixes how many shingles two linked sets can differ in; the hash
    range is cut into more groups than that, so by pigeonhole a linked pair agrees
-   wholly on some group (on a group that is not empty, unless both sets have many
-   empty ones, and then those count). Sets that agree on a group are chained to
-   the group's smallest id, and the components of these chains are the coarse
-   regions: no link crosses two of them.
+   wholly on a known number of groups. Pairs that agree on that many join one
+   region; the components of these pairs are the coarse regions, and no link
+   crosses two of them. Shingles found in many documents are left out of the
+   groups (the bound on the difference holds without them, too), so a common
+   passage fills no group. Sets with too few other shingles for a group to tell
+   anything go, by size class, to one region.
 3. *Voronoi regions.* A region of more than ``REGION`` sets gets pivots. Every
    set goes to the cell of its nearest pivot, and by the triangle inequality
    also to each cell whose pivot is at most ``2 * radius`` further away, so every
    linked pair meets in a cell. Sets linked to a pivot are linked right there;
    they go on only if a set not linked to it lies within the window
-   ``|d(x, p) - d(y, p)| <= radius``. Cells are regions again and recurse.
+   ``|d(x, p) - d(y, p)| <= radius``. Cells are regions again and recurse. A
+   region whose cells together would cost more than itself is not divided.
 4. *Small regions* are joined exactly, one matrix product for each. Regions that
-   pivots no longer divide are joined in tiles, pair by pair of tiles.
+   pivots do not divide are joined in tiles, pair by pair of tiles.
 
-Hot shingles cost nothing special: a passage that many documents share fills a
-group only of documents that are little else. Groups of copies are reduced to
-classes first; map tasks reduce each group to one id before the shuffle.
+Groups of copies are reduced to classes first. A group of more than ``BLOCK``
+sets is chained to its smallest id instead of giving all its pairs.
 
 Shingles are compared by 64-bit hashes: within a pair of sets a false match has
 a chance below 1e-12. Nulls: null text is empty, an empty set is linked with
@@ -40,13 +42,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.linked import components
-from logloom.llm.packed_rows import PACKED, pack, unpack
+from logloom.llm.packed_rows import bucket_of
 from logloom.llm.shared import documents, stored, text_or_empty
 from logloom.llm.wordhash import mix, phrase_hashes, text_chunks, words_of
 
-REGION = 400
-PIVOTS = 16
+REGION = 1000
+PIVOTS = 12
 ROUNDS = 3
+#: A shingle met more often, as far as batches with two of it show, is left out of groups; at most HOT_SHINGLES of them.
+HOT = 40
+HOT_SHINGLES = 1_000_000
+#: Pairs are listed for groups of up to so many sets.
+BLOCK = 48
 #: So many ids (about 40 bytes each) may go to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 BIN_SETS = 1500
@@ -90,43 +97,68 @@ class Threshold:
     def size_class(self, n: int) -> int:
         return int(np.searchsorted(self.edges_array, n, side="right")) - 1
 
-    def groups(self, c: int) -> tuple[int, int]:
-        """Groups of size class ``c`` (of the larger set), and how many agree at least."""
-        largest = self.edges[c + 1] - 1
-        # |x xor y| <= (|x| + |y|) (1 - t) / (1 + t)
-        differ = 2 * largest * (100 - self.percent) // (100 + self.percent)
-        spare = 3 + (differ + 1) // 24
-        return differ + spare, spare
+    def differ(self, both: int) -> int:
+        """Most shingles that two linked sets of ``both`` shingles together differ in: (a + b) (1 - t) / (1 + t)."""
+        return both * (100 - self.percent) // (100 + self.percent)
+
+    def groups(self, c: int) -> int:
+        """Groups of size class ``c`` (of the larger set): more than any pair differs in, by a quarter and 3."""
+        most = self.differ(2 * (self.edges[c + 1] - 1))
+        return most + most // 4 + 3
 
     def linked(self, shared: np.ndarray, union: np.ndarray) -> np.ndarray:
         return 100 * shared >= self.percent * union
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Hashes of the groups of a set, for its own size class and the next."""
-        out = []
+    def signatures(self, s: np.ndarray, hot: np.ndarray):
+        """For the own size class of a set and the next: hashes of its groups, and how many a linked set shares.
+
+        The number counts groups that are not empty; where it would be 0 the set
+        is named by its class alone.
+        """
         own = self.size_class(len(s))
+        rest = s[~_among(s, hot)]
+        high = rest >> np.uint64(32)
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(rest ^ _S1), dtype=np.uint64)])
         for c in (own, own + 1):
-            n, agree = self.groups(c)
-            at = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+            n = self.groups(c)
+            at = (high * np.uint64(n)) >> np.uint64(32)
             cut = np.searchsorted(at, np.arange(n + 1, dtype=np.uint64))
-            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(s ^ _S1), dtype=np.uint64)])
             held = cut[1:] > cut[:-1]
-            name = np.arange(n, dtype=np.uint64) | np.uint64(c << 48)
-            sig = mix((total[cut[1:]] - total[cut[:-1]]) + mix(name))
-            out.append(sig[held] if int((~held).sum()) < agree else sig)
-        return np.concatenate(out)
+            partner = min(self.edges[c + 1] - 1, len(s) * 100 // self.percent)
+            need = n - self.differ(len(s) + partner) - int((~held).sum())
+            if need < 1:
+                yield np.array([c], dtype=np.uint64), 0
+            else:
+                name = np.arange(n, dtype=np.uint64) | np.uint64(c << 48)
+                yield mix((total[cut[1:]] - total[cut[:-1]]) + mix(name))[held], need
+
+
+def _among(s: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(s), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_values, s), len(sorted_values) - 1)
+    return sorted_values[at] == s
 
 
 def _members(docs: DataFrame, k: int) -> DataFrame:
+    """Rows of documents, and rows without ``n`` that count (``d2``) the shingles (``d1``) met twice or more in a batch."""
+    names = ["doc_id", "n", "d1", "d2"]
+    batch_of = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
     def run(batches):
         for batch in batches:
-            n, d1, d2 = [], [], []
+            n, digests, seen, distinct = [], [], [], set()
             for _, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
-                a, b = _digests(s)
-                d1.append(a)
-                d2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["doc_id", "n", "d1", "d2"])
+                digests.append(_digests(s))
+                if digests[-1] not in distinct:  # copies count once
+                    distinct.add(digests[-1])
+                    seen.append(s)
+            yield batch_of(batch.column(0), n, [d[0] for d in digests], [d[1] for d in digests])
+            values, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            often = counts > 1
+            m = int(often.sum())
+            yield batch_of([None] * m, [None] * m, values[often].view(np.int64), counts[often])
 
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
@@ -146,58 +178,87 @@ def only_representatives(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(others) if few else others.hint("merge"), "doc_id", "left_anti")
 
 
-def _stars(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every hash its least id, and pairs ``(id, least id)`` of the others."""
-    order = np.lexsort((ids, hashes))
-    hashes, ids = hashes[order], ids[order]
-    first = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, dtype=bool)
-    least = ids[first][np.cumsum(first) - 1] if len(hashes) else ids
-    other = ids != least
-    pairs = np.unique(np.stack([ids[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), dtype=np.int64)
-    return hashes[first], ids[first], pairs[:, 0], pairs[:, 1]
+_SENT = "bucket int, hashes binary, ids binary, needs binary"
 
 
-_EDGE_MARK = np.int32(-1)
+def _candidate_pairs(docs: DataFrame, k: int, threshold: Threshold, hot, buckets: int) -> DataFrame:
+    """``a, b``: pairs that agree on as many groups as a linked pair must, and chains of groups too large to list."""
+    names = ["bucket", "hashes", "ids", "needs"]
 
-
-def _candidate_edges(docs: DataFrame, k: int, threshold: Threshold, buckets: int) -> DataFrame:
-    """``a, b``: chains of the sets that agree on a group."""
+    def packed_rows(bucket, *columns):
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [c[order] for c in columns]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        runs = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), *(pa.array([c[x:y].tobytes() for x, y in runs], pa.binary()) for c in columns)], names)
 
     def run(batches):
         for batch in batches:
-            ids, hashes, owners = batch.column(0).to_numpy(), [], []
+            ids, hashes, owners, needs, vague = batch.column(0).to_numpy(), [], [], [], {}
+            chained = []
             for row, s in shingle_sets(batch.column(1), k):
-                if len(s):
-                    sig = threshold.signatures(s)
-                    hashes.append(sig)
-                    owners.append(np.full(len(sig), ids[row]))
-            if not hashes:
-                continue
-            h, i, a, b = _stars(np.concatenate(hashes), np.concatenate(owners))
-            yield pack(h, i, buckets)
-            if len(a):  # pairs found inside the batch travel along
-                spread = (mix(a.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(spread, kind="stable")
-                spread, a, b = spread[order], a[order], b[order]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(spread)) + 1, [len(a)]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread[cuts[:-1]], pa.int32()), pa.array([None] * (len(cuts) - 1), pa.int64()), pa.array([a[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array([b[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
-                    ["bucket", "base", "hashes", "ids"],
-                )
+                if not len(s):
+                    continue
+                for sig, need in threshold.signatures(s, hot.value):
+                    if need:
+                        hashes.append(sig)
+                        owners.append(np.full(len(sig), ids[row]))
+                        needs.append(np.full(len(sig), min(need, 65_534), dtype=np.uint16))
+                    else:  # only the batch's first of a class is sent, the others are chained to it
+                        first = vague.setdefault(int(sig[0]), int(ids[row]))
+                        chained.append((int(ids[row]), first))
+            if vague:
+                hashes.append(mix(np.fromiter(vague, dtype=np.uint64, count=len(vague))))
+                owners.append(np.fromiter(vague.values(), dtype=np.int64, count=len(vague)))
+                needs.append(np.zeros(len(vague), dtype=np.uint16))
+            if hashes:
+                h = np.concatenate(hashes)
+                yield packed_rows(bucket_of(h, buckets), h, np.concatenate(owners), np.concatenate(needs))
+            if chained:
+                pairs = np.array(chained, dtype=np.int64)
+                yield packed_rows((mix(pairs[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), pairs[:, 0], pairs[:, 1], np.full(len(pairs), 65_535, dtype=np.uint16))
 
     def meet(t: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        local = t.filter(pc.is_null(t["base"]))
-        h, i = unpack(t.filter(pc.is_valid(t["base"])))
-        _, _, a, b = _stars(h, i)
-        a = np.concatenate([a, *(np.frombuffer(x, dtype=np.int64) for x in local["hashes"].to_pylist())])
-        b = np.concatenate([b, *(np.frombuffer(x, dtype=np.int64) for x in local["ids"].to_pylist())])
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    sent = docs.mapInArrow(run, PACKED)
-    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+        out = []
+        h, i, need = [], [], []
+        for x, y, z in zip(t["hashes"].to_pylist(), t["ids"].to_pylist(), t["needs"].to_pylist(), strict=True):
+            z = np.frombuffer(z, dtype=np.uint16)
+            if len(z) and (z == 65_535).all():  # a chain of a batch
+                out.append((np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)))
+            else:
+                h.append(np.frombuffer(x, dtype=np.uint64))
+                i.append(np.frombuffer(y, dtype=np.int64))
+                need.append(z)
+        a = [np.stack([x, y, np.ones(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)]) for x, y in out]
+        if h:
+            h, i, need = np.concatenate(h), np.concatenate(i), np.concatenate(need).astype(np.int64)
+            order = np.lexsort((i, h))
+            h, i, need = h[order], i[order], need[order]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.append(start, len(h)))
+            place = np.arange(len(h)) - np.repeat(start, size)
+            lead, wide = np.repeat(start, size), np.repeat(size, size)
+            # Chains: large groups, and sets named by their class alone.
+            star = (place > 0) & ((wide > BLOCK) | (need[lead] == 0))
+            a.append(np.stack([i[star], i[lead[star]], np.ones(int(star.sum()), dtype=np.int64), np.zeros(int(star.sum()), dtype=np.int64)]))
+            listed = (wide <= BLOCK) & (wide > 1) & (need[lead] > 0)
+            for step in range(1, BLOCK):
+                at = np.flatnonzero(listed & (place + step < wide))
+                if not len(at):
+                    break
+                a.append(np.stack([i[at + step], i[at], np.ones(len(at), dtype=np.int64), np.maximum(need[at], need[at + step])]))
+        pairs = np.concatenate(a, axis=1) if a else np.zeros((4, 0), dtype=np.int64)
+        pairs = pairs[:, pairs[0] != pairs[1]]
+        # Counts of a bucket are summed up before they move.
+        order = np.lexsort((pairs[3], pairs[1], pairs[0]))
+        pairs = pairs[:, order]
+        first = np.concatenate([[True], (np.diff(pairs[:2], axis=1) != 0).any(axis=0) | (np.diff(pairs[3]) != 0)]) if pairs.shape[1] else np.zeros(0, dtype=bool)
+        n = np.diff(np.append(np.flatnonzero(first), pairs.shape[1]))
+        return pa.table({"a": pa.array(pairs[0][first]), "b": pa.array(pairs[1][first]), "need": pa.array(pairs[3][first]), "n": pa.array(n.astype(np.int64))})
+
+    sent = docs.mapInArrow(run, _SENT)
+    met = sent.groupBy("bucket").applyInArrow(meet, "a long, b long, need long, n long")
+    return met.groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need").select("a", "b").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -283,7 +344,7 @@ def _small_regions(sets: DataFrame, threshold: Threshold, bins: int) -> DataFram
     return binned.groupBy("bin").applyInArrow(join, "node long, label long")
 
 
-_CELL = "kind string, region long, id long, other long, apart double, set binary"
+_CELL = "kind string, region long, id long, other long, apart double, linked boolean"
 
 
 def _voronoi(sets: DataFrame, sizes: DataFrame, threshold: Threshold, turn: int) -> DataFrame:
@@ -295,33 +356,28 @@ def _voronoi(sets: DataFrame, sizes: DataFrame, threshold: Threshold, turn: int)
     # Pivots: those with the least hash. A task keeps its least ones before any row moves.
     rank = F.row_number().over(Window.partitionBy("region").orderBy("h", "id"))
     chosen = tiled.select("region", "id", F.xxhash64("id", F.lit(turn)).alias("h")).withColumn("r", rank).where(F.col("r") <= PIVOTS).select("region", "id")
-    pivots = tiled.join(F.broadcast(chosen), ["region", "id"]).select("region", "id", "set", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    pivots = tiled.join(F.broadcast(chosen), ["region", "id"]).select(F.col("region").alias("p_region"), F.col("id").alias("p_id"), F.col("set").alias("p_set"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("p_tile"))
     placed = tiled.select("region", "id", "set", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"))
     window = 2 * threshold.radius + 1e-9
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = {c: [] for c in ("kind", "region", "id", "other", "apart", "set")}
+        parts = []
         if left.num_rows and right.num_rows:
-            blobs, x, p = left["set"].to_pylist(), _as_sets(left["set"]), _as_sets(right["set"])
-            ids, pivot = left["id"].to_numpy(), right["id"].to_numpy()
-            region = left["region"][0].as_py()
+            x, p = _as_sets(left["set"]), _as_sets(right["p_set"])
+            ids, pivot = left["id"].to_numpy(), right["p_id"].to_numpy()
             shared = shared_counts(x, p)
             union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in p])[None, :] - shared
             linked, apart = threshold.linked(shared, union), 1 - shared / union
-            near = apart <= apart.min(axis=1, keepdims=True) + window
-            is_pivot = np.isin(ids, pivot)
-            for i in range(len(ids)):
-                for j in np.flatnonzero(linked[i] & (pivot != ids[i])):
-                    for c, v in zip(columns, ("link", region, ids[i], pivot[j], apart[i, j], None), strict=True):
-                        columns[c].append(v)
-                if not is_pivot[i]:  # all links of a pivot are known now
-                    for j in np.flatnonzero(near[i]):
-                        for c, v in zip(columns, ("cell", region, ids[i], pivot[j], -1.0 - apart[i, j] if linked[i, j] else apart[i, j], blobs[i]), strict=True):
-                            columns[c].append(v)
-        kinds = {"kind": pa.string(), "region": pa.int64(), "id": pa.int64(), "other": pa.int64(), "apart": pa.float64(), "set": pa.binary()}
-        return pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()})
-
-    return placed.groupBy("region", "tile").cogroup(pivots.groupBy("region", "tile")).applyInArrow(meet, _CELL)
+            near = (apart <= apart.min(axis=1, keepdims=True) + window) & ~np.isin(ids, pivot)[:, None]  # all links of a pivot are known
+            for kind, chosen in (("link", linked & (ids[:, None] != pivot[None, :])), ("cell", near)):
+                i, j = np.nonzero(chosen)
+                parts.append((kind, ids[i], pivot[j], apart[i, j], linked[i, j]))
+        region = left["region"][0].as_py() if left.num_rows else 0
+        join = lambda at, kind: np.concatenate([q[at] for q in parts]) if parts else np.zeros(0, dtype=kind)
+        kinds = [q[0] for q in parts for _ in range(len(q[1]))]
+        return pa.table({"kind": pa.array(kinds, pa.string()), "region": pa.array([region] * len(kinds), pa.int64()), "id": pa.array(join(1, np.int64), pa.int64()), "other": pa.array(join(2, np.int64), pa.int64()), "apart": pa.array(join(3, np.float64), pa.float64()), "linked": pa.array(join(4, bool), pa.bool_())})
+
+    return placed.groupBy("region", "tile").cogroup(pivots.groupBy("p_region", "p_tile")).applyInArrow(meet, _CELL)
 
 
 def _tiled(sets: DataFrame, sizes: DataFrame, threshold: Threshold) -> DataFrame:
@@ -358,14 +414,20 @@ def _large_regions(sets: DataFrame, threshold: Threshold) -> DataFrame:
             break
         level = stored(_voronoi(sets, sizes, threshold, turn), "level")
         links = links.unionByName(level.where("kind = 'link'").select(F.col("id").alias("a"), F.col("other").alias("b")))
-        cells = level.where("kind = 'cell'").withColumn("linked", F.col("apart") < 0).withColumn("apart", F.when(F.col("apart") < 0, -1 - F.col("apart")).otherwise(F.col("apart")))
+        cells = level.where("kind = 'cell'")
         open_ = cells.groupBy("region", "other").agg(F.min(F.when(~F.col("linked"), F.col("apart"))).alias("nearest")).where("nearest is not null")
-        going = cells.join(open_, ["region", "other"]).where(~F.col("linked") | (F.col("apart") >= F.col("nearest") - radius))
-        following = stored(going.select(F.xxhash64("region", "other").alias("region"), "id", "set"), "cells")
-        size = following.groupBy("region").agg(F.count("*").alias("size"))
-        done = following.join(size.where(F.col("size") <= REGION), "region", "left_semi")
-        links = links.unionByName(_tiled(done, size.where(F.col("size") <= REGION), threshold))
-        sets = stored(following.join(size.where(F.col("size") > REGION), "region", "left_semi"), "open")
+        going = stored(cells.join(open_, ["region", "other"]).where(~F.col("linked") | (F.col("apart") >= F.col("nearest") - radius)).select("region", "other", "id"), "going")
+        cost = going.groupBy("region", "other").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum(F.col("n") * F.col("n")).alias("cost"))
+        # Divided where all cells together are well below the region; else the region is joined in tiles.
+        worth = stored(sizes.join(cost, "region", "left").select("region", "size", (F.coalesce("cost", F.lit(0)) * 2 <= F.col("size") * F.col("size")).alias("divide")), "worth")
+        whole = worth.where("not divide")
+        links = links.unionByName(_tiled(sets.join(whole.select("region"), "region", "left_semi"), whole.select("region", "size"), threshold))
+        moved = going.join(worth.where("divide").select("region"), "region", "left_semi").join(sets, ["region", "id"])
+        following = stored(moved.select(F.xxhash64("region", "other").alias("region"), "id", "set"), "cells")
+        size = stored(following.groupBy("region").agg(F.count("*").alias("size")), "sizes")
+        small = size.where(F.col("size") <= REGION)
+        links = links.unionByName(_tiled(following.join(small.select("region"), "region", "left_semi"), small, threshold))
+        sets = following.join(size.where(F.col("size") > REGION).select("region"), "region", "left_semi")
     rest = sets.groupBy("region").agg(F.count("*").alias("size"))
     return components(links.unionByName(_tiled(sets, rest, threshold)))
 
@@ -374,14 +436,18 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``)."""
     threshold = Threshold(percent)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    members = stored(_members(plain, k), "members")
+    counted = stored(_members(plain, k), "members")
+    members = counted.where("n is not null")
     sound = members.where("n > 0 and doc_id is not null")
+    often = counted.where("n is null").groupBy("d1").agg(F.sum("d2").alias("df")).where(F.col("df") >= HOT)
+    values = often.orderBy(F.desc("df"), "d1").limit(HOT_SHINGLES).select("d1").toPandas()["d1"]  # a bounded list, 8 bytes each
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(values.to_numpy(dtype=np.int64).view(np.uint64)))
     classes = stored(classes_of(sound, ["n", "d1", "d2"]), "classes")
     reps = only_representatives(plain.where("doc_id is not null"), classes)
     total = sound.agg(F.sum("n")).collect()[0][0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, total // 2_000_000)
-    families = stored(components(_candidate_edges(reps, k, threshold, buckets)), "families")
+    families = stored(components(_candidate_pairs(reps, k, threshold, hot, buckets)), "families")
     sizes = stored(families.groupBy("label").agg(F.count("*").alias("size")), "sizes")
     large = sizes.where(F.col("size") > REGION).select(F.col("label").alias("region"))
     wanted = families.select(F.col("node").alias("doc_id"), F.col("label").alias("region"))

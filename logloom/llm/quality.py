@@ -147,5 +147,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     stats = statistics(text_or_empty())
     names = {n: f"_ll_{n}" for n in stats}
-    rows = docs.withColumns({names[n]: c for n, c in stats.items()})
-    return rows.where(model.score([names[n] for n in NAMES]) >= THRESHOLD).select(*docs.columns)
+    # A filter is not moved below a projection that numbers rows, so each statistic is computed once a row.
+    rows = docs.withColumns({names[n]: c for n, c in stats.items()} | {"_ll_at": F.monotonically_increasing_id()})
+    good = (model.score([names[n] for n in NAMES]) >= THRESHOLD) & (F.col("_ll_at") >= 0)
+    return rows.where(good).select(*docs.columns)

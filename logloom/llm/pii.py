@@ -213,6 +213,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     disclosing = disclosing_terms(docs, base)
     beside = base.where("doc_id is not null").select("doc_id", F.explode("terms").alias("t")).select("doc_id", F.col("t.term").alias("term"), F.col("t.kind").alias("kind"), "t.start", "t.stop")
     extra = beside.join(disclosing, ["term", "kind"], "left_semi").groupBy(F.col("doc_id").alias("_ll_doc")).agg(F.array_join(F.collect_set(F.concat(F.lit("term:"), "start", F.lit(":"), "stop")), ",").alias("_ll_terms"))
+    extra = stored(extra, "extra")
+    few = extra.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     schema = docs.schema
 
     def run(batches):
@@ -231,4 +233,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
                 table = table.set_column(i, "n_chars", n)
             yield from table.to_batches()
 
-    return docs.join(extra, docs["doc_id"] == extra["_ll_doc"], "left").drop("_ll_doc").mapInArrow(run, schema)
+    return docs.join(F.broadcast(extra) if few else extra.hint("merge"), docs["doc_id"] == extra["_ll_doc"], "left").drop("_ll_doc").mapInArrow(run, schema)

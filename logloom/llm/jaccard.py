@@ -352,11 +352,13 @@ def _voronoi(sets: DataFrame, sizes: DataFrame, threshold: Threshold, turn: int)
     from pyspark.sql.window import Window
 
     tiles = sizes.select("region", F.ceil(F.col("size") / REGION).cast("int").alias("tiles"))
-    tiled = sets.join(F.broadcast(tiles), "region")  # one row for each region beyond REGION sets
+    few = sizes.limit(BROADCAST_IDS // PIVOTS + 1).count() <= BROADCAST_IDS // PIVOTS  # one row for each region beyond REGION sets
+    sent = F.broadcast if few else (lambda df: df)
+    tiled = sets.join(sent(tiles), "region")
     # Pivots: those with the least hash. A task keeps its least ones before any row moves.
     rank = F.row_number().over(Window.partitionBy("region").orderBy("h", "id"))
     chosen = tiled.select("region", "id", F.xxhash64("id", F.lit(turn)).alias("h")).withColumn("r", rank).where(F.col("r") <= PIVOTS).select("region", "id")
-    pivots = tiled.join(F.broadcast(chosen), ["region", "id"]).select(F.col("region").alias("p_region"), F.col("id").alias("p_id"), F.col("set").alias("p_set"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("p_tile"))
+    pivots = tiled.join(sent(chosen), ["region", "id"]).select(F.col("region").alias("p_region"), F.col("id").alias("p_id"), F.col("set").alias("p_set"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("p_tile"))
     placed = tiled.select("region", "id", "set", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"))
     window = 2 * threshold.radius + 1e-9
 

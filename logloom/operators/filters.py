@@ -51,6 +51,10 @@ def dedupe_consecutive(events: DataFrame, order: tuple[str, ...] = ("seq",)) ->
     return events.where("source != 'bash_history'").unionByName(kept)
 
 
+#: Windows in a slice of time.
+SLICE_WINDOWS = 1024
+
+
 def _accepted(times: np.ndarray, last: int | None, window: int) -> tuple[np.ndarray, int | None]:
     """Places that a greedy limiter accepts in sorted ``times``, and the last accepted time; one jump for each."""
     keep, i = [], 0 if last is None else int(np.searchsorted(times, last + window, side="left"))
@@ -61,40 +65,102 @@ def _accepted(times: np.ndarray, last: int | None, window: int) -> tuple[np.ndar
     return np.array(keep, dtype=np.int64), last
 
 
+def _ways_through(times: np.ndarray, start: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(upto, out)`` of a slice: entering with a next allowed time of at most ``upto``, the last accepted time is ``out``.
+
+    Every event of the slice's first window, and the first one after it, may be
+    the first accepted; following the jumps from all of them at once gives where
+    each way ends. Ways join soon, so few rows are left.
+    """
+    n = len(times)
+    jump = np.searchsorted(times, times + window, side="left")
+    jump = np.where(jump < n, jump, np.arange(n))
+    while True:
+        further = jump[jump]
+        if (further == jump).all():
+            break
+        jump = further
+    first = min(n, int(np.searchsorted(times, start + window, side="left")) + 1)
+    out = times[jump[:first]]
+    last_of_run = np.append(out[1:] != out[:-1], True)
+    return times[:first][last_of_run], out[last_of_run]
+
+
+def _runs(batches):
+    """``(key, slice, rows)`` for each run of equal keys and slices of a batch."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        keys = t["_key"].combine_chunks().dictionary_encode()
+        codes, slices = keys.indices.to_numpy(), t["_slice"].to_numpy()
+        change = np.flatnonzero((np.diff(codes) != 0) | (np.diff(slices) != 0)) + 1 if len(codes) else np.zeros(0, dtype=int)
+        cuts = np.concatenate([[0], change, [len(codes)]])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                yield keys.dictionary[int(codes[lo])].as_py(), int(slices[lo]), t.slice(lo, hi - lo)
+
+
 def rate_limit(events: DataFrame, window_sec: int) -> DataFrame:
     """Of each rate key, events at least ``window_sec`` after the last accepted one; ties go by ``seq``.
 
-    One shuffle by rate key, sorted inside partitions and streamed: a task holds
-    one batch and the last accepted time, however long a key's run is. A row
-    that follows its predecessor by the window or more is accepted without any
-    look at what came before, so keys with sparse events cost nothing more.
+    The rule is greedy, so what a time slice accepts depends on the last accepted
+    time before it, and on nothing else. Events are dealt by key *and* slice, so a
+    noisy key spreads over many tasks: first each slice tells, for every way to
+    enter it, the time it leaves behind; these few rows are followed slice by slice
+    of a key; then each slice accepts its events with the time it was entered with.
     """
     if window_sec <= 0:
         return events
     window, schema = window_sec * 1_000_000, events.schema
-    keyed = events.withColumns({"_key": F.to_json(F.array(*[F.coalesce(F.col(k), F.lit("")) for k in RATE_KEY])), "_us": F.unix_micros("event_time")})
-
-    def run(batches):
+    width = window * SLICE_WINDOWS
+    us = F.unix_micros("event_time")
+    keyed = events.withColumns({"_key": F.to_json(F.array(*[F.coalesce(F.col(k), F.lit("")) for k in RATE_KEY])), "_us": us, "_slice": F.floor(us / width).cast("long")})
+
+    def ways(batches):
+        held: list[np.ndarray] = []
+        current = None
+
+        def told():
+            upto, out = _ways_through(np.concatenate(held), current[1] * width, window)
+            return pa.RecordBatch.from_arrays([pa.array([current[0]] * len(upto), pa.string()), pa.array([current[1]] * len(upto), pa.int64()), pa.array(upto, pa.int64()), pa.array(out, pa.int64())], ["_key", "_slice", "upto", "out"])
+
+        for key, at, t in _runs(batches):
+            if (key, at) != current:
+                if current:
+                    yield told()
+                current, held = (key, at), []
+            held.append(t["_us"].to_numpy())
+        if current:
+            yield told()
+
+    def follow(batches):
+        key, last, at, entered, done = None, None, None, None, False
+        for k, s, t in _runs(batches):
+            if k != key:
+                key, last, at = k, None, None
+            if s != at:
+                at, entered, done = s, last, False
+            if not done:
+                upto, out = t["upto"].to_numpy(), t["out"].to_numpy()
+                i = 0 if entered is None else int(np.searchsorted(upto, entered + window, side="left"))
+                if i < len(upto):
+                    last, done = int(out[i]), True
+            if entered is not None and entered + window > s * width:
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.string()), pa.array([s], pa.int64()), pa.array([entered], pa.int64())], ["_key", "_slice", "_entered"])
+
+    def accept(batches):
         current, last = None, None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            keys = t["_key"].combine_chunks().dictionary_encode()
-            codes = keys.indices.to_numpy()
-            names = keys.dictionary
-            times = t["_us"].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]]) if len(codes) else np.zeros(1, dtype=int)
-            keep = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                name = names[int(codes[lo])].as_py()
-                if name != current:
-                    current, last = name, None
-                at, last = _accepted(times[lo:hi], last, window)
-                keep.append(at + lo)
-            chosen = np.concatenate(keep) if keep else np.zeros(0, dtype=np.int64)
-            yield from t.drop_columns(["_key", "_us"]).take(pa.array(chosen)).to_batches()
-
-    dealt = keyed.repartition("_key").sortWithinPartitions("_key", "_us", "seq")
-    return dealt.mapInArrow(run, schema)
+        for key, at, t in _runs(batches):
+            if (key, at) != current:
+                current, last = (key, at), t["_entered"][0].as_py()
+            keep, last = _accepted(t["_us"].to_numpy(), last, window)
+            if len(keep):
+                yield from t.drop_columns(["_key", "_us", "_slice", "_entered"]).take(pa.array(keep)).to_batches()
+
+    order = ("_key", "_slice", "_us")
+    told = keyed.select(*order).repartition("_key", "_slice").sortWithinPartitions(*order).mapInArrow(ways, "_key string, _slice long, upto long, out long")
+    entered = told.repartition("_key").sortWithinPartitions("_key", "_slice", "upto").mapInArrow(follow, "_key string, _slice long, _entered long").dropDuplicates(["_key", "_slice"])
+    dealt = keyed.join(entered, ["_key", "_slice"], "left").select(*[F.col(c) for c in events.columns], *order, "_entered")
+    return dealt.repartition("_key", "_slice").sortWithinPartitions(*order, "seq").mapInArrow(accept, schema)
 
 
 def filter_events(events: DataFrame, s: FilterSettings) -> DataFrame:

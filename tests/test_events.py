@@ -94,9 +94,11 @@ def test_rate_limit(spark):
     assert [s for (s,) in shown(filters.filter_events(shell(spark, ["a", "keep", "b", "c"], [0, 1, 2, 3]), settings), "seq")] == [0, 1, 3]
 
 
-def test_rate_limit_properties(spark):
+@pytest.mark.parametrize("windows", [1, 2, 1024])
+def test_rate_limit_properties(spark, windows, monkeypatch):
     import random
 
+    monkeypatch.setattr(filters, "SLICE_WINDOWS", windows)
     rng = random.Random(4)
     times = sorted(rng.randrange(0, 400) for _ in range(150))
     kept = [times[s] for (s,) in shown(filters.rate_limit(shell(spark, ["x"] * 150, times), 7), "seq")]

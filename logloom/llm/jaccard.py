@@ -14,13 +14,14 @@ The join gives the components of the link graph, not all pairs of copies.
    groups (the bound on the difference holds without them, too), so a common
    passage fills no group. Sets with too few other shingles for a group to tell
    anything go, by size class, to one region.
-3. *Voronoi regions.* A region of more than ``REGION`` sets gets pivots. Every
-   set goes to the cell of its nearest pivot, and by the triangle inequality
-   also to each cell whose pivot is at most ``2 * radius`` further away, so every
-   linked pair meets in a cell. Sets linked to a pivot are linked right there;
-   they go on only if a set not linked to it lies within the window
-   ``|d(x, p) - d(y, p)| <= radius``. Cells are regions again and recurse. A
-   region whose cells together would cost more than itself is not divided.
+3. *Voronoi regions.* A region of more than ``REGION`` sets gets pivots. Sets
+   within ``BALL`` of a pivot form its cell; by the triangle inequality every set
+   linked to one of them is at most ``BALL + radius`` away and is copied to the cell.
+   Sets in no ball form one more cell, so every linked pair meets in a cell. Sets
+   linked to a pivot are linked right there; they go on only if a set not linked
+   to it lies within the window ``|d(x, p) - d(y, p)| <= radius``. Cells are regions
+   again and recurse. A region whose cells together would cost more than half of
+   itself is not divided.
 4. *Small regions* are joined exactly, one matrix product for each. Regions that
    pivots do not divide are joined in tiles, pair by pair of tiles.
 
@@ -47,13 +48,17 @@ from logloom.llm.shared import documents, stored, text_or_empty
 from logloom.llm.wordhash import mix, phrase_hashes, text_chunks, words_of
 
 REGION = 1000
-PIVOTS = 12
+#: Pivots for each REGION sets of a region, and at most.
+PIVOTS = 8
+MOST_PIVOTS = 512
 ROUNDS = 3
+#: Sets within this distance of a pivot belong to its cell.
+BALL = 0.5
 #: A shingle met more often, as far as batches with two of it show, is left out of groups; at most HOT_SHINGLES of them.
-HOT = 40
+HOT = 16
 HOT_SHINGLES = 1_000_000
 #: Pairs are listed for groups of up to so many sets.
-BLOCK = 48
+BLOCK = 16
 #: So many ids (about 40 bytes each) may go to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 BIN_SETS = 1500
@@ -344,6 +349,8 @@ def _small_regions(sets: DataFrame, threshold: Threshold, bins: int) -> DataFram
     return binned.groupBy("bin").applyInArrow(join, "node long, label long")
 
 
+#: The cell of sets in no ball.
+NOWHERE = np.int64(-(1 << 63))
 _CELL = "kind string, region long, id long, other long, apart double, linked boolean"
 
 
@@ -352,15 +359,15 @@ def _voronoi(sets: DataFrame, sizes: DataFrame, threshold: Threshold, turn: int)
     from pyspark.sql.window import Window
 
     tiles = sizes.select("region", F.ceil(F.col("size") / REGION).cast("int").alias("tiles"))
-    few = sizes.limit(BROADCAST_IDS // PIVOTS + 1).count() <= BROADCAST_IDS // PIVOTS  # one row for each region beyond REGION sets
+    few = sizes.limit(BROADCAST_IDS // MOST_PIVOTS + 1).count() <= BROADCAST_IDS // MOST_PIVOTS  # one row for each region beyond REGION sets
     sent = F.broadcast if few else (lambda df: df)
     tiled = sets.join(sent(tiles), "region")
     # Pivots: those with the least hash. A task keeps its least ones before any row moves.
     rank = F.row_number().over(Window.partitionBy("region").orderBy("h", "id"))
-    chosen = tiled.select("region", "id", F.xxhash64("id", F.lit(turn)).alias("h")).withColumn("r", rank).where(F.col("r") <= PIVOTS).select("region", "id")
+    chosen = tiled.select("region", "id", F.xxhash64("id", F.lit(turn)).alias("h")).withColumn("r", rank).where(F.col("r") <= MOST_PIVOTS).join(sent(tiles), "region").where(F.col("r") <= PIVOTS * F.col("tiles")).select("region", "id")
     pivots = tiled.join(sent(chosen), ["region", "id"]).select(F.col("region").alias("p_region"), F.col("id").alias("p_id"), F.col("set").alias("p_set"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("p_tile"))
     placed = tiled.select("region", "id", "set", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("tile"))
-    window = 2 * threshold.radius + 1e-9
+    reach = BALL + threshold.radius + 1e-9
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
@@ -370,10 +377,12 @@ def _voronoi(sets: DataFrame, sizes: DataFrame, threshold: Threshold, turn: int)
             shared = shared_counts(x, p)
             union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in p])[None, :] - shared
             linked, apart = threshold.linked(shared, union), 1 - shared / union
-            near = (apart <= apart.min(axis=1, keepdims=True) + window) & ~np.isin(ids, pivot)[:, None]  # all links of a pivot are known
-            for kind, chosen in (("link", linked & (ids[:, None] != pivot[None, :])), ("cell", near)):
+            going = ~np.isin(ids, pivot)  # all links of a pivot are known
+            for kind, chosen in (("link", linked & (ids[:, None] != pivot[None, :])), ("cell", (apart <= reach) & going[:, None])):
                 i, j = np.nonzero(chosen)
                 parts.append((kind, ids[i], pivot[j], apart[i, j], linked[i, j]))
+            i = np.flatnonzero((apart.min(axis=1) > BALL) & going)
+            parts.append(("cell", ids[i], np.full(len(i), NOWHERE), np.ones(len(i)), np.zeros(len(i), dtype=bool)))
         region = left["region"][0].as_py() if left.num_rows else 0
         join = lambda at, kind: np.concatenate([q[at] for q in parts]) if parts else np.zeros(0, dtype=kind)
         kinds = [q[0] for q in parts for _ in range(len(q[1]))]

@@ -141,7 +141,7 @@ def components_by_force(rows, k, percent):
     return [(i, len(s), x) for i, (s, x) in enumerate(zip(sets, label, strict=True))]
 
 
-@pytest.mark.parametrize("settings", [{}, {"REGION": 3, "PIVOTS": 2, "HOT": 2, "BLOCK": 2}])
+@pytest.mark.parametrize("settings", [{}, {"REGION": 3, "PIVOTS": 2, "HOT": 2, "BLOCK": 2, "BALL": 0.4}])
 def test_jaccard(docs, empty, rows, settings, monkeypatch):
     from logloom.llm import jaccard
 

@@ -62,6 +62,8 @@ BLOCK = 16
 #: So many ids (about 40 bytes each) may go to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 BIN_SETS = 1500
+#: Groups that a task packs at once.
+SENT_AT_ONCE = 400_000
 
 _S1, _S2 = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
@@ -197,9 +199,14 @@ def _candidate_pairs(docs: DataFrame, k: int, threshold: Threshold, hot, buckets
         runs = list(zip(cuts[:-1], cuts[1:], strict=True))
         return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), *(pa.array([c[x:y].tobytes() for x, y in runs], pa.binary()) for c in columns)], names)
 
+    def sent_rows(hashes, owners, needs):
+        if hashes:
+            h = np.concatenate(hashes)
+            yield packed_rows(bucket_of(h, buckets), h, np.concatenate(owners), np.concatenate(needs))
+
     def run(batches):
         for batch in batches:
-            ids, hashes, owners, needs, vague = batch.column(0).to_numpy(), [], [], [], {}
+            ids, hashes, owners, needs, vague, held = batch.column(0).to_numpy(), [], [], [], {}, 0
             chained = []
             for row, s in shingle_sets(batch.column(1), k):
                 if not len(s):
@@ -209,16 +216,18 @@ def _candidate_pairs(docs: DataFrame, k: int, threshold: Threshold, hot, buckets
                         hashes.append(sig)
                         owners.append(np.full(len(sig), ids[row]))
                         needs.append(np.full(len(sig), min(need, 65_534), dtype=np.uint16))
+                        held += len(sig)
                     else:  # only the batch's first of a class is sent, the others are chained to it
                         first = vague.setdefault(int(sig[0]), int(ids[row]))
                         chained.append((int(ids[row]), first))
+                if held > SENT_AT_ONCE:
+                    yield from sent_rows(hashes, owners, needs)
+                    hashes, owners, needs, held = [], [], [], 0
             if vague:
                 hashes.append(mix(np.fromiter(vague, dtype=np.uint64, count=len(vague))))
                 owners.append(np.fromiter(vague.values(), dtype=np.int64, count=len(vague)))
                 needs.append(np.zeros(len(vague), dtype=np.uint16))
-            if hashes:
-                h = np.concatenate(hashes)
-                yield packed_rows(bucket_of(h, buckets), h, np.concatenate(owners), np.concatenate(needs))
+            yield from sent_rows(hashes, owners, needs)
             if chained:
                 pairs = np.array(chained, dtype=np.int64)
                 yield packed_rows((mix(pairs[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), pairs[:, 0], pairs[:, 1], np.full(len(pairs), 65_535, dtype=np.uint16))

@@ -43,9 +43,14 @@ BROADCAST_LEAVES = 400_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+#: A token with a digit, found from its start in one pass; tokens without one are left at their first digitless run.
+WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+
+
 def generalised(line: Column) -> Column:
-    """Variable fields, tokens that hold a digit, become ``<*>``; blanks are folded."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>"), BLANKS, " "))
+    """Variable fields, tokens that hold a digit, become ``<*>``; blanks are folded. Plain lines are only looked at."""
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, WITH_DIGIT, "<*>")).otherwise(line)
+    return F.btrim(F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(fields, BLANKS, " ")).otherwise(fields))
 
 
 def _row_key() -> Column:
@@ -56,10 +61,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     """``doc, row, pos, line`` with the generalised line; lines of too few tokens are left out."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), _row_key().alias("row"), "text").where("text is not null")
     lines = base.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= 2 * MIN_TOKENS - 1)
-    sized = lines.select("doc", "row", "pos", generalised(F.col("line")).alias("line")).withColumn("size", F.length("line") - F.length(F.translate("line", " ", "")) + 1)
+    # Filters are not moved below a projection that numbers rows, so a line is generalised once.
+    plain = lines.select("doc", "row", "pos", generalised(F.col("line")).alias("line"), F.monotonically_increasing_id().alias("at"))
+    sized = plain.withColumn("size", F.length("line") - F.length(F.translate("line", " ", "")) + 1).where("size >= %d and at >= 0" % MIN_TOKENS).drop("at")
     # A line of little else than variable fields, such as a row of numbers, says nothing when generalised.
-    fixed = F.col("size") - F.regexp_count("line", F.lit(r"<\*>"))
-    return sized.where((F.col("size") >= MIN_TOKENS) & (fixed >= MIN_TOKENS - 1) & (2 * fixed >= F.col("size")))
+    fixed = F.col("size") - F.when(F.contains(F.col("line"), F.lit("<*>")), F.regexp_count("line", F.lit(r"<\*>"))).otherwise(0)
+    return sized.where((fixed >= MIN_TOKENS - 1) & (2 * fixed >= F.col("size")))
 
 
 def _leaf() -> Column:

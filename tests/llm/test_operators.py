@@ -261,6 +261,26 @@ def test_pii_terms(spark, empty):
     assert pii.spans_with_terms(empty).count() == 0 and pii.sanitise(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_pii_terms_of_one_value(spark, monkeypatch, most):
+    """A nickname beside one address only is removed everywhere; neighbours of a value whose document was copied are not."""
+    from logloom.llm import pii
+
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    rng = random.Random(14)
+    some = lambda n: " ".join(words(rng, n, 300))
+    data = [(i, f"{some(40)} Zorro, {'Bob' if i % 2 else 'bob'}@x.org {some(40)}", "", "", 0) for i in range(3)]
+    data += [(10 + i, f"{some(40)} u{i}@y.org {some(40)}", "", "", 0) for i in range(40)]
+    data += [(60 + i, f"{some(5)} chance c@z.org once", "", "", 0) for i in range(1)] * 3
+    data += [(70, "far away (zorro) was seen", "", "", 0), (None, "Zorro again", "", "", 0), (71, some(30), "", "", 0)]
+    docs = spark.createDataFrame(data, DOCS)
+    got = {r["doc_id"]: r["spans"] for r in pii.spans_with_terms(docs).collect()}
+    assert all(got[i].count("term:") == 1 and got[i].count("email:") == 1 for i in range(3)), got
+    assert got[70] == "term:9:16" and got[None] == "term:0:5" and "term:" not in got[60] + got[71] + "".join(got[10 + i] for i in range(40))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert not any("zorro" in clean[i].lower() for i in (0, 1, 2, 70, None)) and "[EMAIL]" in clean[0] and "chance [EMAIL] once" in clean[60] and clean[71] == data[-1][1]
+
+
 # --- repeats --------------------------------------------------------------------------------------------------------
 
 

@@ -10,14 +10,21 @@ tokens, the next ``LEAD`` levels are the leading tokens, with variable fields
   leaf's lines is constant, others are variable. Lines that agree with at least
   ``ALIKE`` of all positions as constants share the leaf's template, too.
 
-A template of at least ``MIN_TOKENS`` tokens, at most half of them variable, that
-is found in at least ``MIN_DOCS`` documents recurs: its lines are dropped everywhere but in the document with the
-smallest id, so what the corpus says stays in it once. Shorter lines are left
-alone, as any prose repeats them by chance.
-
-Counts cover all documents. Lines move as hashes only; a hot template is summed
-up in the map tasks before the shuffle. Texts move once, to the documents that
-lose lines.
+A template that is found in at least ``MIN_DOCS`` documents recurs: its lines are
+dropped everywhere but in the document with the smallest id, so what the corpus
+says stays in it once.
+
+*Slight* lines have fewer than ``MIN_TOKENS`` tokens, fewer than ``MIN_TOKENS - 1``
+fixed ones, or more variable tokens than fixed ones. They are counted like all
+others, but prose repeats them by chance, so they must also be found in
+``FAR_ABOVE`` times as many documents as the frequencies of their tokens among
+slight lines of so many tokens predict. With fewer than two fixed tokens a slight
+line says nothing when generalised and is counted as it stands. A line of one
+token is as frequent as its token, so it is never above that and stays.
+
+Counts cover all documents. Lines move as hashes, slight ones with their text; a
+hot template is summed up in the map tasks before the shuffle. Texts move once, to
+the documents that lose lines.
 
 Nulls: a null text stays null and has no lines. A null ``doc_id`` counts as one
 document and sorts first. Rows of equal id and text are one document and lose
@@ -37,6 +44,7 @@ from logloom.llm.shared import documents, stored
 
 MIN_TOKENS = 4
 MIN_DOCS = 10
+FAR_ABOVE = 3
 LEAD = 3
 STEADY = 0.5
 ALIKE = 0.7
@@ -62,15 +70,16 @@ def _row_key() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc, row, pos, line`` with the generalised line; lines of too few tokens are left out."""
+    """``doc, row, pos, line, size, slight`` of all lines with a token; ``line`` is generalised."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), _row_key().alias("row"), "text").where("text is not null")
-    lines = base.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length("line") >= 2 * MIN_TOKENS - 1)
+    lines = base.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).where(F.length("raw") > 0)
     # Filters are not moved below a projection that numbers rows, so a line is generalised once.
-    plain = lines.select("doc", "row", "pos", generalised(F.col("line")).alias("line"), F.monotonically_increasing_id().alias("at"))
-    sized = plain.withColumn("size", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where("size >= %d and at >= 0" % MIN_TOKENS).drop("at")
-    # A line of little else than variable fields, such as a row of numbers, says nothing when generalised.
+    plain = lines.select("doc", "row", "pos", "raw", generalised(F.col("raw")).alias("line"), F.monotonically_increasing_id().alias("at")).where("line != '' and at >= 0").drop("at")
+    sized = plain.withColumn("size", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     fixed = F.col("size") - F.when(F.contains(F.col("line"), F.lit("<*>")), F.regexp_count("line", F.lit(r"<\*>"))).otherwise(0)
-    return sized.where((fixed >= MIN_TOKENS - 1) & (2 * fixed >= F.col("size")))
+    flagged = sized.withColumn("fixed", fixed).withColumn("slight", (F.col("size") < MIN_TOKENS) | (F.col("fixed") < MIN_TOKENS - 1) | (2 * F.col("fixed") < F.col("size")))
+    as_it_stands = F.btrim(F.regexp_replace("raw", BLANKS, " "))
+    return flagged.select("doc", "row", "pos", F.when(F.col("slight") & (F.col("fixed") < 2), as_it_stands).otherwise(F.col("line")).alias("line"), "size", "slight")
 
 
 def _leaf() -> Column:
@@ -90,16 +99,32 @@ def _drops(rows: DataFrame, recurring: DataFrame, *key: str) -> DataFrame:
     return hit.where(~stays).select("row", "pos")
 
 
+def _unexpected(slight: DataFrame, recurring: DataFrame) -> DataFrame:
+    """Of recurring slight templates, those far above what the frequencies of their tokens predict."""
+    once = slight.groupBy("template", "line", "size", "doc").agg(F.lit(1).alias("one"))
+    each = stored(once.groupBy("template", "line", "size").agg(F.count("*").alias("n")), "slight")
+    tokens = each.select("size", "n", F.explode(F.split("line", " ")).alias("token")).groupBy("size", "token").agg(F.sum("n").alias("n"))
+    lines = F.broadcast(each.groupBy("size").agg(F.sum("n").alias("n_lines")))
+    wanted = each.where("size > 1").join(recurring.select("template"), "template", "left_semi").select("template", "size", F.explode(F.split("line", " ")).alias("token"))
+    share = F.col("n") / (F.col("n_lines") * F.col("size"))
+    chance = wanted.join(tokens, ["size", "token"]).join(lines, "size").groupBy("template", "n_lines").agg(F.sum(F.log(share)).alias("log_p"))
+    expected = chance.select("template", (F.col("n_lines") * F.exp("log_p")).alias("expected"))
+    return recurring.join(expected, "template").where(F.col("n_docs") >= FAR_ABOVE * F.col("expected")).drop("expected")
+
+
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``row, drops``: the numbers of the lines that go, for each document that loses any."""
-    lines = stored(_lines(docs).select("doc", "row", "pos", _leaf().alias("leaf"), F.xxhash64("line", "size").alias("template")), "lines")
+    every = _lines(docs).select("doc", "row", "pos", F.when(~F.col("slight"), _leaf()).alias("leaf"), F.xxhash64("line", "size").alias("template"), F.when(F.col("slight"), F.col("line")).alias("line"), F.when(F.col("slight"), F.col("size")).alias("size"))
+    every = stored(every, "lines")
+    lines, slight = every.where("leaf is not null").drop("line", "size"), every.where("leaf is null").drop("leaf")
     exact = _documents_of(lines, "template").where(F.col("n_docs") >= MIN_DOCS)
-    whole = _drops(lines, exact, "template")
+    often = stored(_documents_of(slight, "template").where(F.col("n_docs") >= MIN_DOCS), "often")
+    whole = _drops(lines, exact, "template").unionByName(_drops(slight, _unexpected(slight, often), "template"))
 
     # Leaves met in many documents whose lines are not all of one recurring template: compare by position.
     loose = stored(lines.groupBy("leaf", "template", "doc").agg(F.lit(1).alias("one")).groupBy("leaf", "template").agg(F.count("*").alias("n")).groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("n") >= MIN_DOCS) & (F.col("kinds") > 1)).select("leaf"), "loose")
     few = loose.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    again = _lines(docs).withColumn("leaf", _leaf()).join(F.broadcast(loose) if few else loose.hint("merge"), "leaf", "left_semi")
+    again = _lines(docs).where("not slight").withColumn("leaf", _leaf()).join(F.broadcast(loose) if few else loose.hint("merge"), "leaf", "left_semi")
     inside = stored(again.select("doc", "row", "pos", "leaf", "size", F.split("line", " ").alias("tokens")), "inside")
     tokens = inside.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     most = tokens.groupBy("leaf", "place").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("n"), F.sum("n").alias("all"))

@@ -383,3 +383,19 @@ def test_lines(spark, empty):
         assert "Page" not in text and "posted by" not in text and "short" in text and all(line in text for line in data[i][1].split("\n")[1:5])
         assert ("seen" in text) == (i < 5)
     assert lt.without_boilerplate(empty).count() == 0
+
+
+def test_slight_lines(spark):
+    """Short and mostly variable lines go where they recur far above chance; words alone and rows of numbers stay."""
+    from logloom.llm import line_templates as lt
+
+    rng = random.Random(16)
+    data = []
+    for i in range(60):
+        prose = [f"{rng.choice('abcdefgh')} {rng.choice('abcdefgh')}" for _ in range(8)]
+        footer = ["All rights reserved.", f"Page {i} of  60"] if i % 3 == 0 else []
+        data.append((i, "\n".join([*prose, "alone", f"{i} {i + 1} 3", "", " ", *footer]), "en", "s", 0))
+    got = {r["doc_id"]: r["text"] for r in lt.without_boilerplate(spark.createDataFrame(data, DOCS)).collect()}
+    assert got[0] == data[0][1]  # the first document keeps its lines
+    for i in range(1, 60):
+        assert got[i] == "\n".join(data[i][1].split("\n")[:12]), i

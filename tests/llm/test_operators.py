@@ -1,7 +1,6 @@
 """Corpus operators against brute force on small tables, with hard rows among them."""
 
 import hashlib
-import math
 import random
 import re
 
@@ -324,36 +323,6 @@ def test_chat(spark):
     assert chat.read_back(chat.expand_examples(turns.limit(0))).count() == 0
 
 
-# --- neighbours -----------------------------------------------------------------------------------------------------
-
-
-def test_neighbours(spark):
-    from logloom.llm import neighbours as nn
-
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(12, 24))
-    x = np.concatenate([centres[rng.integers(12)] + 0.4 * rng.normal(size=24) for _ in range(900)]).reshape(-1, 24)
-    x[100:130] = x[100]
-    data = [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)] + [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] * 24), (2100, [1.0] * 3), (2003, [None] + [1.0] * 23)]
-    table = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    vectors = nn.usable(table)
-    got = {}
-    for r in nn.nearest(vectors, vectors.where("id % 10 = 0")).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert len(got) == 90
-    hits, x32 = 0, x.astype(np.float32).astype(np.float64)
-    for q, found in got.items():
-        found.sort()
-        far = np.sqrt(((x32 - x32[q]) ** 2).sum(axis=1))
-        far[q] = np.inf
-        exact = np.lexsort((np.arange(900), far))[:10]
-        hits += len(set(exact.tolist()) & {v for _, v, _ in found})
-        assert [k for k, *_ in found] == list(range(1, 11)) and all(math.isclose(s, far[v], rel_tol=1e-12, abs_tol=1e-12) for _, v, s in found)
-    assert hits >= 0.9 * 900
-    few = vectors.where("id < 4")
-    assert nn.nearest(few, few.where("id = 0")).count() == 3 and nn.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
-
-
 # --- line templates -------------------------------------------------------------------------------------------------
 
 

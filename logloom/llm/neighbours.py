@@ -214,7 +214,7 @@ def _candidates(index: DataFrame, asked: DataFrame, sub: Substrings) -> DataFram
 
     probes = asked.select("id", "code").mapInArrow(probe, "j int, value long, q long, q_code long")
     sent = probes.join(hot, ["j", "value"], "left").select("j", "value", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "q", "q_code")
-    met = dealt.join(sent, ["j", "value", "part"])
+    met = dealt.join(sent.hint("merge"), ["j", "value", "part"])  # many small rows, so no side is sent whole
     differing = F.col("c_code").bitwiseXOR(F.col("q_code"))
     return met.where((F.bit_count(differing) <= sub.radius) & sub.found_first(differing, F.col("j"))).select("q", "c")
 

@@ -12,8 +12,9 @@ The join gives the components of the link graph, not all pairs of copies.
    region; the components of these pairs are the coarse regions, and no link
    crosses two of them. Shingles found in many documents are left out of the
    groups (the bound on the difference holds without them, too), so a common
-   passage fills no group. Sets with too few other shingles for a group to tell
-   anything go, by size class, to one region.
+   passage fills no group. Where two sets have too few other shingles for a group to
+   tell anything, both name the first shingles of their prefix (rare ones first, as
+   many as can be missing from a linked set, and one), of which linked sets share one.
 3. *Voronoi regions.* A region of more than ``REGION`` sets gets pivots. Sets
    within ``BALL`` of a pivot form its cell; by the triangle inequality every set
    linked to one of them is at most ``BALL + radius`` away and is copied to the cell.
@@ -23,7 +24,8 @@ The join gives the components of the link graph, not all pairs of copies.
    again and recurse. A region whose cells together would cost more than half of
    itself is not divided.
 4. *Small regions* are joined exactly, one matrix product for each. Regions that
-   pivots do not divide are joined in tiles, pair by pair of tiles.
+   pivots do not divide are joined in tiles, pair by pair of tiles. A task gives the
+   components of its links, one row a set, and not all its pairs.
 
 Groups of copies are reduced to classes first. A group of more than ``BLOCK``
 sets is chained to its smallest id instead of giving all its pairs.
@@ -31,8 +33,8 @@ sets is chained to its smallest id instead of giving all its pairs.
 Shingles are compared by 64-bit hashes: within a pair of sets a false match has
 a chance below 1e-12. Nulls: null text is empty, an empty set is linked with
 nothing; rows with a null ``doc_id`` are returned with a null component. Rows
-with the same ``doc_id`` are one document. An empty table gives an empty
-result; other columns are ignored.
+with the same ``doc_id`` are one document; if their texts differ, the least text
+stands for it. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,13 +119,14 @@ class Threshold:
         return 100 * shared >= self.percent * union
 
     def signatures(self, s: np.ndarray, hot: np.ndarray):
-        """For the own size class of a set and the next: hashes of its groups, and how many a linked set shares.
+        """For the own size class of a set and the next: hashes, and how many of them a linked set shares at least.
 
-        The number counts groups that are not empty; where it would be 0 the set
-        is named by its class alone.
+        The number counts groups that are not empty. Where it is 0, the partner's may be
+        more, so the groups are named nonetheless; where both have 0, the prefixes meet.
         """
         own = self.size_class(len(s))
-        rest = s[~_among(s, hot)]
+        common = _among(s, hot)
+        rest = s[~common]
         high = rest >> np.uint64(32)
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(rest ^ _S1), dtype=np.uint64)])
         for c in (own, own + 1):
@@ -133,11 +136,11 @@ class Threshold:
             held = cut[1:] > cut[:-1]
             partner = min(self.edges[c + 1] - 1, len(s) * 100 // self.percent)
             need = n - self.differ(len(s) + partner) - int((~held).sum())
+            name = np.arange(n, dtype=np.uint64) | np.uint64(c << 48)
+            yield mix((total[cut[1:]] - total[cut[:-1]]) + mix(name))[held], max(need, 0)
             if need < 1:
-                yield np.array([c], dtype=np.uint64), 0
-            else:
-                name = np.arange(n, dtype=np.uint64) | np.uint64(c << 48)
-                yield mix((total[cut[1:]] - total[cut[:-1]]) + mix(name))[held], need
+                first = len(s) + 1 + (-self.percent * len(s)) // 100  # len - ceil(percent of len) + 1
+                yield mix(np.concatenate([rest, s[common]])[:first] ^ mix(np.array([c], dtype=np.uint64) + _S2)), 1
 
 
 def _among(s: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -179,6 +182,20 @@ def classes_of(members: DataFrame, digest: list[str]) -> DataFrame:
     return joined.withColumn("rep", F.coalesce("rep", "doc_id"))
 
 
+def one_text_each(plain: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``doc_id, text`` rows without those of an id that has a lesser text, and these, or None where there are none."""
+    some = stored(plain.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if some.isEmpty():
+        return plain, None
+    few = some.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    least = plain.join(F.broadcast(some) if few else some.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least != most").select("doc_id", "least")
+    least = stored(least, "least")
+    if least.isEmpty():
+        return plain, None
+    marked = plain.join(least, "doc_id", "left")
+    return marked.where("least is null or text = least").drop("least"), marked.where("text != least").drop("least")
+
+
 def only_representatives(docs: DataFrame, classes: DataFrame) -> DataFrame:
     others = classes.where("doc_id != rep").select("doc_id").distinct()
     few = others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -206,56 +223,33 @@ def _candidate_pairs(docs: DataFrame, k: int, threshold: Threshold, hot, buckets
 
     def run(batches):
         for batch in batches:
-            ids, hashes, owners, needs, vague, held = batch.column(0).to_numpy(), [], [], [], {}, 0
-            chained = []
+            ids, hashes, owners, needs, held = batch.column(0).to_numpy(), [], [], [], 0
             for row, s in shingle_sets(batch.column(1), k):
                 if not len(s):
                     continue
                 for sig, need in threshold.signatures(s, hot.value):
-                    if need:
-                        hashes.append(sig)
-                        owners.append(np.full(len(sig), ids[row]))
-                        needs.append(np.full(len(sig), min(need, 65_534), dtype=np.uint16))
-                        held += len(sig)
-                    else:  # only the batch's first of a class is sent, the others are chained to it
-                        first = vague.setdefault(int(sig[0]), int(ids[row]))
-                        chained.append((int(ids[row]), first))
+                    hashes.append(sig)
+                    owners.append(np.full(len(sig), ids[row]))
+                    needs.append(np.full(len(sig), min(need, 65_535), dtype=np.uint16))
+                    held += len(sig)
                 if held > SENT_AT_ONCE:
                     yield from sent_rows(hashes, owners, needs)
                     hashes, owners, needs, held = [], [], [], 0
-            if vague:
-                hashes.append(mix(np.fromiter(vague, dtype=np.uint64, count=len(vague))))
-                owners.append(np.fromiter(vague.values(), dtype=np.int64, count=len(vague)))
-                needs.append(np.zeros(len(vague), dtype=np.uint16))
             yield from sent_rows(hashes, owners, needs)
-            if chained:
-                pairs = np.array(chained, dtype=np.int64)
-                yield packed_rows((mix(pairs[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), pairs[:, 0], pairs[:, 1], np.full(len(pairs), 65_535, dtype=np.uint16))
 
     def meet(t: pa.Table) -> pa.Table:
-        out = []
-        h, i, need = [], [], []
-        for x, y, z in zip(t["hashes"].to_pylist(), t["ids"].to_pylist(), t["needs"].to_pylist(), strict=True):
-            z = np.frombuffer(z, dtype=np.uint16)
-            if len(z) and (z == 65_535).all():  # a chain of a batch
-                out.append((np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)))
-            else:
-                h.append(np.frombuffer(x, dtype=np.uint64))
-                i.append(np.frombuffer(y, dtype=np.int64))
-                need.append(z)
-        a = [np.stack([x, y, np.ones(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)]) for x, y in out]
-        if h:
-            h, i, need = np.concatenate(h), np.concatenate(i), np.concatenate(need).astype(np.int64)
+        flat = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in t[name].to_pylist()])
+        a, h, i, need = [], flat("hashes", np.uint64), flat("ids", np.int64), flat("needs", np.uint16).astype(np.int64)
+        if len(h):
             order = np.lexsort((i, h))
             h, i, need = h[order], i[order], need[order]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size = np.diff(np.append(start, len(h)))
             place = np.arange(len(h)) - np.repeat(start, size)
             lead, wide = np.repeat(start, size), np.repeat(size, size)
-            # Chains: large groups, and sets named by their class alone.
-            star = (place > 0) & ((wide > BLOCK) | (need[lead] == 0))
+            star = (place > 0) & (wide > BLOCK)  # large groups are chained
             a.append(np.stack([i[star], i[lead[star]], np.ones(int(star.sum()), dtype=np.int64), np.zeros(int(star.sum()), dtype=np.int64)]))
-            listed = (wide <= BLOCK) & (wide > 1) & (need[lead] > 0)
+            listed = (wide <= BLOCK) & (wide > 1)
             for step in range(1, BLOCK):
                 at = np.flatnonzero(listed & (place + step < wide))
                 if not len(at):
@@ -338,6 +332,13 @@ def _labels(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the components of the given ones: one for each set but the least of its component."""
+    ids = np.unique(np.concatenate([a, b]))
+    label = _labels(ids, a, b) if len(ids) else ids
+    return ids[ids != label], label[ids != label]
+
+
 def _small_regions(sets: DataFrame, threshold: Threshold, bins: int) -> DataFrame:
     """``node, label`` of regions that fit a task, several regions a task."""
 
@@ -354,7 +355,7 @@ def _small_regions(sets: DataFrame, threshold: Threshold, bins: int) -> DataFram
             labels.append(_labels(ids[own], a, b))
         return pa.table({"node": pa.array(np.concatenate(nodes), pa.int64()), "label": pa.array(np.concatenate(labels), pa.int64())})
 
-    binned = sets.withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)))
+    binned = sets.withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins)).cast("long"))
     return binned.groupBy("bin").applyInArrow(join, "node long, label long")
 
 
@@ -364,7 +365,7 @@ _CELL = "kind string, region long, id long, other long, apart double, linked boo
 
 
 def _voronoi(sets: DataFrame, sizes: DataFrame, threshold: Threshold, turn: int) -> DataFrame:
-    """One level: rows ``link`` (``id`` and pivot ``other`` are linked) and ``cell`` (``id`` goes to the cell of ``other``)."""
+    """One level: rows ``link`` (``id`` and ``other`` are linked, directly or over a pivot) and ``cell`` (``id`` goes to the cell of ``other``)."""
     from pyspark.sql.window import Window
 
     tiles = sizes.select("region", F.ceil(F.col("size") / REGION).cast("int").alias("tiles"))
@@ -387,9 +388,11 @@ def _voronoi(sets: DataFrame, sizes: DataFrame, threshold: Threshold, turn: int)
             union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in p])[None, :] - shared
             linked, apart = threshold.linked(shared, union), 1 - shared / union
             going = ~np.isin(ids, pivot)  # all links of a pivot are known
-            for kind, chosen in (("link", linked & (ids[:, None] != pivot[None, :])), ("cell", (apart <= reach) & going[:, None])):
-                i, j = np.nonzero(chosen)
-                parts.append((kind, ids[i], pivot[j], apart[i, j], linked[i, j]))
+            i, j = np.nonzero(linked & (ids[:, None] != pivot[None, :]))
+            one, other = _forest(ids[i], pivot[j])
+            parts.append(("link", one, other, np.zeros(len(one)), np.ones(len(one), dtype=bool)))
+            i, j = np.nonzero((apart <= reach) & going[:, None])
+            parts.append(("cell", ids[i], pivot[j], apart[i, j], linked[i, j]))
             i = np.flatnonzero((apart.min(axis=1) > BALL) & going)
             parts.append(("cell", ids[i], np.full(len(i), NOWHERE), np.ones(len(i)), np.zeros(len(i), dtype=bool)))
         region = left["region"][0].as_py() if left.num_rows else 0
@@ -401,7 +404,7 @@ def _voronoi(sets: DataFrame, sizes: DataFrame, threshold: Threshold, turn: int)
 
 
 def _tiled(sets: DataFrame, sizes: DataFrame, threshold: Threshold) -> DataFrame:
-    """``a, b`` for regions of any size: every pair of tiles meets in a task of its own."""
+    """``a, b``, links with the components of regions of any size: every pair of tiles meets in a task of its own."""
     tiles = sizes.select("region", F.ceil(F.col("size") / REGION).cast("int").alias("tiles"))
     own = sets.join(tiles, "region").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     pairs = own.select("region", "id", "set", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
@@ -418,6 +421,7 @@ def _tiled(sets: DataFrame, sizes: DataFrame, threshold: Threshold) -> DataFrame
             union = np.array([len(s) for s in x], dtype=np.int64)[:, None] + np.array([len(s) for s in y], dtype=np.int64)[None, :] - shared
             i, j = np.nonzero(threshold.linked(shared, union))
             a, b = ids[li][i], ids[ri][j]
+        a, b = _forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return placed.groupBy("region", "lo", "hi").applyInArrow(meet, "a long, b long")
@@ -426,7 +430,7 @@ def _tiled(sets: DataFrame, sizes: DataFrame, threshold: Threshold) -> DataFrame
 def _large_regions(sets: DataFrame, threshold: Threshold) -> DataFrame:
     """``node, label`` of the regions beyond ``REGION`` sets, by recursive Voronoi cells."""
     spark = sets.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
+    links = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     radius = threshold.radius + 1e-9
     for turn in range(ROUNDS):
         sizes = stored(sets.groupBy("region").agg(F.count("*").alias("size")), "sizes")
@@ -455,7 +459,7 @@ def _large_regions(sets: DataFrame, threshold: Threshold) -> DataFrame:
 def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``)."""
     threshold = Threshold(percent)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    plain, others = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
     counted = stored(_members(plain, k), "members")
     members = counted.where("n is not null")
     sound = members.where("n > 0 and doc_id is not null")
@@ -477,7 +481,8 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     labels = stored(labels.where("node != label"), "labels").select(F.col("node").alias("rep"), "label")
     own = classes.select("doc_id", F.col("n"), "rep").join(labels, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     alone = members.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return own.unionByName(alone)
+    found = own.unionByName(alone)
+    return found if others is None else found.unionByName(others.select("doc_id").join(found.distinct(), "doc_id"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,12 @@ windows have equal anchors, and only one phrase in about six is an anchor.
    earliest (smaller ``doc_id``, then earlier start) covers its words, and covered
    words are removed.
 
-Phrases and windows are compared by 64-bit hashes; a false match of windows has
-a chance of about 1e-19 for each pair. Nulls: null text has no words. Rows with
+Windows are compared by two 64-bit hashes, so a false match has a chance of about
+1e-38 for each pair. Nulls: null text has no words. Rows with
 a null ``doc_id`` are returned unchanged. Repeated rows (equal ``doc_id`` and
-text) are one document and stay alike. An empty table gives an empty result;
-other columns are ignored.
+text) are one document and stay alike; of rows with one id and different texts the
+least text takes part and the others are returned unchanged. An empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.jaccard import classes_of, only_representatives
+from logloom.llm.jaccard import classes_of, one_text_each, only_representatives
 from logloom.llm.packed_rows import PACKED, TO_OWNERS, bucket_of, gathered_by_owner, pack, to_owners, unpack
 from logloom.llm.shared import documents, stored, text_or_empty
 from logloom.llm.wordhash import mix, rolling_phrase_hashes, text_chunks, words_of
@@ -156,7 +157,7 @@ class Shard:
         self.words += b - a
 
     def occurrences(self):
-        """``(doc_id, starts of windows whose anchor was located, window hashes)`` for every document."""
+        """``(doc_id, starts of windows whose anchor was located, two hashes of each)`` for every document."""
         if not self.docs:
             return
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -168,31 +169,28 @@ class Shard:
             located = np.zeros(len(hashes) + 1, dtype=bool)
             located[np.searchsorted(blanks, starts)] = True
             where = np.flatnonzero(located[at])
-            yield doc_id, where, rolling_phrase_hashes(hashes, WINDOW)[where]
+            yield doc_id, where, rolling_phrase_hashes(hashes, WINDOW)[where], rolling_phrase_hashes(mix(hashes ^ _S1), WINDOW)[where]
 
 
 def _covered(docs: DataFrame, buckets: int) -> DataFrame:
     """``doc_id, starts``: packed starts of the windows that also start earlier; ``docs`` has ``hashes``, too."""
 
     def send(shard: Shard):
-        ids, starts, hashes = [], [], []
-        for doc_id, where, h in shard.occurrences():
-            ids.append(np.full(len(where), doc_id))
-            starts.append(where)
-            hashes.append(h)
-        if not ids:
+        found = list(shard.occurrences())
+        if not found:
             return
-        ids, starts, hashes = np.concatenate(ids), np.concatenate(starts), np.concatenate(hashes)
+        ids = np.concatenate([np.full(len(where), doc_id) for doc_id, where, *_ in found])
+        starts, hashes, checks = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
         b = bucket_of(hashes, buckets)
         order = np.argsort(b, kind="stable")
-        b, ids, starts, hashes = b[order], ids[order], starts[order], hashes[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]])
+        b, ids, starts, hashes, checks = b[order], ids[order], starts[order], hashes[order], checks[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]]) if len(b) else np.zeros(1, dtype=int)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            yield int(b[lo]), hashes[lo:hi].tobytes(), ids[lo:hi].tobytes(), starts[lo:hi].astype(np.uint32).tobytes()
+            yield int(b[lo]), hashes[lo:hi].tobytes(), checks[lo:hi].tobytes(), ids[lo:hi].tobytes(), starts[lo:hi].astype(np.uint32).tobytes()
 
     def run(batches):
-        names = ["bucket", "hashes", "ids", "starts"]
-        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
+        names = ["bucket", "hashes", "checks", "ids", "starts"]
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names)
         for batch in batches:
             shard = Shard()
             ids, known = batch.column(0).to_numpy(), batch.column(2)
@@ -209,16 +207,16 @@ def _covered(docs: DataFrame, buckets: int) -> DataFrame:
 
     def meet(t: pa.Table) -> pa.Table:
         join = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in t[c].to_pylist()])
-        h, i, s = join("hashes", np.uint64), join("ids", np.int64), join("starts", np.uint32)
-        order = np.lexsort((s, i, h))
-        h, i, s = h[order], i[order], s[order]
+        h, c, i, s = join("hashes", np.uint64), join("checks", np.uint64), join("ids", np.int64), join("starts", np.uint32)
+        order = np.lexsort((s, i, c, h))
+        h, c, i, s = h[order], c[order], i[order], s[order]
         # A repeated row is the same occurrence, not an earlier one.
-        first = np.concatenate([[True], h[1:] != h[:-1]])
+        first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
         least = np.flatnonzero(first)[np.cumsum(first) - 1]
         later = (i != i[least]) | (s != s[least])
         return to_owners(i[later], s[later], buckets)
 
-    sent = docs.select("doc_id", "text", "hashes").mapInArrow(run, "bucket int, hashes binary, ids binary, starts binary")
+    sent = docs.select("doc_id", "text", "hashes").mapInArrow(run, "bucket int, hashes binary, checks binary, ids binary, starts binary")
     return gathered_by_owner(sent.groupBy("bucket").applyInArrow(meet, TO_OWNERS), "uint32", "starts")
 
 
@@ -256,7 +254,7 @@ def _kept(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for every row of ``docs``."""
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    plain, others = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
     members = stored(_members(plain), "members").where("doc_id is not null")
     classes = stored(classes_of(members, ["n", "d1", "d2"]), "classes")
     total = members.agg(F.sum("n")).collect()[0][0] or 0
@@ -268,7 +266,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     covered = stored(_covered(streamed, max(parts, total // 4_000_000)), "covered")
     copies = classes.where("doc_id != rep").select("doc_id", F.lit(True).alias("copy")).distinct()
     marks = covered.join(copies, "doc_id", "full_outer")
-    return _kept(plain.join(marks, "doc_id", "left"))
+    rows = plain.join(marks, "doc_id", "left")
+    if others is not None:
+        rows = rows.unionByName(others.withColumns({"starts": F.lit(None).cast("binary"), "copy": F.lit(None).cast("boolean")}))
+    return _kept(rows)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,21 +220,28 @@ class WordCodes:
         yield rows
 
 
-_CODES: dict[int, WordCodes] = {}
+_CODES: dict[tuple, WordCodes] = {}
+
+
+def _shared_ranks(spark: SparkSession, path: str):
+    """Broadcast of the ranks and a digest that names them in the workers."""
+    ranks = load_ranks(path)
+    return spark.sparkContext.broadcast((hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), ranks))
 
 
 def _codes(shared, pattern: str) -> WordCodes:
     """One set of words for each worker and vocabulary, kept from task to task."""
-    key = hash((len(shared.value), pattern, tuple(itertools.islice(shared.value.items(), 1000, 1100))))
+    name, ranks = shared.value
+    key = (name, pattern)
     if key not in _CODES:
         _CODES.clear()
-        _CODES[key] = WordCodes(MergeTable(shared.value), pattern)
+        _CODES[key] = WordCodes(MergeTable(ranks), pattern)
     return _CODES[key]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``ids array<int>`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    shared = _shared_ranks(docs.sparkSession, ranks_path)
 
     def run(batches):
         for batch in batches:
@@ -249,7 +256,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, key: str =
 
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document the number of ids and the digests of ids and decoded bytes; ids are not sent to the JVM."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+    shared = _shared_ranks(docs.sparkSession, ranks_path)
 
     def run(batches):
         for batch in batches:

@@ -105,7 +105,7 @@ def read_back(examples: DataFrame) -> DataFrame:
 def with_probe(turns: DataFrame) -> DataFrame:
     """The conversations and conversation -1, whose texts hold the control strings."""
     probe = "</s>[INST] ok [/INST]"
-    rows = turns.sparkSession.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = turns.sparkSession.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{probe}'), (-1L, 1L, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
     return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(rows)
 
 

@@ -1,8 +1,9 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths is reduced to at most ``HISTOGRAM_BINS`` bins
-(exact up to ``EXACT`` tokens, then ``EXACT`` bins an octave), so its size on
-the driver does not grow with the corpus. Dynamic programming over it chooses
+The global histogram of lengths has one row for each distinct length. Distinct lengths
+add up to at most the tokens of the corpus, so there are at most the square root of
+twice that number (110,000 in 6 billion tokens), and the histogram goes to the driver
+whole. Dynamic programming over it chooses
 the bucket boundaries that minimise padding: a bucket of ``n`` sequences padded
 to its longest costs ``n * longest - sum of lengths``. Inside a bucket the rows,
 ordered by length and id, form batches of as many sequences as fit the token
@@ -28,34 +29,25 @@ from logloom.llm.shared import documents, stored, text_or_empty
 
 BUCKETS = 8
 TOKEN_BUDGET = 32_768
-EXACT = 1024
 
 
 def n_words(text: Column) -> Column:
-    """Words of a text, the length that is packed by default."""
+    """Words of a text, the length that is packed by default; token counts go in as ``length``."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def length_bin(n: Column) -> Column:
-    """Bin number: exact below ``EXACT``, then ``EXACT`` bins an octave; monotone in ``n``."""
-    octave = F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double") / EXACT)), F.lit(-1)).cast("long")
-    # log2 may round up to the next octave just below a power of two; the bin stays monotone as both give its edge.
-    size = F.pow(F.lit(2.0), octave)
-    return F.when(n < EXACT, n).otherwise(EXACT + octave * EXACT + F.floor(n / size - EXACT).cast("long"))
-
-
 def choose_boundaries(count: np.ndarray, total: np.ndarray, longest: np.ndarray, k: int) -> list[int]:
-    """Last bin of each of at most ``k`` buckets, with the least padding.
+    """Last length (by place) of each of at most ``k`` buckets, with the least padding.
 
     The cost meets the quadrangle inequality, so each layer is filled by divide
-    and conquer: O(k * bins * log bins).
+    and conquer: O(k * lengths * log lengths).
     """
     n = len(count)
     k = min(k, n)
     if not n:
         return []
     cn, ct = np.concatenate([[0], np.cumsum(count)]).astype(np.float64), np.concatenate([[0], np.cumsum(total)]).astype(np.float64)
-    cost = lambda lo, hi: (cn[hi + 1] - cn[lo]) * longest[hi] - (ct[hi + 1] - ct[lo])  # noqa: E731  bins lo..hi
+    cost = lambda lo, hi: (cn[hi + 1] - cn[lo]) * longest[hi] - (ct[hi + 1] - ct[lo])  # noqa: E731  lengths lo..hi
     best = np.array([cost(0, j) for j in range(n)])
     came = [np.zeros(n, dtype=np.int64)]
     for _ in range(1, k):
@@ -88,15 +80,14 @@ def packed(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS
 
     ``batch_id`` is ``bucket * 2**40 + number in the bucket``; ``place`` counts from 0.
     """
-    sized = stored(docs.select(F.col(key).alias("id"), (length if length is not None else n_words(text_or_empty())).alias("n")).withColumn("bin", length_bin(F.col("n"))), "lengths")
-    histogram = sized.groupBy("bin").agg(F.count("*").alias("c"), F.sum("n").alias("t"), F.max("n").alias("m")).orderBy("bin").collect()
-    column = lambda name: np.array([r[name] for r in histogram], dtype=np.int64)
-    ends = choose_boundaries(column("c"), column("t"), column("m"), buckets)
-    bins, longest = column("bin"), column("m")
+    sized = stored(docs.select(F.col(key).alias("id"), F.coalesce(length if length is not None else n_words(text_or_empty()), F.lit(0)).cast("long").alias("n")), "lengths")
+    histogram = sized.groupBy("n").agg(F.count("*").alias("c")).orderBy("n").collect()
+    n, c = (np.array([r[i] for r in histogram], dtype=np.int64) for i in (0, 1))
+    ends = choose_boundaries(c, n * c, n, buckets)
     bucket, padded = F.lit(len(ends)), F.lit(0).cast("long")
     for i, e in reversed(list(enumerate(ends))):
-        bucket = F.when(F.col("bin") <= int(bins[e]), i).otherwise(bucket)
-        padded = F.when(F.col("bin") <= int(bins[e]), F.lit(int(longest[e])).cast("long")).otherwise(padded)
+        bucket = F.when(F.col("n") <= int(n[e]), i).otherwise(bucket)
+        padded = F.when(F.col("n") <= int(n[e]), F.lit(int(n[e])).cast("long")).otherwise(padded)
     placed = sized.select("id", "n", bucket.alias("bucket"), padded.alias("padded"))
     ranged = stored(placed.repartitionByRange("bucket", "n", "id").sortWithinPartitions("bucket", "n", "id").withColumn("row", F.monotonically_increasing_id()), "ranged")
     part = F.shiftright("row", 33)

@@ -13,7 +13,7 @@ Nulls: a null text is empty and gets a score like any other; null ids are not
 learned from. A document with several labels is learned once with the smallest
 of them. Without usable labels of both kinds every score is the share of label
 1 (0.5 without any). An empty table gives an empty result; other columns are
-ignored by the query and kept by :func:`good_documents`.
+ignored by the query and kept by :func:`good_documents`. A null id is not held out.
 """
 
 from __future__ import annotations
@@ -37,16 +37,22 @@ LASSO = 0.002
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text; every one is a built-in function."""
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def statistics(text: Column, words: Column) -> dict[str, Column]:
+    """Statistics of a whole text and its words; every one is a built-in function.
+
+    The words are a column of the projection before, so texts are split once.
+    """
     n = F.length(text)
     share = lambda c: F.coalesce(F.try_divide(c.cast("double"), n.cast("double")), F.lit(0.0))
     kept = lambda chars: F.length(F.translate(text, chars, ""))
     blanks = n - kept(" \n\t\r")
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return {
         "blank_share": share(blanks),
         "upper_share": share(n - kept("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÆÇÈÉÊËÍÎÏÑÓÔÖŒÚÙÛÜ")),
@@ -91,8 +97,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str = "quality")
     """At most ``SAMPLE_ROWS`` labelled rows that are not held out, and their statistics."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(~held_out()).groupBy("doc_id").agg(F.min(label).cast("double").alias("label"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    return stored(texts.select("label", *[c.alias(n) for n, c in statistics(F.col("text")).items()]).repartition(4), "sample")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("words", words_of(F.col("text")))
+    return stored(texts.select("label", *[c.alias(n) for n, c in statistics(F.col("text"), F.col("words")).items()]).repartition(4), "sample")
 
 
 class RuleEnsemble:
@@ -128,7 +134,8 @@ def fit_rules(sample: DataFrame, seed: int = 7) -> RuleEnsemble:
 
 def scored(docs: DataFrame, model: RuleEnsemble, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``score``; no shuffle, no Python."""
-    stats = docs.select(*keep, *[c.alias(n) for n, c in statistics(text_or_empty()).items()])
+    texts = docs.select(*keep, text_or_empty().alias("_ll_text")).withColumn("_ll_words", words_of(F.col("_ll_text")))
+    stats = texts.select(*keep, *[c.alias(n) for n, c in statistics(F.col("_ll_text"), F.col("_ll_words")).items()])
     return stats.select(*keep, model.score().alias("score"))
 
 
@@ -145,9 +152,9 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score at or above ``THRESHOLD``, with all their columns."""
     model = fit(docs, labels)
-    stats = statistics(text_or_empty())
+    stats = statistics(text_or_empty(), F.col("_ll_words"))
     names = {n: f"_ll_{n}" for n in stats}
     # A filter is not moved below a projection that numbers rows, so each statistic is computed once a row.
-    rows = docs.withColumns({names[n]: c for n, c in stats.items()} | {"_ll_at": F.monotonically_increasing_id()})
+    rows = docs.withColumn("_ll_words", words_of(text_or_empty())).withColumns({names[n]: c for n, c in stats.items()} | {"_ll_at": F.monotonically_increasing_id()})
     good = (model.score([names[n] for n in NAMES]) >= THRESHOLD) & (F.col("_ll_at") >= 0)
     return rows.where(good).select(*docs.columns)

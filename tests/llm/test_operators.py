@@ -105,7 +105,7 @@ def test_boundaries_are_optimal():
 
 
 def test_packing(docs, empty, rows):
-    from logloom.llm.packing import length_bin, packed
+    from logloom.llm.packing import choose_boundaries, packed
 
     got = packed(docs, buckets=3, budget=200).collect()
     assert sorted(r["doc_id"] for r in got) == [r[0] for r in rows]
@@ -119,8 +119,14 @@ def test_packing(docs, empty, rows):
     short = [b for b in by.values() if len(b) < max(1, 200 // max(1, b[0]["padded_to"]))]
     assert len(short) <= 3  # only the last of a bucket
     assert packed(empty).count() == 0
-    n = docs.sparkSession.range(0, 20000).select("id", length_bin(F.col("id")).alias("b")).orderBy("id").collect()
-    assert all(a["b"] <= b["b"] for a, b in zip(n, n[1:], strict=False))
+    # Boundaries are exact at any length: long ones are not rounded.
+    sizes = [5, 1_500_000, 1_500_001, 1_500_001, 3_000_000]
+    long = docs.sparkSession.createDataFrame(list(enumerate(sizes)), "doc_id long, n long")
+    assert sorted((r["n_tokens"], r["padded_to"]) for r in packed(long, F.col("n"), 3).collect()) == [(5, 5), (1_500_000, 1_500_001), (1_500_001, 1_500_001), (1_500_001, 1_500_001), (3_000_000, 3_000_000)]
+    lengths = np.unique([r["n_tokens"] for r in got])
+    count = np.array([sum(r["n_tokens"] == n for r in got) for n in lengths])
+    ends = lengths[choose_boundaries(count, lengths * count, lengths, 3)]
+    assert sorted({r["padded_to"] for r in got}) == ends.tolist() and all(r["padded_to"] == ends[np.searchsorted(ends, r["n_tokens"])] for r in got)
 
 
 # --- Jaccard join ---------------------------------------------------------------------------------------------------

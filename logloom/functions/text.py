@@ -9,11 +9,9 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = r"[ \t\n\x0B\f\r]"
-
 
 def literal(text: str) -> str:
     """``text`` as a regular expression that matches just it."""
@@ -28,16 +26,8 @@ ISO_TIME = (
 )
 
 
-def to_iso_utc(c: Column, local_tz: str = "UTC") -> Column:
-    """An ISO time in any zone as ``YYYY-MM-DDTHH:MM:SS.mmmZ``; anything else unchanged.
-
-    Days beyond the month's end and second 60 roll over. Without a zone the time
-    is one of ``local_tz``. One pattern checks all ranges, so the parts are plain
-    substrings and the generated code stays small.
-    """
-    t = F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+def _iso(c: Column, t: Column, zone: Column, is_iso: Column, local_tz: str) -> Column:
     number = lambda at, n: F.substring(t, at, n).try_cast("int")
-    zone = F.regexp_extract(t, rf"^.{{19}}(?:\.[0-9]*+)?+(Z|{ZONE})", 1)
     day = F.unix_date(F.to_date(F.concat(F.substring(t, 1, 8), F.lit("01")))) + number(9, 2) - 1
     offset = F.coalesce(F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 5, 2).try_cast("int") * 60, F.lit(0))
     seconds = day.cast("long") * 86400 + number(12, 2) * 3600 + number(15, 2) * 60 + number(18, 2) + F.when(zone.startswith("-"), offset).otherwise(-offset)
@@ -45,7 +35,33 @@ def to_iso_utc(c: Column, local_tz: str = "UTC") -> Column:
     if local_tz != "UTC":
         instant = F.when(zone == "", F.to_utc_timestamp(instant, local_tz)).otherwise(instant)
     ms = F.rpad(F.regexp_extract(t, r"^.{19}\.([0-9]{0,3})", 1), 3, "0")
-    return F.when(t.rlike(ISO_TIME), F.concat(F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), ms, F.lit("Z"))).otherwise(c)
+    return F.when(is_iso, F.concat(F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), ms, F.lit("Z"))).otherwise(c)
+
+
+def _zone(t: Column) -> Column:
+    return F.regexp_extract(t, rf"^.{{19}}(?:\.[0-9]*+)?+(Z|{ZONE})", 1)
+
+
+def _trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def to_iso_utc(c: Column, local_tz: str = "UTC") -> Column:
+    """An ISO time in any zone as ``YYYY-MM-DDTHH:MM:SS.mmmZ``; anything else unchanged.
+
+    Days beyond the month's end and second 60 roll over. Without a zone the time
+    is one of ``local_tz``. One pattern checks all ranges, so the parts are plain
+    substrings and the generated code stays small.
+    """
+    t = _trimmed(c)
+    return _iso(c, t, _zone(t), t.rlike(ISO_TIME), local_tz)
+
+
+def with_iso_utc(df: DataFrame, name: str, local_tz: str = "UTC") -> DataFrame:
+    """``df`` with :func:`to_iso_utc` of column ``name``; its parts are columns of projections before, so each is computed once."""
+    t = df.withColumn("_iso_t", _trimmed(F.col(name)))
+    parts = t.withColumns({"_iso_zone": _zone(F.col("_iso_t")), "_iso_is": F.col("_iso_t").rlike(ISO_TIME)})
+    return parts.withColumn(name, _iso(F.col(name), F.col("_iso_t"), F.col("_iso_zone"), F.col("_iso_is"), local_tz)).drop("_iso_t", "_iso_zone", "_iso_is")
 
 
 def sanitize_raw(c: Column) -> Column:
@@ -68,8 +84,8 @@ def after(c: Column, a: str) -> Column:
 
 def kv(c: Column, key: str) -> Column:
     """Value at the first occurrence of ``key`` (with its ``=``), unquoted; an unclosed quote gives an empty value."""
-    pattern = literal(key) + r"""(?:"([^"]*)"|'([^']*)'|([^\s"']\S*)?)"""
-    return F.concat(*[F.regexp_extract(c, pattern, i) for i in (1, 2, 3)])
+    value = F.regexp_extract(c, literal(key) + r"""("[^"]*"|'[^']*'|[^\s"']\S*)?""", 1)
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def leading_iso(c: Column) -> Column:

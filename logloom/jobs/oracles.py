@@ -111,7 +111,19 @@ w AS (SELECT * FROM g WHERE near IS NULL OR NOT near UNION ALL
   SELECT v.* FROM w JOIN g v ON v.h = w.h AND v.n > w.n AND v.n <= w.n + 50 AND v.near AND v.ts >= w.ts + INTERVAL 3 SECOND
     AND NOT EXISTS (SELECT 1 FROM g c WHERE c.h = w.h AND c.n > w.n AND c.n < v.n AND (c.ts >= w.ts + INTERVAL 3 SECOND OR NOT c.near)))"""
 
+_BY_STATUS = "SELECT 'db' || o_orderstatus AS database, o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS cust FROM orders"
+
 SQL: dict[str, str] = {
+    "read_lines": f"""WITH {AUTH} SELECT timestamp, event_type, "user", ip, command, raw_log FROM a""",
+    "payload_files": f"""WITH {SHELL} SELECT 'mydb' AS database, timestamp, command, CAST(NULL AS VARCHAR) AS "user" FROM b""",
+    "load_collection": f"WITH {_ORDERS} SELECT 'mydb' AS database, _id, CAST(cust AS VARCHAR) AS cust, mixed FROM o",
+    "collection_routing": f"SELECT database, CAST(k AS VARCHAR) AS _id, cust FROM ({_BY_STATUS}) WHERE database = 'dbF'",
+    "insert_by_database": f"""WITH d AS ({_BY_STATUS}), e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'dbNew' WHEN 'click' THEN 'dbF' ELSE 'dbO' END AS database FROM events)
+      SELECT database, CAST(k AS VARCHAR) AS _id, NULL AS event, cust FROM d
+      UNION ALL SELECT database, CAST(coalesce((SELECT max(k) FROM d WHERE d.database = e.database), 0) + row_number() OVER (PARTITION BY database ORDER BY event_id) AS VARCHAR), CAST(event_id AS VARCHAR), NULL FROM e""",
+    "upsert_by_database": f"""WITH d AS ({_BY_STATUS}), c AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'dbF' ELSE 'dbO' END AS database, user_id AS k, 'e' || max(event_id) AS v FROM events GROUP BY 1, 2)
+      SELECT coalesce(d.database, c.database) AS database, CAST(coalesce(d.k, c.k) AS VARCHAR) AS _id, coalesce(v, cust) AS cust FROM d FULL JOIN c ON d.database = c.database AND d.k = c.k""",
+    "find_eq_operator": _orders("status = 'F' AND cust = 30"),
     "parse_auth": f"WITH {AUTH} SELECT {_FIELDS} FROM a",
     "parse_syslog": f"WITH {SYSLOG} SELECT {_FIELDS} FROM s",
     "parse_shell": f"WITH {SHELL} SELECT {_FIELDS} FROM b",
@@ -150,7 +162,7 @@ SQL: dict[str, str] = {
     "find_time_range": _orders("day > '1998-06-01T00:00:00Z' AND day < '1999-01-01'"),
     "find_like": _orders("trim(mixed) LIKE '%1_x'"),
     "find_in": _orders("(cust IN (3, 7) AND cust % 3 <> 2) OR mixed = '44x'"),
-    "find_in_table": f"WITH {_ORDERS} SELECT _id FROM o WHERE cust IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)",
+    "find_in_table": f"WITH {_ORDERS} SELECT _id FROM o WHERE cust IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
     "find_or": _orders("status = 'P' OR cust = 33"),
     "find_and": _orders("status = 'F' AND cust < 300"),
     "find_multi_op": _orders("cust > 100 AND cust < 300 AND priority LIKE '%-_IGH'"),

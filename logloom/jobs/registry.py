@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from logloom.operators.audit import merge_audit
 from logloom.operators.filters import dedupe_consecutive, drop_empty_raw, filter_events, filter_stateless, is_forced, rate_limit
 from logloom.operators.parsers import audit_columns, is_mergeable, normalize_events, parse_audit_record, parse_auth, parse_shell_history, parse_syslog
 from logloom.schemas import EVENT_FIELDS, FilterSettings
-from logloom.sources.documents import expand_payloads, insert_payloads, to_event_docs, to_json_lines
-from logloom.sources.lines import collect_events
+from logloom.sources.documents import expand_payloads, insert_payloads, load_collection, read_collection, read_payloads, save_collection, to_event_docs, to_json_lines
+from logloom.sources.lines import collect_events, read_lines
+from logloom.storage import session_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,8 +138,10 @@ def find_count(s: SparkSession, d: str) -> DataFrame:
 
 
 def find_in_table(s: SparkSession, d: str) -> DataFrame:
-    wanted = fx.table(s, d, "customer").where("c_custkey % 7 = 0").select(F.concat(F.lit("+"), F.col("c_custkey").cast("string")).alias("value"))
-    return dt.find_in(fx.order_docs(s, d), "cust", wanted).select("_id")
+    """Numbers and texts of the customers of one market segment."""
+    key = F.col("c_custkey").cast("string")
+    wanted = fx.table(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.when(F.col("c_custkey") % 3 == 2, F.concat(key, F.lit("x "))).otherwise(F.concat(F.lit("+"), key)).alias("value"))
+    return dt.find_in(fx.order_docs(s, d), "mixed", wanted).select("_id")
 
 
 def get_one(s: SparkSession, d: str) -> DataFrame:
@@ -164,7 +168,65 @@ def deleted(s: SparkSession, d: str) -> DataFrame:
     return kept.agg(F.count("*").alias("kept")).crossJoin(n.select(F.col("count").alias("removed")))
 
 
+def _new_path(s: SparkSession, name: str) -> str:
+    return f"{session_dir(s)}/{uuid.uuid4().hex}/{name}"
+
+
+def lines_from_files(s: SparkSession, d: str) -> DataFrame:
+    """Auth lines written with carriage returns, read back as a source and parsed."""
+    path = _new_path(s, "auth")
+    fx.auth_lines(s, d).select(F.concat("line", F.lit("\r")).alias("value")).write.option("lineSep", "\n").text(path)
+    return parse_auth(read_lines(s, "auth", path)).select("timestamp", "event_type", "user", "ip", "command", "raw_log")
+
+
+def payload_files(s: SparkSession, d: str) -> DataFrame:
+    """Insert requests written to files and read back, as a spool is."""
+    path = _new_path(s, "spool")
+    insert_payloads(parse_shell_history(fx.shell_lines(s, d)), "mydb", 50).select("payload").write.text(path)
+    return read_payloads(s, path).select("database", *[F.try_element_at("fields", F.lit(c)).alias(c) for c in ("timestamp", "command", "user")])
+
+
+def loaded(s: SparkSession, d: str) -> DataFrame:
+    """Orders written as objects of a JSON array, one a line with a comma behind, and loaded."""
+    path = _new_path(s, "collection")
+    rows = fx.order_docs(s, d).select(F.map_concat(F.create_map(F.lit("_id"), "_id"), "fields").alias("m"))
+    rows.select(F.concat(F.lit("  "), F.to_json("m"), F.lit(",")).alias("value")).write.text(path)
+    return load_collection(s, path, "mydb").select("database", "_id", F.col("fields.cust").alias("cust"), F.col("fields.mixed").alias("mixed"))
+
+
+def _two_databases(s: SparkSession, d: str) -> DataFrame:
+    """Orders in a database for each status."""
+    return fx.order_docs(s, d).withColumn("database", F.concat(F.lit("db"), F.col("fields.status")))
+
+
+def routed(s: SparkSession, d: str) -> DataFrame:
+    """A table of several databases saved, and one of them read."""
+    path = _new_path(s, "routed")
+    save_collection(_two_databases(s, d), path)
+    return read_collection(s, path, "dbF").select("database", "_id", F.col("fields.cust").alias("cust"))
+
+
+def inserted_by_database(s: SparkSession, d: str) -> DataFrame:
+    """Each database counts its own ids; the one of ``view`` events is new."""
+    at = F.when(F.col("event_type") == "view", "dbNew").when(F.col("event_type") == "click", "dbF").otherwise("dbO")
+    new = fx.table(s, d, "events").select(at.alias("database"), F.create_map(F.lit("event"), F.col("event_id").cast("string")).alias("fields"), "event_id")
+    return dt.insert(_two_databases(s, d), new, ("event_id",)).select("database", "_id", F.col("fields.event").alias("event"), F.col("fields.cust").alias("cust"))
+
+
+def upserted_by_database(s: SparkSession, d: str) -> DataFrame:
+    at = F.when(F.col("event_id") % 2 == 0, "dbF").otherwise("dbO")
+    changes = fx.table(s, d, "events").select(at.alias("database"), F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("\t")).alias("_id"), F.create_map(F.lit("cust"), F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("fields"), F.col("event_id").alias("seq"))
+    return dt.upsert(_two_databases(s, d), changes).select("database", "_id", F.col("fields.cust").alias("cust"))
+
+
 QUERIES: dict[str, Query] = {
+    "read_lines": lines_from_files,
+    "payload_files": payload_files,
+    "load_collection": loaded,
+    "collection_routing": routed,
+    "insert_by_database": inserted_by_database,
+    "upsert_by_database": upserted_by_database,
+    "find_eq_operator": _found('{"status":{"$eq":" F "},"mixed":{"$eq":"+30"}}'),
     "parse_syslog": lambda s, d: _shown(parse_syslog(fx.syslog_lines(s, d))),
     "parse_auth": lambda s, d: _shown(_auth(s, d)),
     "parse_shell": lambda s, d: _shown(parse_shell_history(fx.shell_lines(s, d))),

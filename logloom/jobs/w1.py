@@ -24,7 +24,11 @@ SETTINGS = FilterSettings(
 
 def reduce_logs(lines_by_source: dict[str, DataFrame], settings: FilterSettings = SETTINGS, audit_mode: str = "complete") -> DataFrame:
     """Parsed, merged, normalised and filtered events of all sources."""
-    return filter_events(collect_events(lines_by_source, audit_mode), settings)
+    events = collect_events(lines_by_source, audit_mode)
+    # A filter is not moved below a projection that numbers rows; moved into the parsers, it would repeat all of their
+    # expressions and outgrow what can be compiled.
+    rows = events.withColumn("_at", F.monotonically_increasing_id()).where("_at >= 0")
+    return filter_events(rows, settings).select(*events.columns)
 
 
 def run(spark: SparkSession, paths: dict[str, str], out: str, settings: FilterSettings = SETTINGS, hostname=None, agent_id: str | None = None) -> None:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logloom.operators.query import compile_query
+from logloom.storage import numbered
 
 
 def parse_documents(df: DataFrame, c: str | Column, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -56,41 +53,31 @@ def delete(docs: DataFrame, query: str | dict) -> tuple[DataFrame, DataFrame]:
 
 
 def upsert(docs: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
-    """The last document of each trimmed ``_id``; ``changes`` come after ``docs`` and among themselves by ``seq``."""
+    """The last document of each trimmed ``_id`` of a database; ``changes`` come after ``docs`` and among themselves by ``seq``.
+
+    Ties, as two documents of ``docs`` with one trimmed id, go by untrimmed id and fields.
+    """
     from logloom.functions.text import db_trim
 
     columns = docs.columns
     both = docs.withColumn("_turn", F.lit(None).cast("long")).unionByName(changes.withColumn("_turn", F.col(seq).cast("long")).select(*columns, "_turn"))
-    kept = both.withColumn("_id", db_trim(F.col("_id"))).groupBy("_id").agg(F.max_by(F.struct(*columns), F.coalesce("_turn", F.lit(-(2**62)))).alias("d"))
-    return kept.select(*[F.col(f"d.{c}").alias(c) for c in columns])
+    place = F.struct(F.coalesce("_turn", F.lit(-(2**62))), F.col("_id"), F.xxhash64(F.map_entries("fields")))
+    kept = both.groupBy("database", db_trim(F.col("_id")).alias("_trimmed")).agg(F.max_by(F.struct(*columns), place).alias("d"))
+    return kept.select(*[F.col("_trimmed").alias(c) if c == "_id" else F.col(f"d.{c}").alias(c) for c in columns])
 
 
-def next_id(docs: DataFrame) -> Column | DataFrame:
-    """One row: the largest numeric id + 1 (1 for none)."""
-    return docs.agg((F.coalesce(F.max(F.col("_id").try_cast("long")), F.lit(0)) + 1).alias("start"))
+def next_id(docs: DataFrame) -> DataFrame:
+    """``database, start``: the largest numeric id of each database + 1 (1 for none)."""
+    return docs.groupBy("database").agg((F.coalesce(F.max(F.col("_id").try_cast("long")), F.lit(0)) + 1).alias("start"))
 
 
 def assign_ids(new_docs: DataFrame, start: DataFrame, order_by: tuple[str, ...]) -> DataFrame:
-    """Dense ids in the order of ``order_by``, from the one value of ``start``.
-
-    No row number over the whole table: rows are dealt by range and sorted inside
-    partitions, and each partition is shifted by the rows before it, one count a
-    partition.
-    """
-    spark = new_docs.sparkSession
-    ranged = new_docs.drop("_id").repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_row", F.monotonically_increasing_id())
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/logloom-shared"
-    path = f"{where.rstrip('/')}/logloom/{uuid.uuid4().hex}/numbered"
-    ranged.write.parquet(path)  # both passes must see the same partitions
-    numbered = spark.read.schema(ranged.schema).parquet(path).withColumn("_part", F.shiftright("_row", 33))
-    counts = numbered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = counts.select("_part", (before - F.col("_first")).alias("_shift"))  # one row a partition
-    rows = numbered.join(F.broadcast(shifts), "_part").crossJoin(F.broadcast(start))
-    return rows.withColumn("_id", (F.col("_row") + F.col("_shift") + F.col("start")).cast("string")).drop("_row", "_part", "_shift", "start")
+    """Dense ids in the order of ``order_by`` inside each database, from its ``start`` or from 1 where it is new."""
+    rows = numbered(new_docs.drop("_id"), "database", order_by, "_number").join(start, "database", "left")
+    return rows.withColumn("_id", (F.col("_number") + F.coalesce("start", F.lit(1))).cast("string")).drop("_number", "start")
 
 
 def insert(docs: DataFrame, new_docs: DataFrame, order_by: tuple[str, ...]) -> DataFrame:
-    """``docs`` and ``new_docs`` with the next ids; an ``_id`` of a new document is ignored, rows without fields are rejected."""
-    numbered = assign_ids(new_docs.where("fields is not null"), next_id(docs), order_by)
-    return docs.unionByName(numbered.select(*docs.columns))
+    """``docs`` and ``new_docs`` with the next ids of their database; an ``_id`` of a new document is ignored, rows without fields are rejected."""
+    made = assign_ids(new_docs.where("fields is not null"), next_id(docs), order_by)
+    return docs.unionByName(made.select(*docs.columns))

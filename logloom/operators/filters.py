@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from logloom.functions.text import contains_any, severity_rank
 from logloom.schemas import FilterSettings
+from logloom.storage import numbered, stored
 
 RATE_KEY = ("hostname", "source", "event_type", "process", "user", "ip")
 
@@ -43,12 +44,24 @@ def filter_stateless(events: DataFrame, s: FilterSettings) -> DataFrame:
     return drop_empty_raw(events, s).where(is_forced(s) | passes_stateless(s))
 
 
+#: Rows of a host that are looked at in one run.
+RUN_ROWS = 100_000
+
+
 def dedupe_consecutive(events: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """Shell history events whose command equals the one before on the same host go; other events stay."""
-    shell = events.where("source = 'bash_history'")
-    before = F.lag("command").over(Window.partitionBy("hostname").orderBy(*order))
-    kept = shell.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("command") != F.col("_before")) | (F.col("command") == "")).drop("_before")
-    return events.where("source != 'bash_history'").unionByName(kept)
+    """Shell history events whose command equals the one before on the same host go; other events stay.
+
+    A host's rows are numbered and dealt in runs; the last row of a run is shown to the
+    next one, too, so a noisy host spreads over tasks.
+    """
+    shell = numbered(events.where("source = 'bash_history'"), "hostname", order, "_n")
+    run = F.floor(F.col("_n") / RUN_ROWS)
+    runs = F.when(F.col("_n") % RUN_ROWS == RUN_ROWS - 1, F.array(run, run + 1)).otherwise(F.array(run))
+    dealt = shell.withColumn("_own", run).withColumn("_run", F.explode(runs))
+    before = F.lag("command").over(Window.partitionBy("hostname", "_run").orderBy("_n"))
+    seen = dealt.withColumn("_before", before).where("_own = _run")
+    kept = seen.where(F.col("_before").isNull() | (F.col("command") != F.col("_before")) | (F.col("command") == ""))
+    return events.where("source != 'bash_history'").unionByName(kept.select(*events.columns))
 
 
 #: Windows in a slice of time.
@@ -159,8 +172,9 @@ def rate_limit(events: DataFrame, window_sec: int) -> DataFrame:
     order = ("_key", "_slice", "_us")
     told = keyed.select(*order).repartition("_key", "_slice").sortWithinPartitions(*order).mapInArrow(ways, "_key string, _slice long, upto long, out long")
     entered = told.repartition("_key").sortWithinPartitions("_key", "_slice", "upto").mapInArrow(follow, "_key string, _slice long, _entered long").dropDuplicates(["_key", "_slice"])
-    dealt = keyed.join(entered, ["_key", "_slice"], "left").select(*[F.col(c) for c in events.columns], *order, "_entered")
-    return dealt.repartition("_key", "_slice").sortWithinPartitions(*order, "seq").mapInArrow(accept, schema)
+    # Times of entry are brought to the rows' own partitioning; the join deals rows by the same keys, so they move once.
+    dealt = keyed.join(entered.hint("merge"), ["_key", "_slice"], "left").select(*[F.col(c) for c in events.columns], *order, "_entered")
+    return dealt.sortWithinPartitions(*order, "seq").mapInArrow(accept, schema)
 
 
 def filter_events(events: DataFrame, s: FilterSettings) -> DataFrame:
@@ -168,6 +182,8 @@ def filter_events(events: DataFrame, s: FilterSettings) -> DataFrame:
     rows = filter_stateless(events, s)
     if not s.dedupe_bash_history and s.rate_limit_window_sec <= 0:
         return rows
+    # The stateful rules read the survivors several times, so lines are parsed and merged once.
+    rows = stored(rows, "survivors")
     forced = rows.where(is_forced(s))
     rest = rows.where(~is_forced(s))
     if s.dedupe_bash_history:

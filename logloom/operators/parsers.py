@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.text import after, audit_serial, audit_time, between, icontains, kv, leading_iso, sanitize_raw, to_iso_utc
+from logloom.functions.text import after, audit_serial, audit_time, between, icontains, kv, leading_iso, sanitize_raw, with_iso_utc
 from logloom.schemas import CARRIED, EVENT_FIELDS
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -18,8 +18,7 @@ def _ingest() -> Column:
 def normalize_events(df: DataFrame, local_tz: str = "UTC") -> DataFrame:
     """Times to UTC, raw text sanitised, empty source, type and severity given their defaults."""
     default = lambda c, v: F.when(F.col(c) == "", v).otherwise(F.col(c))
-    return df.withColumns({
-        "timestamp": F.when(F.col("timestamp") == "", "").otherwise(to_iso_utc(F.col("timestamp"), local_tz)),
+    return with_iso_utc(df, "timestamp", local_tz).withColumns({
         "raw_log": sanitize_raw(F.col("raw_log")),
         "source": default("source", "unknown"), "event_type": default("event_type", "raw"), "severity": default("severity", "low"),
     })

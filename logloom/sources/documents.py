@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logloom.operators.documents import parse_documents
 from logloom.schemas import ALWAYS, OPTIONAL
+from logloom.storage import numbered
 
 REQUEST = "database string, operation string, data string, query string"
 
@@ -25,13 +25,15 @@ def to_json_lines(docs: DataFrame) -> DataFrame:
 def insert_payloads(events: DataFrame, database: str, batch_size: int, order_by: tuple[str, ...] = ("event_time", "source", "seq")) -> DataFrame:
     """Insert requests of ``batch_size`` events of one agent in order, the last one shorter: ``agent_id, batch_no, payload``.
 
-    Rows are numbered inside each agent; arrays hold ``batch_size`` rows at most.
+    Rows are numbered inside each agent by ranges, so one agent may have all rows;
+    arrays hold ``batch_size`` rows at most.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be 1 at least")
-    number = F.row_number().over(Window.partitionBy("agent_id").orderBy(*order_by, "raw_log")) - 1
     doc = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ALWAYS], *[F.nullif(c, F.lit("")).alias(c) for c in OPTIONAL])
-    rows = events.select("agent_id", number.alias("n"), doc.alias("doc")).withColumn("batch_no", F.floor(F.col("n") / batch_size))
+    order = tuple(dict.fromkeys((*order_by, "raw_log")))
+    rows = events.select("agent_id", *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], doc.alias("doc"))
+    rows = numbered(rows, "agent_id", tuple(f"_{i}" for i in range(len(order))), "n").withColumn("batch_no", F.floor(F.col("n") / batch_size))
     batches = rows.groupBy("agent_id", "batch_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "doc"))), lambda r: r["doc"]).alias("data"))
     empty = F.create_map().cast("map<string,string>")
     return batches.select("agent_id", "batch_no", F.to_json(F.struct(F.lit(database).alias("database"), F.lit("insert").alias("operation"), "data", empty.alias("query"))).alias("payload"))

@@ -93,3 +93,14 @@ def test_payloads(spark, tmp_path):
     assert io.expand_payloads(single).first()["fields"] == {"a": "1"}
     doc = io.to_json_lines(io.to_event_docs(events, "me")).first()["value"]
     assert '"agent_id":"me"' in doc and '"command"' not in doc
+
+
+def test_databases_are_apart(spark):
+    rows = spark.createDataFrame([("a", "41", {"k": "1"}), ("b", "1", {"k": "2"}), ("a", "1", {"k": "3"}), ("a", " 1", {"k": "4"})], DOC)
+    new = spark.createDataFrame([(d, {"n": str(i)}, i) for i, d in enumerate("abcab")] + [("a", None, 9)], "database string, fields map<string,string>, i int")
+    made = {(r["database"], r["_id"]) for r in docs.insert(rows, new, ("i",)).where("fields['n'] is not null").collect()}
+    assert made == {("a", "42"), ("a", "43"), ("b", "2"), ("b", "3"), ("c", "1")}
+    changes = spark.createDataFrame([("a", "1 ", {"k": "new"}, 1)], DOC + ", seq long")
+    got = {(r["database"], r["_id"]): r["fields"]["k"] for r in docs.upsert(rows, changes).collect()}
+    assert got == {("a", "41"): "1", ("b", "1"): "2", ("a", "1"): "new"}
+    assert docs.upsert(rows, changes.limit(0)).count() == 3

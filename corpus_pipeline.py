@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from logloom.llm import jaccard, line_templates, packing, pii, quality
-from logloom.llm.shared import documents, shared_dir, table
+from logloom.llm.shared import documents, session_dir, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        out = f"{shared_dir(spark)}/logloom/{uuid.uuid4().hex}/stage-{name}"
+        out = f"{session_dir(spark)}/{uuid.uuid4().hex}/stage-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return STAGES[-1][1](spark, docs, sf_dir)

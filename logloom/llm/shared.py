@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.storage import session_dir, shared_dir, stored
+
+__all__ = ["WORD", "documents", "session_dir", "shared_dir", "stored", "table", "text_or_empty"]
+
 #: The separators between words, as in the contracts: blank, tab, LF, VT, FF, CR.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -20,25 +21,5 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"{tempfile.gettempdir()}/logloom-shared"
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back.
-
-    Cuts the lineage: what follows survives lost executors without running the
-    steps before again, and readers prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/logloom/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

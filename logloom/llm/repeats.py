@@ -6,15 +6,16 @@ windows have equal anchors, and only one phrase in about six is an anchor.
 
 1. *Copies.* Documents with the same words are one class; the later ones lose
    all words, if they have a window at all, and take no further part.
-2. *Confirm.* Anchors of all documents meet by hash; those that occur twice are
-   recurring phrases.
-3. *Automata.* Documents are dealt to shards. A shard compiles the recurring
-   phrases its documents need into an Aho-Corasick automaton (of words joined by
-   single blanks) and streams all its documents through it, which locates every
-   occurrence by its words, not by its hash.
-4. *Earliest start.* Windows around located anchors meet by hash; each but the
-   earliest (smaller ``doc_id``, then earlier start) covers its words, and covered
-   words are removed.
+2. *Recurring anchors.* Anchors of all documents meet by hash; documents that
+   share one send its words, and their windows around it, on.
+3. *Confirm.* A phrase whose words two occurrences sent is a confirmed phrase; of
+   equal windows each but the earliest (smaller ``doc_id``, then earlier start) is
+   marked.
+4. *Automata.* Documents are dealt to shards. A shard compiles the confirmed phrases
+   that its documents may hold, in the words that any document sent, into one
+   Aho-Corasick automaton (of words joined by single blanks) and streams all of its
+   documents through it. A marked window whose anchor the automaton locates covers
+   its words, and covered words are removed; marks alone remove nothing.
 
 Windows are compared by two 64-bit hashes, so a false match has a chance of about
 1e-38 for each pair. Nulls: null text has no words. Rows with
@@ -31,7 +32,7 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.jaccard import classes_of, one_text_each, only_representatives
@@ -41,7 +42,7 @@ from logloom.llm.wordhash import mix, rolling_phrase_hashes, text_chunks, words_
 
 WINDOW = 20
 ANCHOR = 10
-#: Words that one automaton serves.
+#: Words of the documents that one automaton serves, about.
 SHARD_WORDS = 400_000
 
 _S1, _S2 = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
@@ -132,144 +133,236 @@ def _single_blanks(raw: bytes) -> bytes:
     return b" " + b" ".join(raw.split()) + b" " if b"  " in raw[1:-1] else raw
 
 
-class Shard:
-    """Documents and the automaton of the recurring phrases that they need."""
+def _line(words, a: int, b: int) -> tuple[str, np.ndarray]:
+    """The words joined by single blanks, one character a byte, and the places of the blanks before each word."""
+    raw = _single_blanks(_words(words, a, b))
+    return raw.decode("latin-1"), np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 32)
 
-    def __init__(self):
-        self.docs: list[tuple] = []
-        self.phrases: dict[str, int] = {}
+
+def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each document, as :func:`_shard_column`; ids in steps spread, as ``shards`` is a prime."""
+    return ((ids ^ (ids >> 17)) % shards).astype(np.int32)
+
+
+def _shard_column(doc_id: Column, text: Column, shards: int) -> Column:
+    """Rows without an id are dealt by their text."""
+    key = F.coalesce(doc_id.bitwiseXOR(F.shiftright(doc_id, 17)), F.xxhash64(text))
+    return F.pmod(key, F.lit(shards)).cast("int")
+
+
+def _prime_from(n: int) -> int:
+    n = max(n, 2)
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+SENT = "bucket int, hashes binary, checks binary, ids binary, starts binary, shards binary, counts binary, phrases binary"
+TO_SHARDS = "shard int, ids binary, starts binary, phrases binary, copy long"
+
+
+def _runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    if not len(sorted_keys):
+        return []
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(sorted_keys)) + 1, [len(sorted_keys)]])
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+class Sent:
+    """Recurring phrases in words, and windows around them, of a run of documents, by bucket."""
+
+    def __init__(self, shards: int, buckets: int):
+        self.shards, self.buckets = shards, buckets
+        self.phrases: dict[tuple[int, int, bytes], int] = {}  # bucket, shard and words: occurrences
+        self.windows: list[tuple] = []
         self.words = 0
 
     def add(self, doc_id: int, words, a: int, b: int, recurring: np.ndarray) -> None:
         hashes = words.hash[a:b]
         phrases, at = anchors(hashes)
-        mine = np.unique(at)
-        mine = mine[np.isin(phrases[mine], recurring)]
-        if not len(mine):
+        known = np.isin(phrases, recurring)
+        where = np.flatnonzero(known[at])
+        if not len(where):
             return
-        line = _single_blanks(_words(words, a, b)).decode("latin-1")  # one character a byte
-        # Where the words start in the line, at the blank before them.
-        blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 32)
-        for p in mine.tolist():
-            phrase = line[blanks[p] : blanks[p + ANCHOR] + 1]
-            self.phrases.setdefault(phrase, len(self.phrases))
-        self.docs.append((doc_id, hashes.copy(), at, line, blanks))
+        line, blanks = _line(words, a, b)
+        mine = np.unique(at[where])
+        shard = int(shard_of(np.array([doc_id]), self.shards)[0])
+        for bucket, p in zip(bucket_of(phrases[mine], self.buckets).tolist(), mine.tolist(), strict=True):
+            key = (bucket, shard, line[blanks[p] + 1 : blanks[p + ANCHOR]].encode("latin-1"))
+            self.phrases[key] = self.phrases.get(key, 0) + 1
+        self.windows.append((np.full(len(where), doc_id), where, rolling_phrase_hashes(hashes, WINDOW)[where], rolling_phrase_hashes(mix(hashes ^ _S1), WINDOW)[where]))
         self.words += b - a
 
-    def occurrences(self):
-        """``(doc_id, starts of windows whose anchor was located, two hashes of each)`` for every document."""
-        if not self.docs:
-            return
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for phrase in self.phrases:
-            machine.add_word(phrase, len(phrase))
-        machine.make_automaton()
-        for doc_id, hashes, at, line, blanks in self.docs:
-            starts = np.array([end - size + 1 for end, size in machine.iter(line)], dtype=np.int64)
-            located = np.zeros(len(hashes) + 1, dtype=bool)
-            located[np.searchsorted(blanks, starts)] = True
-            where = np.flatnonzero(located[at])
-            yield doc_id, where, rolling_phrase_hashes(hashes, WINDOW)[where], rolling_phrase_hashes(mix(hashes ^ _S1), WINDOW)[where]
-
-
-def _covered(docs: DataFrame, buckets: int) -> DataFrame:
-    """``doc_id, starts``: packed starts of the windows that also start earlier; ``docs`` has ``hashes``, too."""
-
-    def send(shard: Shard):
-        found = list(shard.occurrences())
-        if not found:
-            return
-        ids = np.concatenate([np.full(len(where), doc_id) for doc_id, where, *_ in found])
-        starts, hashes, checks = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
-        b = bucket_of(hashes, buckets)
-        order = np.argsort(b, kind="stable")
-        b, ids, starts, hashes, checks = b[order], ids[order], starts[order], hashes[order], checks[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]]) if len(b) else np.zeros(1, dtype=int)
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            yield int(b[lo]), hashes[lo:hi].tobytes(), checks[lo:hi].tobytes(), ids[lo:hi].tobytes(), starts[lo:hi].astype(np.uint32).tobytes()
+    def batch(self) -> pa.RecordBatch | None:
+        rows = []
+        if self.windows:
+            ids, starts, hashes, checks = (np.concatenate([w[i] for w in self.windows]) for i in range(4))
+            b = bucket_of(hashes, self.buckets)
+            order = np.argsort(b, kind="stable")
+            b, ids, starts, hashes, checks = b[order], ids[order], starts[order].astype(np.uint32), hashes[order], checks[order]
+            rows = [(int(b[x]), hashes[x:y].tobytes(), checks[x:y].tobytes(), ids[x:y].tobytes(), starts[x:y].tobytes(), None, None, None) for x, y in _runs(b)]
+        by_bucket: dict[int, list] = {}
+        for (bucket, shard, words), n in self.phrases.items():
+            by_bucket.setdefault(bucket, []).append((shard, n, words))
+        for bucket, found in by_bucket.items():
+            shards, counts, words = zip(*found, strict=True)
+            rows.append((bucket, None, None, None, None, np.array(shards, dtype=np.int32).tobytes(), np.array(counts, dtype=np.int32).tobytes(), b"\n".join(words)))
+        if not rows:
+            return None
+        kinds = (pa.int32(), *[pa.binary()] * 7)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in SENT.split(", ")])
+
+
+def _later_windows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and starts of the windows that also start earlier."""
+    parts = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint64), np.frombuffer(i, np.int64), np.frombuffer(s, np.uint32)) for h, c, i, s in zip(*(t[n].to_pylist() for n in ("hashes", "checks", "ids", "starts")), strict=True) if h is not None]
+    if not parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+    h, c, i, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((s, i, c, h))
+    h, c, i, s = h[order], c[order], i[order], s[order]
+    first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+    least = np.flatnonzero(first)[np.cumsum(first) - 1]
+    later = (i != i[least]) | (s != s[least])  # a repeated row is the same occurrence, not an earlier one
+    return i[later], s[later]
+
+
+def _confirmed_phrases(t: pa.Table) -> dict[int, list[bytes]]:
+    """The phrases that two occurrences sent in the same words, for each shard that asks for them."""
+    asked: dict[bytes, tuple[int, set]] = {}
+    for shards, counts, words in zip(*(t[n].to_pylist() for n in ("shards", "counts", "phrases")), strict=True):
+        if words is not None:
+            for shard, n, w in zip(np.frombuffer(shards, np.int32).tolist(), np.frombuffer(counts, np.int32).tolist(), words.split(b"\n"), strict=True):
+                before, who = asked.get(w, (0, set()))
+                who.add(shard)
+                asked[w] = (before + n, who)
+    out: dict[int, list[bytes]] = {}
+    for w, (n, who) in asked.items():
+        if n > 1:
+            for shard in who:
+                out.setdefault(shard, []).append(w)
+    return out
+
+
+def _for_shards(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
+    """:data:`TO_SHARDS`: marked windows and confirmed phrases; ``docs`` has ``hashes``, too."""
 
     def run(batches):
-        names = ["bucket", "hashes", "checks", "ids", "starts"]
-        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names)
+        sent = Sent(shards, buckets)
         for batch in batches:
-            shard = Shard()
             ids, known = batch.column(0).to_numpy(), batch.column(2)
             for row, w, a, b in _texts_with_windows(batch.column(1)):
-                shard.add(int(ids[row]), w, a, b, np.frombuffer(known[row].as_py(), dtype=np.uint64))
-                if shard.words >= SHARD_WORDS:
-                    rows = list(send(shard))
-                    if rows:
-                        yield batch_of(rows)
-                    shard = Shard()
-            rows = list(send(shard))
-            if rows:
-                yield batch_of(rows)
+                sent.add(int(ids[row]), w, a, b, np.frombuffer(known[row].as_py(), dtype=np.uint64))
+                if sent.words >= SHARD_WORDS:
+                    yield sent.batch()
+                    sent = Sent(shards, buckets)
+        if (last := sent.batch()) is not None:
+            yield last
 
     def meet(t: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in t[c].to_pylist()])
-        h, c, i, s = join("hashes", np.uint64), join("checks", np.uint64), join("ids", np.int64), join("starts", np.uint32)
-        order = np.lexsort((s, i, c, h))
-        h, c, i, s = h[order], c[order], i[order], s[order]
-        # A repeated row is the same occurrence, not an earlier one.
-        first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        least = np.flatnonzero(first)[np.cumsum(first) - 1]
-        later = (i != i[least]) | (s != s[least])
-        return to_owners(i[later], s[later], buckets)
-
-    sent = docs.select("doc_id", "text", "hashes").mapInArrow(run, "bucket int, hashes binary, checks binary, ids binary, starts binary")
-    return gathered_by_owner(sent.groupBy("bucket").applyInArrow(meet, TO_OWNERS), "uint32", "starts")
-
-
-def _kept(docs: DataFrame) -> DataFrame:
-    """Reads ``doc_id, text, starts, copy`` and keeps the words that no later window covers."""
-
-    def run(batches):
-        for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            starts, copies = batch.column(2), batch.column(3).to_pylist()
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                w = words_of(data, offsets)
-                for i in range(hi - lo):
-                    a, b = int(w.first[i]), int(w.first[i + 1])
-                    n = b - a
-                    gone = np.zeros(n + 1, dtype=np.int64)
-                    if copies[lo + i] and n >= WINDOW:
-                        gone[:] = 1
-                    else:
-                        s = np.frombuffer(starts[lo + i].as_py() or b"", dtype=np.uint32)
-                        gone[s] += 1
-                        gone[s + WINDOW] -= 1
-                        gone = np.cumsum(gone)
-                    stay = np.flatnonzero(gone[:n] <= 0)
-                    n_words.append(n)
-                    n_removed.append(n - len(stay))
-                    runs = np.concatenate([[0], np.flatnonzero(np.diff(stay) > 1) + 1, [len(stay)]]) if len(stay) else np.zeros(1, dtype=int)
-                    spans = zip(w.start[a + stay[runs[:-1]]], w.end[a + stay[runs[1:] - 1]], strict=True) if len(stay) else ()
-                    kept.append(hashlib.sha256(b" ".join(b" ".join(w.data[x:y].tobytes().split()) for x, y in spans)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return docs.select("doc_id", "text", "starts", "copy").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` for every row of ``docs``."""
+        i, s = _later_windows(t)
+        to = shard_of(i, shards)
+        order = np.lexsort((s, i, to))
+        to, i, s = to[order], i[order], s[order]
+        rows = [(int(to[x]), i[x:y].tobytes(), s[x:y].tobytes(), None) for x, y in _runs(to)]
+        rows += [(shard, None, None, b"\n".join(words)) for shard, words in _confirmed_phrases(t).items()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        return pa.table({"shard": pa.array(columns[0], pa.int32()), "ids": pa.array(columns[1], pa.binary()), "starts": pa.array(columns[2], pa.binary()), "phrases": pa.array(columns[3], pa.binary()), "copy": pa.nulls(len(rows), pa.int64())})
+
+    return docs.select("doc_id", "text", "hashes").mapInArrow(run, SENT).groupBy("bucket").applyInArrow(meet, TO_SHARDS)
+
+
+RESULT = "doc_id long, n_words long, n_located long, n_removed long, kept_sha256 string"
+
+
+def automaton(phrases: set[bytes]):
+    """Finds phrases between blanks; None for no phrases."""
+    if not phrases:
+        return None
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for phrase in phrases:
+        machine.add_word(f" {phrase.decode('latin-1')} ", len(phrase) + 2)
+    machine.make_automaton()
+    return machine
+
+
+def _without_covered(words, a: int, b: int, machine, marked: np.ndarray) -> tuple[int, np.ndarray]:
+    """``(occurrences located, words that stay)`` of one text with a window at least."""
+    line, blanks = _line(words, a, b)
+    starts = np.array([end - size + 1 for end, size in machine.iter(line)], dtype=np.int64)
+    gone = np.zeros(b - a + 1, dtype=np.int64)
+    if len(marked) and len(starts):
+        located = np.zeros(b - a + 1, dtype=bool)
+        located[np.searchsorted(blanks, starts)] = True
+        _, at = anchors(words.hash[a:b])
+        s = marked[located[at[marked]]]
+        gone[s] += 1
+        gone[s + WINDOW] -= 1
+    return len(starts), np.flatnonzero(np.cumsum(gone)[: b - a] <= 0)
+
+
+def shard_result(docs: pa.Table, known: pa.Table) -> pa.Table:
+    """Streams the documents of one shard (``doc_id, text, apart``) through its automaton; ``known`` are its :data:`TO_SHARDS`."""
+    machine = automaton({p for blob in known["phrases"].to_pylist() if blob is not None for p in blob.split(b"\n")})
+    copies = {c for c in known["copy"].to_pylist() if c is not None}
+    none = np.zeros(0, dtype=np.uint32)
+    packed = [(np.frombuffer(i, np.int64), np.frombuffer(s, np.uint32)) for i, s in zip(known["ids"].to_pylist(), known["starts"].to_pylist(), strict=True) if i is not None]
+    ids, starts = (np.concatenate(x) for x in zip(*packed, strict=True)) if packed else (np.zeros(0, dtype=np.int64), none)
+    order = np.argsort(ids, kind="stable")
+    ids, starts = ids[order], starts[order]
+    marks = {int(ids[x]): np.unique(starts[x:y]) for x, y in _runs(ids)}
+    doc_ids, apart = docs["doc_id"].to_pylist(), docs["apart"].to_pylist()
+    out = [[], [], [], []]
+    texts = docs["text"].combine_chunks()
+    for text in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        for lo, hi, data, offsets in text_chunks(text):
+            w = words_of(data, offsets)
+            for i in range(hi - lo):
+                a, b = int(w.first[i]), int(w.first[i + 1])
+                doc_id, n = doc_ids[len(out[0])], b - a
+                located, stay = 0, np.arange(n)
+                if n >= WINDOW and doc_id is not None and not apart[len(out[0])]:
+                    if doc_id in copies:
+                        stay = stay[:0]
+                    elif machine is not None:
+                        located, stay = _without_covered(w, a, b, machine, marks.get(doc_id, none))
+                runs = np.concatenate([[0], np.flatnonzero(np.diff(stay) > 1) + 1, [len(stay)]]) if len(stay) else np.zeros(1, dtype=int)
+                spans = zip(w.start[a + stay[runs[:-1]]], w.end[a + stay[runs[1:] - 1]], strict=True) if len(stay) else ()
+                kept = hashlib.sha256(b" ".join(b" ".join(w.data[x:y].tobytes().split()) for x, y in spans)).hexdigest()
+                for column, value in zip(out, (n, located, n - len(stay), kept), strict=True):
+                    column.append(value)
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array(out[0], pa.int64()), "n_located": pa.array(out[1], pa.int64()), "n_removed": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string())})
+
+
+def streamed(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_words, n_located, n_removed, kept_sha256`` for every row of ``docs``.
+
+    ``n_located`` counts the occurrences of confirmed phrases that the shard's automaton
+    located (0 for copies, which are not streamed).
+    """
     spark = docs.sparkSession
     plain, others = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
     members = stored(_members(plain), "members").where("doc_id is not null")
     classes = stored(classes_of(members, ["n", "d1", "d2"]), "classes")
     total = members.agg(F.sum("n")).collect()[0][0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = _prime_from(max(parts, total // SHARD_WORDS))
     reps = only_representatives(plain.where("doc_id is not null"), classes)
     recurring = stored(_recurring(reps, max(parts, total // 8_000_000)), "recurring")
-    # Only documents with recurring phrases are streamed; the join brings each beside its phrases.
-    streamed = reps.join(recurring, "doc_id")
-    covered = stored(_covered(streamed, max(parts, total // 4_000_000)), "covered")
-    copies = classes.where("doc_id != rep").select("doc_id", F.lit(True).alias("copy")).distinct()
-    marks = covered.join(copies, "doc_id", "full_outer")
-    rows = plain.join(marks, "doc_id", "left")
+    known = stored(_for_shards(reps.join(recurring, "doc_id"), shards, max(parts, total // 4_000_000)), "known")
+    copies = classes.where("doc_id != rep").select("doc_id").distinct()
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("ids", "starts", "phrases")]
+    known = known.unionByName(copies.select(_shard_column(F.col("doc_id"), F.lit(""), shards).alias("shard"), *empty, F.col("doc_id").alias("copy")))
+    rows = plain.withColumn("apart", F.lit(False))
     if others is not None:
-        rows = rows.unionByName(others.withColumns({"starts": F.lit(None).cast("binary"), "copy": F.lit(None).cast("boolean")}))
-    return _kept(rows)
+        rows = rows.unionByName(others.withColumn("apart", F.lit(True)))
+    rows = rows.withColumn("shard", _shard_column(F.col("doc_id"), F.col("text"), shards))
+    return rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(shard_result, RESULT)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` for every row of ``docs``."""
+    return streamed(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

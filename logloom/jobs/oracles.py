@@ -114,6 +114,15 @@ w AS (SELECT * FROM g WHERE near IS NULL OR NOT near UNION ALL
 _BY_STATUS = "SELECT 'db' || o_orderstatus AS database, o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS cust FROM orders"
 
 SQL: dict[str, str] = {
+    "pipeline_w3": f"""WITH d AS ({_BY_STATUS}), e AS (SELECT event_id, user_id * 10 AS cust, CASE event_type WHEN 'click' THEN 'dbF' ELSE 'dbO' END AS database FROM events),
+t AS (SELECT database, k AS i, NULL AS event, CAST(cust AS BIGINT) AS cust FROM d WHERE database <> 'dbP' UNION ALL
+  SELECT e.database, (SELECT max(k) FROM d WHERE d.database = e.database) + row_number() OVER (PARTITION BY e.database ORDER BY event_id), CAST(event_id AS VARCHAR), cust FROM e)
+SELECT database, CAST(i AS VARCHAR) AS _id, event, CAST(cust AS VARCHAR) AS cust FROM t WHERE (database = 'dbO' AND cust <= 400) OR (database = 'dbF' AND cust >= 50)""",
+    "stream_merge_audit": f"""WITH {AUDIT}, m AS (WITH {_EAGER}), one AS ({_SINGLE}), al AS (SELECT {_FIELDS} FROM m UNION ALL SELECT {_FIELDS} FROM one)
+SELECT timestamp, hostname, event_type, nullif(process, '') AS process, severity, nullif("user", '') AS "user", nullif(command, '') AS command, raw_log FROM al""",
+    "stream_filter": f"""WITH RECURSIVE {AUTH}, q AS (SELECT *, date_trunc('millisecond', CAST(left(timestamp, 23) AS TIMESTAMP)) AS ts FROM a WHERE event_type <> 'ssh_fail'),
+{_limit("q", ["hostname", "event_type", "process", '"user"', "ip"], 21600)}, al AS (SELECT {_FIELDS} FROM w UNION ALL SELECT {_FIELDS} FROM a WHERE event_type = 'ssh_fail')
+SELECT timestamp, hostname, event_type, nullif(process, '') AS process, severity, nullif("user", '') AS "user", nullif(ip, '') AS ip, raw_log FROM al""",
     "read_lines": f"""WITH {AUTH} SELECT timestamp, event_type, "user", ip, command, raw_log FROM a""",
     "payload_files": f"""WITH {SHELL} SELECT 'mydb' AS database, timestamp, command, CAST(NULL AS VARCHAR) AS "user" FROM b""",
     "load_collection": f"WITH {_ORDERS} SELECT 'mydb' AS database, _id, CAST(cust AS VARCHAR) AS cust, mixed FROM o",

@@ -35,9 +35,12 @@ def read_lines(spark: SparkSession, source: str, path: str | list[str], hostname
     return _shaped(text, source, hostname, agent_id, F.monotonically_increasing_id())
 
 
-def stream_lines(spark: SparkSession, source: str, path: str, hostname: str | Column | None = None, agent_id: str | Column | None = None, max_files: int | None = None) -> DataFrame:
+def stream_lines(spark: SparkSession, source: str, path: str, hostname: str | Column | None = None, agent_id: str | Column | None = None, max_files: int | None = None, since: str | None = None) -> DataFrame:
     """New files of rolled logs in directory ``path`` as a stream; offsets are kept by the query's checkpoint.
 
+    It starts at the oldest file; with ``since`` (see :func:`first_start`) files last changed
+    before that time are passed over.
+
     A stream has no row numbers, so a rolled file is read as a whole and split;
     ``seq`` orders lines by file time and place, for files of up to four million
     lines.
@@ -47,7 +50,20 @@ def stream_lines(spark: SparkSession, source: str, path: str, hostname: str | Co
     reader = spark.readStream.option("wholetext", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _rolled(reader.text(path), source, hostname, agent_id)
+    text = reader.text(path)
+    if since:
+        text = text.where(F.col("_metadata.file_modification_time") >= F.lit(since).cast("timestamp"))
+    return _rolled(text, source, hostname, agent_id)
+
+
+def first_start(spark: SparkSession, folder: str) -> str:
+    """The time of the first call with ``folder``, which is kept there.
+
+    A tail that begins at the end takes it as ``since``: also after a restart it then
+    reads what came while it was down.
+    """
+    spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")).write.mode("ignore").text(folder)
+    return spark.read.text(folder).first()[0]
 
 
 def read_rolled(spark: SparkSession, source: str, path: str | list[str], hostname: str | Column | None = None, agent_id: str | Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from logloom.operators.audit import merge_audit
 from logloom.operators.filters import filter_events
 from logloom.operators.parsers import parse_shell_history
 from logloom.schemas import FilterSettings
-from logloom.sources.lines import collect_events, read_lines, read_rolled, stream_lines
+from logloom.sources.lines import collect_events, first_start, read_lines, read_rolled, stream_lines
 from logloom.streaming.alerts import audit_events, denial_alerts, write_documents
 from logloom.streaming.limits import stream_filter
 
@@ -85,3 +85,27 @@ def test_denial_alerts(spark, tmp_path):
     denial_alerts(lines, str(tmp_path / "out"), str(tmp_path / "ck"), FilterSettings(min_severity="high", rate_limit_window_sec=3)).awaitTermination(120)
     (row,) = spark.read.parquet(str(tmp_path / "out")).collect()
     assert row["event_type"] == "DENIED" and row["user"] is None and row["agent_id"] == "me"
+
+
+def test_start_position(spark, tmp_path):
+    """A tail from the end passes over older files, and keeps its start over restarts."""
+    import os
+    import time
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "old.log").write_text("old\n")
+    os.utime(logs / "old.log", (1_700_000_000, 1_700_000_000))
+    since = first_start(spark, str(tmp_path / "start"))
+    time.sleep(1.1)
+
+    def run():
+        lines = stream_lines(spark, "bash_history", str(logs), "h", since=first_start(spark, str(tmp_path / "start")))
+        lines.select("line").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+        return sorted(r["line"] for r in spark.read.schema("line string").parquet(str(tmp_path / "out")).collect())
+
+    (logs / "new.log").write_text("new\n")
+    assert run() == ["new"]
+    time.sleep(1.1)
+    (logs / "later.log").write_text("later\n")
+    assert run() == ["later", "new"] and first_start(spark, str(tmp_path / "start")) == since

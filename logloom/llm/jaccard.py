@@ -174,11 +174,16 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
 
 
 def classes_of(members: DataFrame, digest: list[str]) -> DataFrame:
-    """``members`` and ``rep``, the smallest id with the same digest; copies are summed up before they move."""
+    """``members`` and ``rep``, the smallest id with the same digest; copies are summed up before they move.
+
+    Most classes have one row and need no partner. Few others go to every task; more are
+    read back from their table, so that the join has a shuffle of its own on both sides
+    and a class with most rows is split at run time.
+    """
     least = members.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    many = least.where("copies > 1").select(*digest, "rep")
-    # Most classes have one row and need no partner; the join's hot keys are split at run time.
-    joined = members.join(many, digest, "left")
+    many = stored(least.where("copies > 1").select(*digest, "rep"), "copied")
+    few = many.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    joined = members.join(F.broadcast(many) if few else many.hint("merge"), digest, "left")
     return joined.withColumn("rep", F.coalesce("rep", "doc_id"))
 
 

@@ -26,12 +26,19 @@ ISO_TIME = (
 )
 
 
+def _offset(zone: Column) -> Column:
+    """Seconds of an offset like ``-03:30``."""
+    size = F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 5, 2).try_cast("int") * 60
+    return size * F.when(zone.startswith("-"), -1).otherwise(1)
+
+
 def _iso(c: Column, t: Column, zone: Column, is_iso: Column, local_tz: str) -> Column:
     number = lambda at, n: F.substring(t, at, n).try_cast("int")
     day = F.unix_date(F.to_date(F.concat(F.substring(t, 1, 8), F.lit("01")))) + number(9, 2) - 1
-    offset = F.coalesce(F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 5, 2).try_cast("int") * 60, F.lit(0))
-    seconds = day.cast("long") * 86400 + number(12, 2) * 3600 + number(15, 2) * 60 + number(18, 2) + F.when(zone.startswith("-"), offset).otherwise(-offset)
-    instant = F.timestamp_seconds(seconds)
+    rolled = day.cast("long") * 86400 + number(12, 2) * 3600 + number(15, 2) * 60 + number(18, 2)
+    # Nearly all times are of a day and second that exist; only others are put together from their parts.
+    seconds = F.coalesce(F.unix_seconds(F.substring(t, 1, 19).try_cast("timestamp")), rolled)
+    instant = F.timestamp_seconds(seconds - F.when(F.length(zone) < 6, 0).otherwise(_offset(zone)))
     if local_tz != "UTC":
         instant = F.when(zone == "", F.to_utc_timestamp(instant, local_tz)).otherwise(instant)
     ms = F.rpad(F.regexp_extract(t, r"^.{19}\.([0-9]{0,3})", 1), 3, "0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.text import after, audit_serial, audit_time, between, icontains, kv, leading_iso, sanitize_raw, with_iso_utc
+from logloom.functions.text import after, audit_serial, audit_time, between, contains_any, kv, leading_iso, sanitize_raw, with_iso_utc
 from logloom.schemas import CARRIED, EVENT_FIELDS
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -32,9 +32,10 @@ def _events(lines: DataFrame, fields: dict[str, Column], source: str) -> DataFra
     return rows.withColumn("event_time", F.coalesce(F.try_to_timestamp("timestamp"), "_ingest_time")).select(*EVENT_FIELDS, *CARRIED)
 
 
-def _stamp(line: Column) -> Column:
-    found = leading_iso(line)
-    return F.when(found == "", _ingest()).otherwise(found)
+def _stamped(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``_time``, the time at their start or that of ingestion."""
+    found = lines.withColumn("_time", leading_iso(F.col("line")))
+    return found.withColumn("_time", F.when(F.col("_time") == "", _ingest()).otherwise(F.col("_time")))
 
 
 def syslog_header(c: Column) -> Column:
@@ -47,18 +48,17 @@ def syslog_header(c: Column) -> Column:
 
 
 def parse_syslog(lines: DataFrame) -> DataFrame:
-    rows = lines.where("line != ''").withColumn("_head", syslog_header(F.col("line")))
+    rows = _stamped(lines.where("line != ''")).withColumns({"_head": syslog_header(F.col("line")), "_low": F.lower(sanitize_raw(F.col("line")))})
     ident = F.lower(F.col("_head.program"))
     tagged = (F.col("_head.program") != "") & ((ident == F.lower(F.coalesce("hostname", F.lit("")))) | ident.isin("logger", "user", "test"))
     kind = F.when(ident == "cron", "cron_event").when(ident == "systemd", "service_event").when(ident == "kernel", "kernel_event").when(tagged, "user_log").otherwise("syslog_raw")
-    raw = sanitize_raw(F.col("line"))
     severity = (
-        F.when(icontains(raw, "denied") | icontains(raw, "success=no"), "high")
-        .when(icontains(raw, "failed") | icontains(raw, "error") | icontains(raw, "warning"), "medium")
-        .otherwise(F.when(ident == "kernel", "medium").otherwise("low"))
+        F.when(contains_any(F.col("_low"), ("denied", "success=no")), "high")
+        .when(contains_any(F.col("_low"), ("failed", "error", "warning")) | (ident == "kernel"), "medium")
+        .otherwise("low")
     )
     fields = {
-        "timestamp": _stamp(F.col("line")), "event_type": kind, "severity": severity, "command": F.col("_head.message"),
+        "timestamp": F.col("_time"), "event_type": kind, "severity": severity, "command": F.col("_head.message"),
         "process": F.when(tagged, "logger").otherwise(F.col("_head.program")), "user": F.when(tagged, F.col("_head.program")).otherwise(""),
     }
     return _events(rows, fields, "syslog")
@@ -81,7 +81,7 @@ def parse_auth(lines: DataFrame) -> DataFrame:
     by_rule = lambda a, b, c, d, e: F.when(opened, a).when(closed, b).when(sudo, c).when(failed, d).otherwise(e)
     none = F.lit("")
     fields = {
-        "timestamp": _stamp(line),
+        "timestamp": F.col("_time"),
         "event_type": by_rule("user_login", "sudo_session_close", "sudo", "ssh_fail", "auth_raw"),
         "severity": by_rule("medium", "low", "medium", "high", "low"),
         "process": by_rule("pam_unix", "pam_unix", "sudo", "sshd", ""),
@@ -89,7 +89,7 @@ def parse_auth(lines: DataFrame) -> DataFrame:
         "command": by_rule(none, none, after(line, " COMMAND="), none, none),
         "ip": by_rule(none, none, none, first(between(line, " from ", " port "), between(line, " from ", " ")), none),
     }
-    return _events(lines, fields, "auth.log")
+    return _events(_stamped(lines), fields, "auth.log")
 
 
 def parse_shell_history(lines: DataFrame) -> DataFrame:

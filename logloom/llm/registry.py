@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logloom.llm import bpe, chat, fingerprints, jaccard, line_templates, neighbours, packing, pii, quality, repeats
+from logloom.llm import bpe, chat, fingerprints, infilling, jaccard, line_templates, neighbours, packing, pii, quality, repair, repeats, winnowing
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op10_line_dedup": line_templates.op10_line_dedup,
+    "op11_decontamination": winnowing.op11_decontamination,
+    "op12_fill_in_middle": infilling.op12_fill_in_middle,
+    "op13_structure_repair": repair.op13_structure_repair,
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -46,4 +49,11 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n
 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
-SQL = {"op3_ngram_jaccard": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op8_chat_formatting": chat.OP8_SQL}
+SQL = {
+    "op3_ngram_jaccard": OP3_SQL,
+    "op7_substring_dedup": OP7_SQL,
+    "op8_chat_formatting": chat.OP8_SQL,
+    "op11_decontamination": winnowing.OP11_SQL,
+    "op12_fill_in_middle": infilling.OP12_SQL,
+    "op13_structure_repair": repair.OP13_SQL,
+}

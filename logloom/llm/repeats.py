@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from logloom.llm.jaccard import classes_of, one_text_each, only_representatives
 from logloom.llm.packed_rows import PACKED, TO_OWNERS, bucket_of, gathered_by_owner, pack, to_owners, unpack
 from logloom.llm.shared import documents, stored, text_or_empty
-from logloom.llm.wordhash import mix, rolling_phrase_hashes, text_chunks, words_of
+from logloom.llm.wordhash import least_in_runs, mix, rolling_phrase_hashes, text_chunks, words_of
 
 WINDOW = 20
 ANCHOR = 10
@@ -65,23 +65,10 @@ def _members(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
-def _least_in_runs(x: np.ndarray, k: int) -> np.ndarray:
-    """Place of the leftmost least of ``x[i : i + k]`` for every ``i``, by doubling."""
-    n = len(x) - k + 1
-    at = np.arange(len(x))
-    width = 1
-    while width * 2 <= k:
-        a, b = at[: len(at) - width], at[width:]
-        at = np.where(x[b] < x[a], b, a)
-        width *= 2
-    a, b = at[:n], at[k - width : k - width + n]
-    return np.where(x[b] < x[a], b, a)
-
-
 def anchors(word_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(phrase hashes, place of the anchor of every window)`` of one text with a window at least."""
     phrases = rolling_phrase_hashes(word_hash, ANCHOR)
-    return phrases, _least_in_runs(phrases, WINDOW - ANCHOR + 1)
+    return phrases, least_in_runs(phrases, WINDOW - ANCHOR + 1)
 
 
 def _texts_with_windows(column: pa.Array):

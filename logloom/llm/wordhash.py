@@ -69,8 +69,11 @@ def _seed_table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 1) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i + 1]]`` (uint8, ends included)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 1, separators: np.ndarray = _IS_SPACE) -> Words:
+    """Words of the texts ``data[offsets[i]:offsets[i + 1]]`` (uint8, ends included).
+
+    ``separators`` says of each byte (after ``lower``) whether it stands between words.
+    """
     base = int(offsets[0]) if len(offsets) else 0
     data = data[base : int(offsets[-1])] if len(offsets) else data[:0]
     offsets = np.asarray(offsets, dtype=np.int64) - base
@@ -78,7 +81,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: i
         data = _LOWER[data]
     n = len(data)
     space = np.ones(n + 2, dtype=bool)
-    space[1:-1] = _IS_SPACE[data]
+    space[1:-1] = separators[data]
     # A word starts where a text starts, too: texts lie side by side.
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
@@ -118,6 +121,19 @@ def rolling_phrase_hashes(word_hash: np.ndarray, k: int) -> np.ndarray:
     return mix((run[k:] - run[:-k]) * _powers(n, _INV))
 
 
+def least_in_runs(x: np.ndarray, k: int) -> np.ndarray:
+    """Place of the leftmost least of ``x[i : i + k]`` for every ``i``, by doubling."""
+    n = len(x) - k + 1
+    at = np.arange(len(x))
+    width = 1
+    while width * 2 <= k:
+        a, b = at[: len(at) - width], at[width:]
+        at = np.where(x[b] < x[a], b, a)
+        width *= 2
+    a, b = at[:n], at[k - width : k - width + n]
+    return np.where(x[b] < x[a], b, a)
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):
     """Yields ``(row_from, row_to, data, offsets)`` for runs of rows of about ``limit`` bytes.
 

@@ -495,8 +495,18 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those that are linked, directly or over others, to one with a smaller id; all columns kept."""
+    """``docs`` without those that are linked, directly or over others, to one with a smaller id; all columns kept.
+
+    Of rows with one id and different texts the least text takes part; rows with the others stay, whatever becomes of it.
+    """
     found = linked_documents(docs, k, percent)
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    plain, others = one_text_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+    if others is not None:
+        gone = plain.join(gone, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("row")).distinct()
+    gone = gone.withColumnsRenamed({"doc_id": "gone_id", "row": "gone_row"})
+    on = docs["doc_id"].cast("long") == gone["gone_id"]
+    if others is not None:
+        on = on & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["gone_row"])
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), on, "left_anti").select(*docs.columns)

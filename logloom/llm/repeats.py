@@ -6,16 +6,19 @@ windows have equal anchors, and only one phrase in about six is an anchor.
 
 1. *Copies.* Documents with the same words are one class; the later ones lose
    all words, if they have a window at all, and take no further part.
-2. *Recurring anchors.* Anchors of all documents meet by hash; documents that
-   share one send its words, and their windows around it, on.
-3. *Confirm.* A phrase whose words two occurrences sent is a confirmed phrase; of
-   equal windows each but the earliest (smaller ``doc_id``, then earlier start) is
-   marked.
-4. *Automata.* Documents are dealt to shards. A shard compiles the confirmed phrases
-   that its documents may hold, in the words that any document sent, into one
-   Aho-Corasick automaton (of words joined by single blanks) and streams all of its
-   documents through it. A marked window whose anchor the automaton locates covers
-   its words, and covered words are removed; marks alone remove nothing.
+2. *Confirm.* Anchors of all documents meet by hash; documents that share one send its
+   words on. A phrase whose words two occurrences sent is a confirmed phrase.
+3. *Locate.* Documents are dealt to shards. A shard compiles the confirmed phrases that
+   its documents may hold, in the words that any document sent, into one Aho-Corasick
+   automaton (of words joined by single blanks) and streams all of its documents through
+   it. Only where it hits are there windows: those whose anchor the hit is.
+4. *Compare.* Of equal located windows of a shard the earliest (smaller ``doc_id``, then
+   earlier start) meets those of the other shards. Every one but the earliest of all
+   covers its words, and covered words are removed.
+
+Nothing knows of a window before an automaton has located its phrase, so without
+automata only whole copies are removed. Documents with located windows are kept in a
+table beside their windows; all others are done with the stream.
 
 Windows are compared by two 64-bit hashes, so a false match has a chance of about
 1e-38 for each pair. Nulls: null text has no words. Rows with
@@ -45,7 +48,7 @@ ANCHOR = 10
 #: Words of the documents that one automaton serves, about.
 SHARD_WORDS = 400_000
 
-_S1, _S2 = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
+_S1 = np.uint64(0x9AE16A3B2F90404F)
 
 
 def _members(docs: DataFrame) -> DataFrame:
@@ -144,8 +147,14 @@ def _prime_from(n: int) -> int:
     return n
 
 
-SENT = "bucket int, hashes binary, checks binary, ids binary, starts binary, shards binary, counts binary, phrases binary"
-TO_SHARDS = "shard int, ids binary, starts binary, phrases binary, copy long"
+SENT = "bucket int, shards binary, counts binary, phrases binary"
+TO_SHARDS = "shard int, phrases binary, copy long"
+DONE = "doc_id long, n_words long, n_located long, n_removed long, kept_sha256 string"
+#: A document that is done, or else its text, its windows that came later in its shard, and those that others must see.
+LOCATED = f"{DONE}, text string, later binary, hashes binary, checks binary, starts binary"
+WINDOWS = "bucket int, hashes binary, checks binary, ids binary, starts binary"
+#: Marked windows of so many bytes may go to every executor; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def _runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
@@ -156,73 +165,53 @@ def _runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 class Sent:
-    """Recurring phrases in words, and windows around them, of a run of documents, by bucket."""
+    """Recurring phrases in words of a run of documents, by bucket."""
 
     def __init__(self, shards: int, buckets: int):
         self.shards, self.buckets = shards, buckets
         self.phrases: dict[tuple[int, int, bytes], int] = {}  # bucket, shard and words: occurrences
-        self.windows: list[tuple] = []
         self.words = 0
 
     def add(self, doc_id: int, words, a: int, b: int, recurring: np.ndarray) -> None:
-        hashes = words.hash[a:b]
-        phrases, at = anchors(hashes)
-        known = np.isin(phrases, recurring)
-        where = np.flatnonzero(known[at])
-        if not len(where):
+        phrases, at = anchors(words.hash[a:b])
+        mine = np.unique(at[np.isin(phrases, recurring)[at]])
+        if not len(mine):
             return
         line, blanks = _line(words, a, b)
-        mine = np.unique(at[where])
         shard = int(shard_of(np.array([doc_id]), self.shards)[0])
         for bucket, p in zip(bucket_of(phrases[mine], self.buckets).tolist(), mine.tolist(), strict=True):
             key = (bucket, shard, line[blanks[p] + 1 : blanks[p + ANCHOR]].encode("latin-1"))
             self.phrases[key] = self.phrases.get(key, 0) + 1
-        self.windows.append((np.full(len(where), doc_id), where, rolling_phrase_hashes(hashes, WINDOW)[where], rolling_phrase_hashes(mix(hashes ^ _S1), WINDOW)[where]))
         self.words += b - a
 
     def batch(self) -> pa.RecordBatch | None:
-        rows = []
-        if self.windows:
-            ids, starts, hashes, checks = (np.concatenate([w[i] for w in self.windows]) for i in range(4))
-            b = bucket_of(hashes, self.buckets)
-            order = np.argsort(b, kind="stable")
-            b, ids, starts, hashes, checks = b[order], ids[order], starts[order].astype(np.uint32), hashes[order], checks[order]
-            rows = [(int(b[x]), hashes[x:y].tobytes(), checks[x:y].tobytes(), ids[x:y].tobytes(), starts[x:y].tobytes(), None, None, None) for x, y in _runs(b)]
         by_bucket: dict[int, list] = {}
         for (bucket, shard, words), n in self.phrases.items():
             by_bucket.setdefault(bucket, []).append((shard, n, words))
+        rows = []
         for bucket, found in by_bucket.items():
             shards, counts, words = zip(*found, strict=True)
-            rows.append((bucket, None, None, None, None, np.array(shards, dtype=np.int32).tobytes(), np.array(counts, dtype=np.int32).tobytes(), b"\n".join(words)))
-        if not rows:
-            return None
-        kinds = (pa.int32(), *[pa.binary()] * 7)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in SENT.split(", ")])
-
-
-def _later_windows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and starts of the windows that also start earlier."""
-    parts = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint64), np.frombuffer(i, np.int64), np.frombuffer(s, np.uint32)) for h, c, i, s in zip(*(t[n].to_pylist() for n in ("hashes", "checks", "ids", "starts")), strict=True) if h is not None]
-    if not parts:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
-    h, c, i, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((s, i, c, h))
-    h, c, i, s = h[order], c[order], i[order], s[order]
-    first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-    least = np.flatnonzero(first)[np.cumsum(first) - 1]
-    later = (i != i[least]) | (s != s[least])  # a repeated row is the same occurrence, not an earlier one
-    return i[later], s[later]
+            rows.append((bucket, np.array(shards, dtype=np.int32).tobytes(), np.array(counts, dtype=np.int32).tobytes(), b"\n".join(words)))
+        return _batch(rows, SENT) if rows else None
+
+
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
 def _confirmed_phrases(t: pa.Table) -> dict[int, list[bytes]]:
     """The phrases that two occurrences sent in the same words, for each shard that asks for them."""
     asked: dict[bytes, tuple[int, set]] = {}
     for shards, counts, words in zip(*(t[n].to_pylist() for n in ("shards", "counts", "phrases")), strict=True):
-        if words is not None:
-            for shard, n, w in zip(np.frombuffer(shards, np.int32).tolist(), np.frombuffer(counts, np.int32).tolist(), words.split(b"\n"), strict=True):
-                before, who = asked.get(w, (0, set()))
-                who.add(shard)
-                asked[w] = (before + n, who)
+        for shard, n, w in zip(np.frombuffer(shards, np.int32).tolist(), np.frombuffer(counts, np.int32).tolist(), words.split(b"\n"), strict=True):
+            before, who = asked.get(w, (0, set()))
+            who.add(shard)
+            asked[w] = (before + n, who)
     out: dict[int, list[bytes]] = {}
     for w, (n, who) in asked.items():
         if n > 1:
@@ -231,8 +220,8 @@ def _confirmed_phrases(t: pa.Table) -> dict[int, list[bytes]]:
     return out
 
 
-def _for_shards(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
-    """:data:`TO_SHARDS`: marked windows and confirmed phrases; ``docs`` has ``hashes``, too."""
+def _phrases_for_shards(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
+    """:data:`TO_SHARDS` of confirmed phrases; ``docs`` has ``hashes``, too."""
 
     def run(batches):
         sent = Sent(shards, buckets)
@@ -247,21 +236,11 @@ def _for_shards(docs: DataFrame, shards: int, buckets: int) -> DataFrame:
             yield last
 
     def meet(t: pa.Table) -> pa.Table:
-        i, s = _later_windows(t)
-        to = shard_of(i, shards)
-        order = np.lexsort((s, i, to))
-        to, i, s = to[order], i[order], s[order]
-        rows = [(int(to[x]), i[x:y].tobytes(), s[x:y].tobytes(), None) for x, y in _runs(to)]
-        rows += [(shard, None, None, b"\n".join(words)) for shard, words in _confirmed_phrases(t).items()]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        return pa.table({"shard": pa.array(columns[0], pa.int32()), "ids": pa.array(columns[1], pa.binary()), "starts": pa.array(columns[2], pa.binary()), "phrases": pa.array(columns[3], pa.binary()), "copy": pa.nulls(len(rows), pa.int64())})
+        return pa.Table.from_batches([_batch([(shard, b"\n".join(words), None) for shard, words in _confirmed_phrases(t).items()], TO_SHARDS)])
 
     return docs.select("doc_id", "text", "hashes").mapInArrow(run, SENT).groupBy("bucket").applyInArrow(meet, TO_SHARDS)
 
 
-RESULT = "doc_id long, n_words long, n_located long, n_removed long, kept_sha256 string"
-
-
 def automaton(phrases: set[bytes]):
     """Finds phrases between blanks; None for no phrases."""
     if not phrases:
@@ -273,52 +252,115 @@ def automaton(phrases: set[bytes]):
     return machine
 
 
-def _without_covered(words, a: int, b: int, machine, marked: np.ndarray) -> tuple[int, np.ndarray]:
-    """``(occurrences located, words that stay)`` of one text with a window at least."""
+def located_windows(words, a: int, b: int, machine) -> tuple[int, np.ndarray]:
+    """``(hits, starts of the windows whose anchor was hit)`` of one text with a window at least."""
     line, blanks = _line(words, a, b)
-    starts = np.array([end - size + 1 for end, size in machine.iter(line)], dtype=np.int64)
-    gone = np.zeros(b - a + 1, dtype=np.int64)
-    if len(marked) and len(starts):
-        located = np.zeros(b - a + 1, dtype=bool)
-        located[np.searchsorted(blanks, starts)] = True
-        _, at = anchors(words.hash[a:b])
-        s = marked[located[at[marked]]]
-        gone[s] += 1
-        gone[s + WINDOW] -= 1
-    return len(starts), np.flatnonzero(np.cumsum(gone)[: b - a] <= 0)
-
-
-def shard_result(docs: pa.Table, known: pa.Table) -> pa.Table:
-    """Streams the documents of one shard (``doc_id, text, apart``) through its automaton; ``known`` are its :data:`TO_SHARDS`."""
+    hits = np.array([end - size + 1 for end, size in machine.iter(line)], dtype=np.int64)
+    if not len(hits):
+        return 0, hits
+    hit = np.zeros(b - a, dtype=bool)
+    hit[np.searchsorted(blanks, hits)] = True
+    _, at = anchors(words.hash[a:b])
+    return len(hits), np.flatnonzero(hit[at])
+
+
+def _kept_sha256(words, a: int, stay: np.ndarray) -> str:
+    """Digest of the words at ``stay`` joined by single blanks."""
+    if not len(stay):
+        return hashlib.sha256(b"").hexdigest()
+    runs = np.concatenate([[0], np.flatnonzero(np.diff(stay) > 1) + 1, [len(stay)]])
+    spans = zip(words.start[a + stay[runs[:-1]]], words.end[a + stay[runs[1:] - 1]], strict=True)
+    return hashlib.sha256(b" ".join(b" ".join(words.data[x:y].tobytes().split()) for x, y in spans)).hexdigest()
+
+
+def _earliest(h: np.ndarray, c: np.ndarray, i: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the windows, and in it which is the first of equal ones and which is a later occurrence."""
+    order = np.lexsort((s, i, c, h))
+    h, c, i, s = h[order], c[order], i[order], s[order]
+    first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, dtype=bool)
+    least = np.flatnonzero(first)[np.cumsum(first) - 1]
+    return order, first, (i != i[least]) | (s != s[least])  # a repeated row is the same occurrence, not an earlier one
+
+
+def shard_located(docs: pa.Table, known: pa.Table) -> pa.Table:
+    """:data:`LOCATED` of the documents of one shard (``doc_id, text, apart``), streamed through its automaton; ``known`` are its :data:`TO_SHARDS`."""
     machine = automaton({p for blob in known["phrases"].to_pylist() if blob is not None for p in blob.split(b"\n")})
     copies = {c for c in known["copy"].to_pylist() if c is not None}
-    none = np.zeros(0, dtype=np.uint32)
-    packed = [(np.frombuffer(i, np.int64), np.frombuffer(s, np.uint32)) for i, s in zip(known["ids"].to_pylist(), known["starts"].to_pylist(), strict=True) if i is not None]
-    ids, starts = (np.concatenate(x) for x in zip(*packed, strict=True)) if packed else (np.zeros(0, dtype=np.int64), none)
-    order = np.argsort(ids, kind="stable")
-    ids, starts = ids[order], starts[order]
-    marks = {int(ids[x]): np.unique(starts[x:y]) for x, y in _runs(ids)}
     doc_ids, apart = docs["doc_id"].to_pylist(), docs["apart"].to_pylist()
-    out = [[], [], [], []]
+    rows, open_, windows = [], [], []
     texts = docs["text"].combine_chunks()
     for text in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
         for lo, hi, data, offsets in text_chunks(text):
             w = words_of(data, offsets)
+            second = mix(w.hash ^ _S1)
             for i in range(hi - lo):
                 a, b = int(w.first[i]), int(w.first[i + 1])
-                doc_id, n = doc_ids[len(out[0])], b - a
-                located, stay = 0, np.arange(n)
-                if n >= WINDOW and doc_id is not None and not apart[len(out[0])]:
+                doc_id, n, hits = doc_ids[len(rows)], b - a, 0
+                stay = np.arange(n)
+                if n >= WINDOW and doc_id is not None and not apart[len(rows)]:
                     if doc_id in copies:
                         stay = stay[:0]
                     elif machine is not None:
-                        located, stay = _without_covered(w, a, b, machine, marks.get(doc_id, none))
-                runs = np.concatenate([[0], np.flatnonzero(np.diff(stay) > 1) + 1, [len(stay)]]) if len(stay) else np.zeros(1, dtype=int)
-                spans = zip(w.start[a + stay[runs[:-1]]], w.end[a + stay[runs[1:] - 1]], strict=True) if len(stay) else ()
-                kept = hashlib.sha256(b" ".join(b" ".join(w.data[x:y].tobytes().split()) for x, y in spans)).hexdigest()
-                for column, value in zip(out, (n, located, n - len(stay), kept), strict=True):
-                    column.append(value)
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_words": pa.array(out[0], pa.int64()), "n_located": pa.array(out[1], pa.int64()), "n_removed": pa.array(out[2], pa.int64()), "kept_sha256": pa.array(out[3], pa.string())})
+                        hits, at = located_windows(w, a, b, machine)
+                        if len(at):
+                            open_.append(len(rows))
+                            windows.append((rolling_phrase_hashes(w.hash[a:b], WINDOW)[at], rolling_phrase_hashes(second[a:b], WINDOW)[at], np.full(len(at), doc_id), at.astype(np.uint32)))
+                            rows.append([doc_id, n, hits, None, None, text[lo + i].as_py(), None, None, None, None])
+                            continue
+                rows.append([doc_id, n, hits, n - len(stay), _kept_sha256(w, a, stay), None, None, None, None, None])
+    if windows:
+        h, c, ids, s = (np.concatenate(x) for x in zip(*windows, strict=True))
+        row = np.repeat(open_, [len(x[0]) for x in windows])
+        order, first, later = _earliest(h, c, ids, s)
+        for mask, fields in ((later, ((6, s),)), (first, ((7, h), (8, c), (9, s)))):
+            place = order[mask]
+            place = place[np.argsort(row[place], kind="stable")]
+            for x, y in _runs(row[place]):
+                for field, values in fields:
+                    rows[int(row[place[x]])][field] = values[place[x:y]].tobytes()
+    return pa.Table.from_batches([_batch([tuple(r) for r in rows], LOCATED)])
+
+
+def _later_elsewhere(located: DataFrame, buckets: int) -> DataFrame:
+    """``doc_id, starts``: packed starts of the windows that also start earlier in another shard."""
+
+    def send(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            hashes, checks, starts = ([np.frombuffer(x, t) for x in batch.column(1 + i).to_pylist()] for i, t in enumerate((np.uint64, np.uint64, np.uint32)))
+            owner = np.repeat(ids, [len(x) for x in starts])
+            h, c, s = np.concatenate(hashes), np.concatenate(checks), np.concatenate(starts)
+            b = bucket_of(h, buckets)
+            order = np.argsort(b, kind="stable")
+            b, h, c, owner, s = b[order], h[order], c[order], owner[order], s[order]
+            yield _batch([(int(b[x]), h[x:y].tobytes(), c[x:y].tobytes(), owner[x:y].tobytes(), s[x:y].tobytes()) for x, y in _runs(b)], WINDOWS)
+
+    def meet(t: pa.Table) -> pa.Table:
+        h, c, i, s = (np.concatenate([np.frombuffer(b, k) for b in t[n].to_pylist()]) for n, k in (("hashes", np.uint64), ("checks", np.uint64), ("ids", np.int64), ("starts", np.uint32)))
+        order, _, later = _earliest(h, c, i, s)
+        return to_owners(i[order[later]], s[order[later]], buckets)
+
+    sent = located.where("hashes is not null").select("doc_id", "hashes", "checks", "starts").mapInArrow(send, WINDOWS)
+    return gathered_by_owner(sent.groupBy("bucket").applyInArrow(meet, TO_OWNERS), "uint32", "starts")
+
+
+def _without_covered(batches):
+    """Removes the words of the later windows: ``doc_id, n_words, n_located, text, later, starts`` to :data:`DONE`."""
+    for batch in batches:
+        removed, kept = [], []
+        later, elsewhere = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        for lo, hi, data, offsets in text_chunks(batch.column(3)):
+            w = words_of(data, offsets)
+            for i in range(hi - lo):
+                a, b = int(w.first[i]), int(w.first[i + 1])
+                marked = np.unique(np.frombuffer((later[lo + i] or b"") + (elsewhere[lo + i] or b""), dtype=np.uint32)).astype(np.int64)
+                gone = np.zeros(b - a + 1, dtype=np.int64)
+                gone[marked] += 1
+                gone[marked + WINDOW] -= 1
+                stay = np.flatnonzero(np.cumsum(gone)[: b - a] <= 0)
+                removed.append(b - a - len(stay))
+                kept.append(_kept_sha256(w, a, stay))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [f.split()[0] for f in DONE.split(", ")])
 
 
 def streamed(docs: DataFrame) -> DataFrame:
@@ -336,15 +378,19 @@ def streamed(docs: DataFrame) -> DataFrame:
     shards = _prime_from(max(parts, total // SHARD_WORDS))
     reps = only_representatives(plain.where("doc_id is not null"), classes)
     recurring = stored(_recurring(reps, max(parts, total // 8_000_000)), "recurring")
-    known = stored(_for_shards(reps.join(recurring, "doc_id"), shards, max(parts, total // 4_000_000)), "known")
+    known = stored(_phrases_for_shards(reps.join(recurring, "doc_id"), shards, max(parts, total // 4_000_000)), "known")
     copies = classes.where("doc_id != rep").select("doc_id").distinct()
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("ids", "starts", "phrases")]
-    known = known.unionByName(copies.select(_shard_column(F.col("doc_id"), F.lit(""), shards).alias("shard"), *empty, F.col("doc_id").alias("copy")))
+    known = known.unionByName(copies.select(_shard_column(F.col("doc_id"), F.lit(""), shards).alias("shard"), F.lit(None).cast("binary").alias("phrases"), F.col("doc_id").alias("copy")))
     rows = plain.withColumn("apart", F.lit(False))
     if others is not None:
         rows = rows.unionByName(others.withColumn("apart", F.lit(True)))
     rows = rows.withColumn("shard", _shard_column(F.col("doc_id"), F.col("text"), shards))
-    return rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(shard_result, RESULT)
+    located = stored(rows.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(shard_located, LOCATED), "located")
+    elsewhere = stored(_later_elsewhere(located, max(parts, total // 4_000_000)), "elsewhere")
+    small = (elsewhere.agg(F.sum(F.octet_length("starts") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    open_ = located.where("text is not null").select("doc_id", "n_words", "n_located", "text", "later")
+    covered = open_.join(F.broadcast(elsewhere) if small else elsewhere.hint("merge"), "doc_id", "left").mapInArrow(_without_covered, DONE)
+    return located.where("text is null").select("doc_id", "n_words", "n_located", "n_removed", "kept_sha256").unionByName(covered)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -217,8 +217,9 @@ def hit_words(spans: Column) -> Column:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold a window of an item; columns as before."""
-    hit = contamination(docs, items).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_row")), "left_anti")
+    hit = contamination(docs, items).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(hit["hit_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["hit_row"])
+    return docs.join(hit, same, "left_anti")
 
 
 def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

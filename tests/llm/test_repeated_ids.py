@@ -33,7 +33,20 @@ def test_jaccard(docs, rows):
     # The least text stands for an id: of 5 that is the near copy ("w.." before "zz").
     want = {0: 0, 1: 0, 2: 2, 3: 0, 4: 4, 5: 0, None: None, 6: 6}
     assert got == sorted(((r[0], want[r[0]]) for r in rows), key=str)
-    assert sorted({r["doc_id"] for r in jaccard.one_of_each(docs).collect()}, key=str) == sorted({0, 2, 4, None, 6}, key=str)
+    # Rows go by id and text: of 3 both rows go, of 5 the one that is linked, and the other text of 2 and 5 stays.
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()), key=str)
+    assert kept == sorted(((i, t) for i, t, *_ in rows if i not in (1, 3) and (i != 5 or t.startswith("zz"))), key=str)
+
+
+def test_other_texts_of_an_id_stay(spark):
+    """Of two texts with one id the near copy goes, and the other one stays."""
+    from logloom.llm import jaccard
+
+    rng = random.Random(4)
+    base = some(rng, 60)
+    rows = [(1, base), (2, base + " x"), (2, "zz " + some(rng, 40)), (2, base + " x")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone_id", F.lit(2))).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([rows[0], rows[2]])
 
 
 def test_repeats(docs, rows):

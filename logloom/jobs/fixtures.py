@@ -81,3 +81,8 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("mixed"), F.when(F.col("o_custkey") % 3 == 0, _join("+", F.col("o_custkey").cast("string"))).when(F.col("o_custkey") % 3 == 1, _join(" ", F.col("o_custkey").cast("string"))).otherwise(_join(F.col("o_custkey").cast("string"), "x")),
     )
     return table(spark, sf_dir, "orders").select(F.lit("mydb").alias("database"), F.col("o_orderkey").cast("string").alias("_id"), fields.alias("fields"))
+
+
+def orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a database for each status."""
+    return order_docs(spark, sf_dir).withColumn("database", F.concat(F.lit("db"), F.col("fields.status")))

@@ -113,11 +113,34 @@ w AS (SELECT * FROM g WHERE near IS NULL OR NOT near UNION ALL
 
 _BY_STATUS = "SELECT 'db' || o_orderstatus AS database, o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS cust FROM orders"
 
+#: Requests made of events: when each document begins, and the next delete of its user behind that.
+_REQUESTS = """
+e AS (SELECT event_id AS seq, user_id AS u, event_type AS kind, 'db' || (user_id % 2) AS database FROM events),
+i AS (SELECT *, unnest(range(CASE kind WHEN 'view' THEN 2 ELSE 1 END)) AS place FROM e WHERE kind IN ('view', 'signup')),
+d AS (SELECT *, row_number() OVER (PARTITION BY database ORDER BY seq, place) AS id, (SELECT min(seq) FROM e WHERE kind = 'purchase' AND e.u = i.u AND e.seq > i.seq) AS gone FROM i)"""
+
 SQL: dict[str, str] = {
+    "tail_lines": f"""WITH {AUTH} SELECT timestamp, hostname, event_type, severity, nullif("user", '') AS "user", nullif(ip, '') AS ip, raw_log FROM a WHERE event_type <> 'user_login'""",
+    "rolled_order": f"WITH {SHELL} SELECT command, n AS seq FROM (SELECT command, row_number() OVER (ORDER BY seq) - 1 AS n, lag(command) OVER (ORDER BY seq) AS prev FROM b) WHERE prev IS NULL OR prev <> command",
+    "rolled_audit": f"""WITH {AUDIT}, m AS (WITH {_EAGER}) SELECT timestamp, source, event_type, process, severity, "user", command, ip, raw_log, seq FROM m""",
+    "stream_dedupe": f"WITH {SHELL} SELECT hostname, command, raw_log FROM (SELECT *, lag(command) OVER (ORDER BY seq) AS prev FROM b) WHERE prev IS NULL OR prev <> command",
+    "stream_payloads": f"""WITH {AUTH}, n AS (SELECT hostname, timestamp, row_number() OVER (PARTITION BY hostname ORDER BY timestamp, seq) - 1 AS n FROM a)
+      SELECT hostname AS agent_id, n // 50 AS batch_no, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM n GROUP BY hostname, n // 50""",
+    "table_counts": """SELECT 'loaded' AS step, count(*) AS n FROM orders UNION ALL SELECT unnest(['inserted', 'again']), count(*) FROM events UNION ALL SELECT 'removed', count(*) FROM events WHERE event_type IN ('click', 'view')
+      UNION ALL SELECT 'all', count(*) FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'none', 0 UNION ALL SELECT 'left in dbNew', count(*) FROM events WHERE event_type NOT IN ('click', 'view')
+      UNION ALL SELECT 'left in db' || o_orderstatus, count(*) FROM orders WHERE o_orderstatus <> 'O' GROUP BY ALL""",
+    "table_lookup": f"""WITH {_ORDERS} SELECT 'db' || status AS database, _id, mixed FROM o WHERE (mixed IN ('+30', '44x', ' 7')) AND cust > 3 UNION ALL SELECT 'db' || status, _id, mixed FROM o WHERE _id = '33'""",
+    "request_log": f"""WITH {_REQUESTS},
+      n AS (SELECT e.database, e.seq, e.kind, count(d.id) AS n FROM e LEFT JOIN d ON d.database = e.database AND CASE e.kind WHEN 'purchase' THEN d.gone = e.seq WHEN 'view' THEN d.seq = e.seq WHEN 'signup' THEN d.seq = e.seq
+        WHEN 'click' THEN d.u = e.u AND d.seq < e.seq AND coalesce(d.gone > e.seq, true) ELSE (d.u < e.u % 3 + 2 OR (d.u = 1 AND d.kind = 'signup')) AND d.seq < e.seq AND coalesce(d.gone > e.seq, true) END GROUP BY ALL)
+      SELECT database, seq, 'success' AS status, CASE kind WHEN 'view' THEN 'Batch inserted: ' || n WHEN 'signup' THEN 'Inserted 1 document' WHEN 'purchase' THEN 'Deleted ' || n ELSE 'Fetched ' || n END AS message, n AS count FROM n""",
+    "request_log_documents": f"WITH {_REQUESTS} SELECT database, CAST(id AS VARCHAR) AS _id, CAST(seq AS VARCHAR) AS event FROM d WHERE gone IS NULL",
+    "load_pretty": f"""WITH {_ORDERS} SELECT 'mydb' AS database, _id, CAST(cust AS VARCHAR) AS cust, 'a }} of {{"' || status || '", [\\' AS note FROM o""",
+    "find_pruned": f"""WITH {AUTH} SELECT timestamp, hostname, "user", severity, raw_log FROM a WHERE timestamp > '2024-01-03T12:00:00' AND timestamp < '2024-01-20' AND "user" LIKE 'u1%' AND severity IN ('high', 'medium')""",
     "pipeline_w3": f"""WITH d AS ({_BY_STATUS}), e AS (SELECT event_id, user_id * 10 AS cust, CASE event_type WHEN 'click' THEN 'dbF' ELSE 'dbO' END AS database FROM events),
-t AS (SELECT database, k AS i, NULL AS event, CAST(cust AS BIGINT) AS cust FROM d WHERE database <> 'dbP' UNION ALL
+t AS (SELECT database, k AS i, NULL AS event, CAST(cust AS BIGINT) AS cust FROM d UNION ALL
   SELECT e.database, (SELECT max(k) FROM d WHERE d.database = e.database) + row_number() OVER (PARTITION BY e.database ORDER BY event_id), CAST(event_id AS VARCHAR), cust FROM e)
-SELECT database, CAST(i AS VARCHAR) AS _id, event, CAST(cust AS VARCHAR) AS cust FROM t WHERE (database = 'dbO' AND cust <= 400) OR (database = 'dbF' AND cust >= 50)""",
+SELECT database, CAST(i AS VARCHAR) AS _id, event, CAST(cust AS VARCHAR) AS cust FROM t WHERE (database = 'dbO' AND cust <= 400) OR (database = 'dbF' AND cust >= 50) OR database = 'dbP'""",
     "stream_merge_audit": f"""WITH {AUDIT}, m AS (WITH {_EAGER}), one AS ({_SINGLE}), al AS (SELECT {_FIELDS} FROM m UNION ALL SELECT {_FIELDS} FROM one)
 SELECT timestamp, hostname, event_type, nullif(process, '') AS process, severity, nullif("user", '') AS "user", nullif(command, '') AS command, raw_log FROM al""",
     "stream_filter": f"""WITH RECURSIVE {AUTH}, q AS (SELECT *, date_trunc('millisecond', CAST(left(timestamp, 23) AS TIMESTAMP)) AS ts FROM a WHERE event_type <> 'ssh_fail'),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,9 @@ from pyspark.sql import functions as F
 
 from logloom.functions.text import after, audit_serial, audit_time, between, icontains, is_int_string, kv, leading_iso, sanitize_raw, severity_rank, to_iso_utc
 from logloom.jobs import fixtures as fx
+from logloom.jobs import stream_queries, table_queries
 from logloom.jobs.oracles import SQL
-from logloom.jobs import w3 as w3_job
+from logloom.jobs.stream_queries import new_path
 from logloom.jobs.w1 import SETTINGS, reduce_logs
 from logloom.operators import documents as dt
 from logloom.operators.audit import merge_audit
@@ -19,10 +19,7 @@ from logloom.operators.filters import dedupe_consecutive, drop_empty_raw, filter
 from logloom.operators.parsers import audit_columns, is_mergeable, normalize_events, parse_audit_record, parse_auth, parse_shell_history, parse_syslog
 from logloom.schemas import EVENT_FIELDS, FilterSettings
 from logloom.sources.documents import expand_payloads, insert_payloads, load_collection, read_collection, read_payloads, save_collection, to_event_docs, to_json_lines
-from logloom.sources.lines import collect_events, read_lines, stream_lines
-from logloom.storage import session_dir
-from logloom.streaming.alerts import ROCKSDB, audit_events, write_documents
-from logloom.streaming.limits import stream_filter
+from logloom.sources.lines import collect_events, read_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,41 +168,32 @@ def deleted(s: SparkSession, d: str) -> DataFrame:
     return kept.agg(F.count("*").alias("kept")).crossJoin(n.select(F.col("count").alias("removed")))
 
 
-def _new_path(s: SparkSession, name: str) -> str:
-    return f"{session_dir(s)}/{uuid.uuid4().hex}/{name}"
-
-
 def lines_from_files(s: SparkSession, d: str) -> DataFrame:
     """Auth lines written with carriage returns, read back as a source and parsed."""
-    path = _new_path(s, "auth")
+    path = new_path(s, "auth")
     fx.auth_lines(s, d).select(F.concat("line", F.lit("\r")).alias("value")).write.option("lineSep", "\n").text(path)
     return parse_auth(read_lines(s, "auth", path)).select("timestamp", "event_type", "user", "ip", "command", "raw_log")
 
 
 def payload_files(s: SparkSession, d: str) -> DataFrame:
     """Insert requests written to files and read back, as a spool is."""
-    path = _new_path(s, "spool")
+    path = new_path(s, "spool")
     insert_payloads(parse_shell_history(fx.shell_lines(s, d)), "mydb", 50).select("payload").write.text(path)
     return read_payloads(s, path).select("database", *[F.try_element_at("fields", F.lit(c)).alias(c) for c in ("timestamp", "command", "user")])
 
 
 def loaded(s: SparkSession, d: str) -> DataFrame:
     """Orders written as objects of a JSON array, one a line with a comma behind, and loaded."""
-    path = _new_path(s, "collection")
+    path = new_path(s, "collection")
     rows = fx.order_docs(s, d).select(F.map_concat(F.create_map(F.lit("_id"), "_id"), "fields").alias("m"))
     rows.select(F.concat(F.lit("  "), F.to_json("m"), F.lit(",")).alias("value")).write.text(path)
     return load_collection(s, path, "mydb").select("database", "_id", F.col("fields.cust").alias("cust"), F.col("fields.mixed").alias("mixed"))
 
 
-def _two_databases(s: SparkSession, d: str) -> DataFrame:
-    """Orders in a database for each status."""
-    return fx.order_docs(s, d).withColumn("database", F.concat(F.lit("db"), F.col("fields.status")))
-
-
 def routed(s: SparkSession, d: str) -> DataFrame:
     """A table of several databases saved, and one of them read."""
-    path = _new_path(s, "routed")
-    save_collection(_two_databases(s, d), path)
+    path = new_path(s, "routed")
+    save_collection(fx.orders_by_status(s, d), path)
     return read_collection(s, path, "dbF").select("database", "_id", F.col("fields.cust").alias("cust"))
 
 
@@ -213,57 +201,18 @@ def inserted_by_database(s: SparkSession, d: str) -> DataFrame:
     """Each database counts its own ids; the one of ``view`` events is new."""
     at = F.when(F.col("event_type") == "view", "dbNew").when(F.col("event_type") == "click", "dbF").otherwise("dbO")
     new = fx.table(s, d, "events").select(at.alias("database"), F.create_map(F.lit("event"), F.col("event_id").cast("string")).alias("fields"), "event_id")
-    return dt.insert(_two_databases(s, d), new, ("event_id",)).select("database", "_id", F.col("fields.event").alias("event"), F.col("fields.cust").alias("cust"))
+    return dt.insert(fx.orders_by_status(s, d), new, ("event_id",)).select("database", "_id", F.col("fields.event").alias("event"), F.col("fields.cust").alias("cust"))
 
 
 def upserted_by_database(s: SparkSession, d: str) -> DataFrame:
     at = F.when(F.col("event_id") % 2 == 0, "dbF").otherwise("dbO")
     changes = fx.table(s, d, "events").select(at.alias("database"), F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("\t")).alias("_id"), F.create_map(F.lit("cust"), F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("fields"), F.col("event_id").alias("seq"))
-    return dt.upsert(_two_databases(s, d), changes).select("database", "_id", F.col("fields.cust").alias("cust"))
-
-
-def updated(s: SparkSession, d: str) -> DataFrame:
-    """A table of two databases gets a version with insert requests and one with a delete, and is searched."""
-    root = _new_path(s, "table")
-    save_collection(_two_databases(s, d).where("database != 'dbP'"), f"{root}/v=1")
-    data = F.array(F.struct(F.col("event_id").cast("string").alias("event"), (F.col("user_id") * 10).cast("string").alias("cust")))
-    request = F.struct(F.when(F.col("event_type") == "click", "dbF").otherwise("dbO").alias("database"), F.lit("insert").alias("operation"), data.alias("data"))
-    w3_job.update(s, root, fx.table(s, d, "events").select(F.to_json(request).alias("payload")), F.col("fields.event").cast("long"))
-    w3_job.update(s, root, deletes={"dbO": '{"cust":{"$gt":400}}', "dbF": '{"cust":{"$lt":50}}'})
-    return w3_job.search(s, root, "dbO", "{}").unionByName(w3_job.search(s, root, "dbF", "{}")).select("database", "_id", F.col("fields.event").alias("event"), F.col("fields.cust").alias("cust"))
-
-
-def _replayed(s: SparkSession, lines: DataFrame, source: str, events: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Lines written as rolled files in a folder for each host and read back as a stream, to the documents that it writes."""
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    path = _new_path(s, "replay")
-    lines.select("host", "line").write.partitionBy("host").text(f"{path}/logs")
-    host = F.regexp_extract("_metadata.file_path", "/host=([^/]+)/", 1)
-    write_documents(events(stream_lines(s, source, f"{path}/logs", host, fx.AGENT)), f"{path}/out", f"{path}/state").awaitTermination()
-    return s.read.parquet(f"{path}/out")
-
-
-def streamed_audit(s: SparkSession, d: str) -> DataFrame:
-    """Records of a group are in one file in order. Records of a year later move the watermark past all others."""
-    lines = fx.audit_lines(s, d).withColumns({"host": F.col("hostname"), "serial": audit_serial(F.col("line"))})
-    lines = lines.repartitionByRange("host", "serial").sortWithinPartitions("host", "serial", "seq")
-    end = [f"type={kind} msg=audit(1900000000.000:0): end=1" for kind in ("AVC", "SYSCALL", "USER_LOGIN")]
-    lines = lines.select("host", "line").unionByName(s.range(1).select(F.lit("end").alias("host"), F.explode(F.array(*[F.lit(r) for r in end])).alias("line")))
-    out = _replayed(s, lines, "auditd", audit_events).where("timestamp < '2030'")
-    return out.select("timestamp", "hostname", "event_type", "process", "severity", "user", "command", "raw_log")
-
-
-def streamed_limits(s: SparkSession, d: str) -> DataFrame:
-    """Authentication events, at most one in six hours of each key, but all failures."""
-    settings = FilterSettings(rate_limit_window_sec=21600, keep_if_raw_contains=("Failed password",))
-    out = _replayed(s, fx.auth_lines(s, d).withColumn("host", F.col("hostname")), "auth", lambda lines: stream_filter(parse_auth(lines), settings))
-    return out.select("timestamp", "hostname", "event_type", "process", "severity", "user", "ip", "raw_log")
+    return dt.upsert(fx.orders_by_status(s, d), changes).select("database", "_id", F.col("fields.cust").alias("cust"))
 
 
 QUERIES: dict[str, Query] = {
-    "pipeline_w3": updated,
-    "stream_merge_audit": streamed_audit,
-    "stream_filter": streamed_limits,
+    **stream_queries.QUERIES,
+    **table_queries.QUERIES,
     "read_lines": lines_from_files,
     "payload_files": payload_files,
     "load_collection": loaded,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logloom.operators.filters import filter_events
 from logloom.schemas import FilterSettings
 from logloom.sources.documents import to_event_docs
-from logloom.sources.lines import collect_events, read_lines
+from logloom.sources.lines import collect_events, read_rolled
 
 #: The shipped filter lists.
 SETTINGS = FilterSettings(
@@ -31,8 +31,8 @@ def reduce_logs(lines_by_source: dict[str, DataFrame], settings: FilterSettings
     return filter_events(rows, settings).select(*events.columns)
 
 
-def run(spark: SparkSession, paths: dict[str, str], out: str, settings: FilterSettings = SETTINGS, hostname=None, agent_id: str | None = None) -> None:
-    """Log files to a table of event documents, a folder for each day; never the whole table again."""
-    lines = {s: read_lines(spark, s, p, hostname, agent_id) for s, p in paths.items()}
-    docs = to_event_docs(reduce_logs(lines, settings))
+def run(spark: SparkSession, paths: dict[str, str | list[str]], out: str, settings: FilterSettings = SETTINGS, hostname=None, agent_id: str | None = None, audit_mode: str = "complete") -> None:
+    """Log files, rolled ones in their order, to a table of event documents, a folder for each day; never the whole table again."""
+    lines = {s: read_rolled(spark, s, p, hostname, agent_id) for s, p in paths.items()}
+    docs = to_event_docs(reduce_logs(lines, settings, audit_mode))
     docs.withColumn("event_date", F.substring("timestamp", 1, 10)).write.mode("append").partitionBy("event_date").parquet(out)

@@ -1,8 +1,7 @@
-"""A document table kept up to date: insert requests, deletes, and a new version of the table.
+"""A document table kept up to date by insert requests and deletes, and searched.
 
-A table is a folder of versions ``v=1``, ``v=2``, ... . A version is written beside
-the others and counts once it is whole, so readers keep the one they have, and a job
-that fails half way changes nothing and can run again.
+The table is a :class:`logloom.tables.DocumentTable`: an insert adds files, a delete writes again only
+files that hold what it removes, and what fails half way changes nothing and can run again.
 """
 
 from __future__ import annotations
@@ -10,42 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators.documents import find, insert
-from logloom.operators.query import compile_query
-from logloom.sources.documents import expand_payloads, read_collection, save_collection
+from logloom.sources.documents import expand_payloads
+from logloom.tables import DocumentTable
 
-DOCUMENTS = "database string, _id string, fields map<string,string>"
 
+def update(spark: SparkSession, root: str, requests: DataFrame | None = None, order_by: Column | None = None, deletes: dict[str, str] | None = None, txn: tuple[str, int] | None = None) -> dict[str, int]:
+    """Inserts the documents of ``requests`` (column ``payload``) with new ids, then deletes what ``deletes`` finds
+    in each database; ``inserted``, ``deleted`` and the table's ``version``.
 
-def last_version(spark: SparkSession, root: str) -> int:
-    """The number of the newest whole version, 0 for none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v=*/_SUCCESS")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return max([int(f.getPath().getParent().getName()[2:]) for f in found or []], default=0)
-
-
-def current(spark: SparkSession, root: str, database: str | None = None) -> DataFrame:
-    """The newest version; a table that does not exist yet is empty."""
-    n = last_version(spark, root)
-    return read_collection(spark, f"{root}/v={n}", database).select("database", "_id", "fields") if n else spark.createDataFrame([], DOCUMENTS)
-
-
-def update(spark: SparkSession, root: str, requests: DataFrame | None = None, order_by: Column | None = None, deletes: dict[str, str] | None = None) -> int:
-    """Inserts the documents of ``requests`` (column ``payload``) with new ids, then deletes what
-    ``deletes`` finds in each database; returns the number of the new version.
-
-    ``order_by`` is computed from ``fields`` and says in which order ids are given.
+    ``order_by`` is computed from ``fields`` and says in which order ids are given. With ``txn``, an application and a number that
+    grows, a job that runs again after a failure does not do again what it had done.
     """
-    docs = current(spark, root)
+    table = DocumentTable(spark, root)
+    inserted = deleted = 0
     if requests is not None:
         key = order_by if order_by is not None else F.xxhash64(F.map_entries("fields"))
-        docs = insert(docs, expand_payloads(requests).withColumn("_order", key), ("_order",))
-    for database, query in (deletes or {}).items():
-        docs = docs.where(~((F.col("database") == database) & compile_query(query)))
-    n = last_version(spark, root) + 1
-    save_collection(docs, f"{root}/v={n}")
-    return n
+        inserted = table.insert(expand_payloads(requests).withColumn("_order", key), ("_order",), txn)
+    for database, query in sorted((deletes or {}).items()):
+        deleted += table.delete(database, query, (f"{txn[0]}/delete/{database}", txn[1]) if txn else None)
+    return {"inserted": inserted, "deleted": deleted, "version": table.snapshot().version}
 
 
 def search(spark: SparkSession, root: str, database: str, query: str) -> DataFrame:
-    return find(current(spark, root, database), query)
+    return DocumentTable(spark, root).find(database, query)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.query import compile_query
+from logloom.operators.query import compile_query, equality_key, implied_filter
 from logloom.storage import numbered
 
 
@@ -26,20 +26,25 @@ def find(docs: DataFrame, query: str | dict) -> DataFrame:
     return docs.where(compile_query(query))
 
 
+def find_events(events: DataFrame, query: str | dict, day: str | None = "event_date") -> DataFrame:
+    """Event documents with a column for each field that match; ``day`` holds the first ten characters of ``timestamp``.
+
+    The query also gives a weaker condition on plain columns, so that scans pass over days and row groups that cannot match.
+    """
+    columns = {c: F.col(c) for c in events.columns if c != day}
+    hit = compile_query(query, lambda name: F.col(name) if name in columns else F.lit(None).cast("string"))
+    weaker = implied_filter(query, columns, {"timestamp": (F.col(day), 10)} if day in events.columns and "timestamp" in columns else None)
+    return events.where(hit) if weaker is None else events.where(weaker).where(hit)
+
+
 def find_count(docs: DataFrame, query: str | dict) -> DataFrame:
     return docs.agg(F.count_if(compile_query(query)).alias("count"))
 
 
 def find_in(docs: DataFrame, name: str, values: DataFrame) -> DataFrame:
     """``$in`` with a long list given as a table with one column ``value``: a semi join instead of many terms."""
-    from logloom.functions.text import db_trim, is_int_string
-
-    def canonical(c: Column) -> Column:
-        t = db_trim(c)
-        return F.when(is_int_string(t), F.coalesce(t.try_cast("int").cast("string"), F.lit(None))).otherwise(t)
-
-    wanted = values.select(canonical(F.col("value")).alias("_wanted")).where("_wanted is not null").distinct()
-    return docs.join(wanted, canonical(field(name)) == F.col("_wanted"), "left_semi")
+    wanted = values.select(equality_key(F.col("value")).alias("_wanted")).where("_wanted is not null").distinct()
+    return docs.join(wanted, equality_key(field(name)) == F.col("_wanted"), "left_semi")
 
 
 def get(docs: DataFrame, doc_id: str) -> DataFrame:

@@ -9,7 +9,8 @@ Python and the optimiser sees every condition.
 from __future__ import annotations
 
 import json
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 from operator import and_, or_
 
 from pyspark.sql import Column
@@ -43,6 +44,12 @@ def _compare(field: Column, operand: str, how: str) -> Column:
     return F.when(is_int_string(value), as_int).otherwise(as_text)
 
 
+def equality_key(field: Column) -> Column:
+    """Equal for values that compare as equal: integers by number, other text as it is; NULL for what equals nothing."""
+    value = db_trim(field)
+    return F.when(is_int_string(value), value.try_cast("int").cast("string")).otherwise(value)
+
+
 def _in(field: Column, items: list) -> Column:
     texts = [_text(i) for i in items]
     plain = [t for t in texts if not _integer(t)]
@@ -83,6 +90,10 @@ def compile_query(query: str | dict, field=None) -> Column:
     """``query`` as a Boolean column, never NULL. ``field(name)`` gives a document's field; by default ``fields[name]`` and ``_id``."""
     if field is None:
         field = lambda name: F.col("_id") if name == "_id" else F.try_element_at("fields", F.lit(name))
+    return _compiled(parsed_query(query), field)
+
+
+def parsed_query(query: str | dict) -> Pairs:
     text = query if isinstance(query, str) else json.dumps(query)
     try:
         parsed = json.loads(text, object_pairs_hook=Pairs, parse_float=str) if text.strip() else Pairs()
@@ -90,7 +101,7 @@ def compile_query(query: str | dict, field=None) -> Column:
         raise ValueError(f"malformed query: {e}") from e
     if not isinstance(parsed, Pairs):
         raise ValueError("a query is a JSON object")
-    return _compiled(parsed, field)
+    return parsed
 
 
 def _compiled(query: Pairs, field) -> Column:
@@ -104,3 +115,175 @@ def _compiled(query: Pairs, field) -> Column:
         return reduce(or_ if first == "$or" else and_, parts) if parts else F.lit(False)
     # Combinators in a later place are field names, which no document has.
     return reduce(and_, [F.coalesce(_condition(field(name), v), F.lit(False)) for name, v in query])
+
+
+def equal_values(query: str | dict, name: str) -> list[str] | None:
+    """Values of which ``name`` must equal one in every match, as far as the query's form tells; None where it does not tell."""
+    return _equal_values(parsed_query(query), name)
+
+
+def _both(a: list[str] | None, b: list[str] | None) -> list[str] | None:
+    return b if a is None else a if b is None or len(a) <= len(b) else b
+
+
+def _equal_values(query: Pairs, name: str) -> list[str] | None:
+    if not query:
+        return None
+    first, value = query[0]
+    if first in ("$or", "$and"):
+        parts = [_equal_values(q, name) for q in value] if isinstance(value, list) and all(isinstance(q, Pairs) for q in value) else [None]
+        if first == "$and":
+            return reduce(_both, parts, None)
+        return None if None in parts else [v for p in parts for v in p]
+    return reduce(_both, [_values_of(v) for n, v in query if n == name], None)
+
+
+def _values_of(value) -> list[str] | None:
+    """Of one condition on a field; ``[]`` for one that nothing meets is left to the whole predicate."""
+    if not isinstance(value, Pairs):
+        return [json.dumps(value) if isinstance(value, list) else _text(value)]
+    found = None
+    for name, operand in value:
+        if name == "$eq" and _text(operand):
+            found = _both(found, [_text(operand)])
+        elif name == "$in" and isinstance(operand, list):
+            found = _both(found, [_text(i) for i in operand])
+    return found
+
+
+#: Below it are exactly the texts that begin with a blank or another sign that is not printed, and the empty text.
+PRINTED_FROM = "!"
+
+
+def implied_filter(query: str | dict, columns: dict[str, Column], prefixes: dict[str, tuple[Column, int]] | None = None) -> Column | None:
+    """A weaker condition on plain columns that every match of ``query`` meets, or None where none is found.
+
+    The exact predicate trims values and compares integers, which files cannot be pruned by. This one
+    compares ``columns``, the fields as stored, with constants alone, so scans push it down; it must be
+    used together with the exact one. ``prefixes`` gives for a field a column that holds its first ``n``
+    characters, such as a partition's date.
+    """
+    return _implied(parsed_query(query), columns, prefixes or {})
+
+
+def _implied(query: Pairs, columns: dict, prefixes: dict) -> Column | None:
+    if not query:
+        return None
+    first, value = query[0]
+    if first in ("$or", "$and"):
+        parts = [_implied(q, columns, prefixes) for q in value] if isinstance(value, list) and all(isinstance(q, Pairs) for q in value) else []
+        if first == "$or":
+            return reduce(or_, parts) if parts and not any(p is None for p in parts) else None
+        parts = [p for p in parts if p is not None]
+        return reduce(and_, parts) if parts else None
+    tests = [t for n, v in query for t in _implied_tests(n, v, columns, prefixes)]
+    return reduce(and_, tests) if tests else None
+
+
+def _implied_tests(name: str, value, columns: dict, prefixes: dict) -> list[Column]:
+    """Conditions for one field. A value that begins with a blank passes them all; blanks behind a value only make it greater."""
+    if not isinstance(value, Pairs):
+        value = Pairs([("$eq", json.dumps(value) if isinstance(value, list) else _text(value))])
+    stored_as = [(columns[name], None)] if name in columns else []
+    stored_as += [(prefixes[name][0], prefixes[name][1])] if name in prefixes else []
+    out = []
+    for column, n in stored_as:
+        cut = lambda t, n=n: t if n is None else t[:n]
+        led = column < PRINTED_FROM
+        for how, operand in value:
+            if how == "$in" and isinstance(operand, list):
+                texts = [_text(i) for i in operand]
+                if texts and not any(_integer(t) or not t for t in texts):
+                    out.append(reduce(or_, [_between(column, cut(t)) for t in texts]) | led)
+                continue
+            text = _text(operand) if how in ("$eq", "$gt", "$lt", "$like") else ""
+            if not text or (how != "$like" and _integer(text)):
+                continue
+            if how == "$eq":
+                out.append(_between(column, cut(text)) | led)
+            elif how == "$gt":
+                out.append((column >= cut(text)) | led)
+            elif how == "$lt" and min(text) >= " ":
+                out.append((column <= cut(text)) | led)
+            elif how == "$like":
+                begins = re.split("[%_]", text)[0]
+                if begins and n is None:
+                    out.append(column.startswith(begins) | led)
+    return out
+
+
+def _between(column: Column, text: str) -> Column:
+    """Equal to ``text``, or longer by blanks."""
+    return (column >= text) & (column < text + PRINTED_FROM)
+
+
+def matches(query: Pairs, fields: dict[str, str], doc_id: str | None = None) -> bool:
+    """The predicate for one document, for queries that are data and so no column; equal to :func:`compile_query`."""
+    if not query:
+        return True
+    first, value = query[0]
+    if first in ("$or", "$and"):
+        return (any if first == "$or" else all)(matches(q, fields, doc_id) for q in value) and bool(value)
+    return all(_meets(doc_id if name == "_id" else fields.get(name), v) for name, v in query)
+
+
+def _meets(found: str | None, value) -> bool:
+    if found is None:
+        return False
+    own = found.strip(" \t\n\r")
+    if not isinstance(value, Pairs):
+        if isinstance(value, list):
+            return own == json.dumps(value)
+        operand = _text(value)
+        return _holds(own, operand, "=") if operand else isinstance(value, str) and own == ""
+    tests = []
+    for name, operand in value:
+        if name == "$in":
+            tests.append(any(_holds(own, _text(i), "=") for i in operand))
+        elif name in ("$eq", "$gt", "$lt", "$like") and (text := _text(operand)):
+            tests.append(_like(text).fullmatch(own) is not None if name == "$like" else _holds(own, text, {"$eq": "=", "$gt": ">", "$lt": "<"}[name]))
+    return bool(tests) and all(tests)
+
+
+def _holds(own: str, operand: str, how: str) -> bool:
+    a, b = own.encode(), operand.encode()
+    if _integer(operand) and _integer(own):
+        a, b = int(own), int(operand)
+        if not (INT_MIN <= a <= INT_MAX and INT_MIN <= b <= INT_MAX):
+            return False
+    return a == b if how == "=" else a > b if how == ">" else a < b
+
+
+@lru_cache(maxsize=1000)
+def _like(pattern: str) -> re.Pattern:
+    return re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern), re.DOTALL)
+
+
+def checked(query: Pairs) -> Pairs:
+    """``query`` if every part of it is well formed; ``ValueError`` else."""
+    if query and query[0][0] in ("$or", "$and"):
+        first, value = query[0]
+        if not isinstance(value, list) or isinstance(value, Pairs) or not all(isinstance(q, Pairs) for q in value):
+            raise ValueError(f"{first} needs a list of queries")
+        for q in value:
+            checked(q)
+    elif any(n == "$in" and not isinstance(o, list) for _, v in query if isinstance(v, Pairs) for n, o in v):
+        raise ValueError("$in needs a list")
+    return query
+
+
+def access_keys(query: Pairs) -> list[tuple[str, str | None]]:
+    """What a match must hold one of: a field with a value that equals the given one, or where that is None with any; ``("", None)`` is every document."""
+    if not query:
+        return [("", None)]
+    first, value = query[0]
+    if first == "$or":
+        return list(dict.fromkeys(k for q in value for k in access_keys(q)))
+    if first == "$and":
+        ways = [access_keys(q) for q in value]
+        return min(ways, key=lambda w: (any(v is None for _, v in w), ("", None) in w, len(w))) if ways else []
+    for name, v in query:
+        values = _values_of(v)
+        if values is not None:
+            return [(name, t) for t in dict.fromkeys(values)]
+    return [(query[0][0], None)]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.operators.documents import parse_documents
 from logloom.schemas import ALWAYS, OPTIONAL
+from logloom.sources.arrays import read_objects
 from logloom.storage import numbered
 
 REQUEST = "database string, operation string, data string, query string"
@@ -18,6 +19,11 @@ def to_event_docs(events: DataFrame, agent_id: str | None = None) -> DataFrame:
     return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ALWAYS], *[F.nullif(c, F.lit("")).alias(c) for c in OPTIONAL])
 
 
+def event_document() -> Column:
+    """The document of an event as one struct."""
+    return F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ALWAYS], *[F.nullif(c, F.lit("")).alias(c) for c in OPTIONAL])
+
+
 def to_json_lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.to_json(F.struct(*docs.columns)).alias("value"))
 
@@ -30,7 +36,7 @@ def insert_payloads(events: DataFrame, database: str, batch_size: int, order_by:
     """
     if batch_size < 1:
         raise ValueError("batch_size must be 1 at least")
-    doc = F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ALWAYS], *[F.nullif(c, F.lit("")).alias(c) for c in OPTIONAL])
+    doc = event_document()
     order = tuple(dict.fromkeys((*order_by, "raw_log")))
     rows = events.select("agent_id", *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], doc.alias("doc"))
     rows = numbered(rows, "agent_id", tuple(f"_{i}" for i in range(len(order))), "n").withColumn("batch_no", F.floor(F.col("n") / batch_size))
@@ -51,14 +57,12 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_collection(spark: SparkSession, path: str, database: str = "", one_per_line: bool = True) -> DataFrame:
-    """A JSON array of flat objects. With one object a line the file splits; otherwise a file is one task."""
+    """A JSON array of flat objects. With one object a line it is read in one pass, in any other layout in two; files split in both."""
     if one_per_line:
         lines = spark.read.text(path, lineSep="\n").select(F.regexp_replace(F.btrim("value", F.lit(" \t\r\n")), ",$", "").alias("value")).where(F.col("value").startswith("{"))
-        docs = parse_documents(lines, "value")
     else:
-        whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("m"))
-        docs = whole.select(F.try_element_at("m", F.lit("_id")).alias("_id"), F.map_filter("m", lambda k, _: k != "_id").alias("fields")).where("_id is not null and _id != ''")
-    return docs.select(F.lit(database).alias("database"), "_id", "fields")
+        lines = read_objects(spark, path).select(F.col("text").alias("value"))
+    return parse_documents(lines, "value").select(F.lit(database).alias("database"), "_id", "fields")
 
 
 def save_collection(docs: DataFrame, path: str) -> None:

@@ -8,9 +8,10 @@ start no new group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,13 +19,10 @@ from logloom.operators.audit import FIRST, KEYS, audit_event, merge_rows
 
 RAWS = {"AVC": "raw_avc", "SYSCALL": "raw_syscall", "PROCTITLE": "raw_proctitle"}
 GROUP_FIELDS = (*FIRST, *RAWS.values(), "agent_id")
-GROUP = ", ".join(f"{n} string" for n in GROUP_FIELDS) + ", seq bigint, ingest_time timestamp"
-MERGED = "hostname string, audit_ts string, serial bigint, " + GROUP + ", group_time timestamp"
 STATE = ", ".join(f"{n} string" for n in GROUP_FIELDS) + ", seq bigint, ingest_us bigint, until_ms bigint"
-
-
-def _text(value) -> str | None:
-    return None if value is None or pd.isna(value) else str(value)
+STATE_FIELDS = (*GROUP_FIELDS, "seq", "ingest_us", "until_ms")
+MERGED = "hostname string, audit_ts string, serial bigint, " + ", ".join(f"{n} string" for n in GROUP_FIELDS) + ", seq bigint, ingest_time timestamp, group_time timestamp"
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 class MergeRecords(StatefulProcessor):
@@ -38,48 +36,41 @@ class MergeRecords(StatefulProcessor):
         self.group = handle.getValueState("group", STATE)
 
     def _open(self) -> dict | None:
-        held = self.group.get() if self.group.exists() else None
-        return None if held is None else dict(zip((*GROUP_FIELDS, "seq", "ingest_us", "until_ms"), held, strict=True))
-
-    def _row(self, key, group: dict) -> dict:
-        stamp = pd.Timestamp(group["ingest_us"], unit="us")
-        return dict(zip(KEYS, key, strict=True)) | {n: group[n] for n in GROUP_FIELDS} | {"seq": group["seq"], "ingest_time": stamp, "group_time": pd.Timestamp(group["until_ms"] - self.hold_ms, unit="ms")}
+        held = self.group.get()
+        return dict(zip(STATE_FIELDS, held, strict=True)) if held is not None else None
 
-    def _frame(self, rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*KEYS, *GROUP_FIELDS, "seq", "ingest_time", "group_time"])
+    def _row(self, key, group: dict) -> Row:
+        times = {"ingest_time": EPOCH + timedelta(microseconds=group["ingest_us"]), "group_time": EPOCH + timedelta(milliseconds=group["until_ms"] - self.hold_ms)}
+        return Row(**dict(zip(KEYS, key, strict=True)), **{n: group[n] for n in (*GROUP_FIELDS, "seq")}, **times)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        records = pd.concat(list(rows)).sort_values("seq", kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         group, out = self._open(), []
         had = group["until_ms"] if group else None
-        for r in records.to_dict("records"):
+        for r in sorted(rows, key=lambda r: r["seq"]):  # a serial has a few records
             if group is None:
-                at = int(pd.Timestamp(r["group_time"]).value // 1_000_000)
-                group = dict.fromkeys(GROUP_FIELDS) | {"seq": int(r["seq"]), "ingest_us": int(pd.Timestamp(r["ingest_time"]).value // 1000), "until_ms": at + self.hold_ms}
-            for n in FIRST:
-                group[n] = group[n] if group[n] is not None else _text(r[n])
-            group["agent_id"] = group["agent_id"] if group["agent_id"] is not None else _text(r["agent_id"])
+                group = dict.fromkeys(GROUP_FIELDS) | {"seq": r["seq"], "ingest_us": r["ingest_us"], "until_ms": r["group_us"] // 1000 + self.hold_ms}
+            for n in (*FIRST, "agent_id"):
+                group[n] = group[n] if group[n] is not None else r[n]
             group[RAWS[r["type"]]] = r["line"]
             if group["raw_syscall"] is not None and (group["raw_avc"] is not None or group["raw_proctitle"] is not None):
                 out.append(self._row(key, group))
                 group = None
         if had is not None and (group is None or group["until_ms"] != had):
             self.handle.deleteTimer(had)
-        if group is None:
+        if group is None and had is not None:
             self.group.clear()
-        else:
-            self.group.update(tuple(group[n] for n in (*GROUP_FIELDS, "seq", "ingest_us", "until_ms")))
+        elif group is not None:
+            self.group.update(tuple(group[n] for n in STATE_FIELDS))
             if group["until_ms"] != had:
                 self.handle.registerTimer(group["until_ms"])
-        if out:
-            yield self._frame(out)
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         group = self._open()
         # A timer fires even when its group has ended since.
         if group is not None and group["until_ms"] <= expiredTimerInfo.getExpiryTimeInMs():
             self.group.clear()
-            yield self._frame([self._row(key, group)])
+            yield self._row(key, group)
 
     def close(self) -> None:
         pass
@@ -92,5 +83,6 @@ def stream_merge_audit(lines: DataFrame, hold: str = "2 seconds", delay: str = "
     """
     hold_ms = int(pd.Timedelta(hold).total_seconds() * 1000)
     rows = merge_rows(lines).withColumn("group_time", F.coalesce(F.try_to_timestamp("audit_ts"), "ingest_time")).withWatermark("group_time", delay)
-    merged = rows.groupBy(*KEYS).transformWithStateInPandas(MergeRecords(hold_ms), outputStructType=MERGED, outputMode="append", timeMode="eventTime", eventTimeColumnName="group_time")
+    rows = rows.withColumns({"ingest_us": F.unix_micros("ingest_time"), "group_us": F.unix_micros("group_time")})
+    merged = rows.groupBy(*KEYS).transformWithState(MergeRecords(hold_ms), outputStructType=MERGED, outputMode="append", timeMode="eventTime", eventTimeColumnName="group_time")
     return audit_event(merged, "group_time")

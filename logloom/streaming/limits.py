@@ -1,18 +1,21 @@
-"""Consecutive dedupe and rate limit over a stream, with one state for each rate key.
+"""Consecutive dedupe and rate limit over a stream, in the order of event time, with one state for each rate key.
 
-All shell history events of a host share a rate key, so the last command and the
-last accepted time are fields of one state. Inside a micro-batch rows are taken
-by ``(event_time, seq)``; a row older than the last accepted one is dropped, so
-stream and batch agree when files come in time order. A timer ends the time
-after the window; the last command, one value a host, stays.
+Files and hosts arrive in any order, and both rules turn on what came before. So a row is held
+until the watermark has passed it, that is, until no earlier one can come, and then goes
+through the rules in the order of ``(event_time, seq)``: a stream gives what batch gives, as long as rows are
+late by less than the watermark's delay. Held are the rows of that delay alone.
+
+All shell history events of a host share a rate key, so the last command and the last accepted time
+are two fields of one state. The time is dropped once its window has passed; the last
+command, one value a host, stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +23,10 @@ from logloom.operators.filters import RATE_KEY, filter_stateless, is_forced
 from logloom.schemas import EVENT, EVENT_FIELDS, FilterSettings
 
 COLUMNS = (*EVENT_FIELDS, "agent_id", "seq", "event_time")
+HELD = ", ".join(f"{c} string" for c in (*EVENT_FIELDS, "agent_id")) + ", seq bigint, us bigint"
+AT = len(COLUMNS) - 1
+COMMAND = COLUMNS.index("command")
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 class LimitEvents(StatefulProcessor):
@@ -28,48 +35,64 @@ class LimitEvents(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "accepted_us bigint, command string")
+        # Each call goes to the JVM and back, so all that is not a list is one value.
+        self.last = handle.getValueState("last", "accepted_us bigint, command string, due_ms bigint")
+        self.held = handle.getListState("held", HELD)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [tuple(r)[: AT + 1] for r in rows]
+        self.held.appendList(new)
+        due = min(_ms(r[AT]) for r in new)
+        accepted, command, had = self.last.get() or (None, None, None)
+        if had is None or due < had:
+            if had is not None:
+                self.handle.deleteTimer(had)
+            self.handle.registerTimer(due)
+            self.last.update((accepted, command, due))
+        return iter(())
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["event_time", "seq"], kind="stable")
-        accepted, command = self.last.get() if self.last.exists() else (None, None)
-        had, keep = accepted, []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        upto = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.held.get()]
+        ripe = sorted((r for r in held if _ms(r[AT]) <= upto), key=lambda r: (r[AT], r[AT - 1]))
+        rest = [r for r in held if _ms(r[AT]) > upto]
+        accepted, command, _ = self.last.get() or (None, None, None)
         shell = self.dedupe and dict(zip(RATE_KEY, key, strict=True))["source"] == "bash_history"
-        for at, (us, now) in enumerate(zip(events["event_time"].astype("datetime64[us]").astype("int64"), events["command"], strict=True)):
+        for r in ripe:
             if shell:
-                same = bool(now) and now == command
-                command = now
+                same, command = bool(r[COMMAND]) and r[COMMAND] == command, r[COMMAND]
                 if same:
                     continue
             if self.window_us:
-                if accepted is not None and us - accepted < self.window_us:
+                if accepted is not None and r[AT] - accepted < self.window_us:
                     continue
-                accepted = int(us)
-            keep.append(at)
-        if accepted is None and command is None:
+                accepted = r[AT]
+            yield Row(**dict(zip(COLUMNS, (*r[:AT], EPOCH + timedelta(microseconds=r[AT])), strict=True)))
+        over = None if accepted is None else (accepted + self.window_us) // 1000 + 1
+        if over is not None and over <= upto:
+            accepted = over = None
+        if rest:
+            self.held.put(rest)
+        elif held:
+            self.held.clear()
+        # The timer that fired goes by itself; it was the earliest.
+        due = min([*(_ms(r[AT]) for r in rest), *([over] if over is not None else [])], default=None)
+        if due is not None:
+            self.handle.registerTimer(due)
+        if accepted is None and command is None and due is None:
             self.last.clear()
         else:
-            self.last.update((accepted, command))
-        if accepted != had:
-            if had is not None:
-                self.handle.deleteTimer((had + self.window_us) // 1000 + 1)
-            self.handle.registerTimer((accepted + self.window_us) // 1000 + 1)
-        if keep:
-            yield events.iloc[keep][list(COLUMNS)]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        accepted, command = self.last.get() if self.last.exists() else (None, None)
-        if accepted is not None and (accepted + self.window_us) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            if command is None:
-                self.last.clear()
-            else:
-                self.last.update((None, command))
-        return iter(())
+            self.last.update((accepted, command, due))
 
     def close(self) -> None:
         pass
 
 
+def _ms(us: int) -> int:
+    """The millisecond that must have passed, so that the watermark is behind all of the time."""
+    return us // 1000 + 1
+
+
 def stream_limits(events: DataFrame, s: FilterSettings, delay: str | None = "10 seconds") -> DataFrame:
     """Rules R7 and R8 on a stream of events that passed the stateless rules and are not forced.
 
@@ -77,12 +100,14 @@ def stream_limits(events: DataFrame, s: FilterSettings, delay: str | None = "10
     """
     if s.rate_limit_window_sec <= 0 and not s.dedupe_bash_history:
         return events
-    rows = events.select(*[F.coalesce(c, F.lit("")).alias(c) for c in EVENT_FIELDS], "agent_id", "seq", "event_time")
-    rows = rows.withWatermark("event_time", delay) if delay else rows
-    return rows.groupBy(*RATE_KEY).transformWithStateInPandas(LimitEvents(s.rate_limit_window_sec, s.dedupe_bash_history), outputStructType=EVENT, outputMode="append", timeMode="eventTime")
+    rows = events.withWatermark("event_time", delay) if delay else events
+    # Fields of the key may be missing; they are one value then, as in batch.
+    named = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in EVENT_FIELDS], "agent_id", "seq", F.unix_micros("event_time").alias("us"), "event_time")
+    processor = LimitEvents(s.rate_limit_window_sec, s.dedupe_bash_history)
+    return named.groupBy(*RATE_KEY).transformWithState(processor, outputStructType=EVENT, outputMode="append", timeMode="eventTime")
 
 
 def stream_filter(events: DataFrame, s: FilterSettings, delay: str | None = "10 seconds") -> DataFrame:
-    """The whole chain on a stream; forced events skip the state."""
+    """The whole chain on a stream; forced events skip the state and are not held."""
     rows = filter_stateless(events, s)
     return stream_limits(rows.where(~is_forced(s)), s, delay).unionByName(rows.where(is_forced(s)).select(*COLUMNS))

@@ -105,19 +105,3 @@ def test_databases_are_apart(spark):
     got = {(r["database"], r["_id"]): r["fields"]["k"] for r in docs.upsert(rows, changes).collect()}
     assert got == {("a", "41"): "1", ("b", "1"): "2", ("a", "1"): "new"}
     assert docs.upsert(rows, changes.limit(0)).count() == 3
-
-
-def test_versions(spark, tmp_path):
-    """A table grows by versions; one that is not whole does not count."""
-    from logloom.jobs import w3
-
-    root = str(tmp_path / "table")
-    assert w3.current(spark, root).count() == 0
-    requests = spark.createDataFrame([('{"database":"a","operation":"insert","data":[{"k":"1"},{"k":"2"}]}',), ('{"database":"b","operation":"insert","data":{"k":"3"}}',)], "payload string")
-    assert w3.update(spark, root, requests, F.col("fields.k").cast("long")) == 1
-    rows = lambda: sorted((r["database"], r["_id"], r["fields"]["k"]) for r in w3.current(spark, root).collect())
-    assert rows() == [("a", "1", "1"), ("a", "2", "2"), ("b", "1", "3")]
-    (tmp_path / "table" / "v=7").mkdir()
-    assert w3.update(spark, root, requests, F.col("fields.k").cast("long"), deletes={"a": '{"k":"1"}', "c": "{}"}) == 2
-    assert rows() == [("a", "2", "2"), ("a", "4", "2"), ("b", "1", "3"), ("b", "2", "3")]
-    assert [r["_id"] for r in w3.search(spark, root, "b", '{"k":"3"}').orderBy("_id").collect()] == ["1", "2"]

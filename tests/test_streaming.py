@@ -6,7 +6,7 @@ from logloom.operators.audit import merge_audit
 from logloom.operators.filters import filter_events
 from logloom.operators.parsers import parse_shell_history
 from logloom.schemas import FilterSettings
-from logloom.sources.lines import collect_events, first_start, read_lines, read_rolled, stream_lines
+from logloom.sources.lines import collect_events, read_lines, read_rolled, stream_lines
 from logloom.streaming.alerts import audit_events, denial_alerts, write_documents
 from logloom.streaming.limits import stream_filter
 
@@ -30,7 +30,7 @@ def test_audit_stream_equals_batch(spark, tmp_path):
         [record("PROCTITLE", 0, 1, 'proctitle="late title"'), record("SYSCALL", 2, 3, "success=no"), record("AVC", 3, 4, 'comm="only"')],
         [record("PROCTITLE", 200, 5, 'proctitle="z"')],
         [record("USER_LOGIN", 500, 6, 'acct="end"')],
-        [record("SYSCALL", 900, 7, "success=yes"), record("AVC", 900, 7, 'comm="q"')],
+        [record("SYSCALL", 900, 7, "success=yes"), record("AVC", 900, 7, 'comm="q"'), record("USER_LOGIN", 900, 8, 'acct="x"')],
     ]
     logs = tmp_path / "logs"
     logs.mkdir()
@@ -42,38 +42,49 @@ def test_audit_stream_equals_batch(spark, tmp_path):
                 f.write_text("".join(r + "\n" for r in rows))
                 os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
 
-    for upto in (2, 5):  # the second run goes on from the checkpoint
+    for upto in (2, 4, 5):  # each run goes on from the checkpoint
         put(upto)
-        lines = stream_lines(spark, "auditd", str(logs), "h", "me", max_files=1)
+        lines = stream_lines(spark, "auditd", str(logs), str(tmp_path / "tail"), "h", "me", from_begin=True)
         write_documents(audit_events(lines), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = sorted(r["raw_log"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     batch = read_rolled(spark, "auditd", str(logs), "h", "me")
     expected = sorted(r["raw_log"] for r in merge_audit(batch, "eager").collect())
     singles = [r for r in got if "USER_LOGIN" in r]
-    assert sorted(set(got) - set(singles)) == sorted(set(expected)) and len(singles) == 2
+    assert sorted(set(got) - set(singles)) == sorted(set(expected)) and len(singles) == 3
 
 
 def test_limits_stream_equals_batch(spark, tmp_path):
+    """Files in any order, over three runs: what is late by less than the delay is in its place."""
+    import os
+
+    from pyspark.sql import functions as F
+
     settings = FilterSettings(rate_limit_window_sec=3, dedupe_bash_history=True, keep_if_raw_contains=("keep",))
     logs = tmp_path / "logs"
     logs.mkdir()
-    import os
+    commands = ["ls", "ls", "pwd", "keep", "ls", "cd", "cd", "who", "ls", "date", "w", "w", "ls", "top", "ls", "id"]
 
-    commands = ["ls", "ls", "pwd", "keep", "ls", "cd", "cd", "who", "ls", "date"]
-    for i, c in enumerate(commands):
-        f = logs / f"{i:02}.log"
-        f.write_text(c + "\n")
-        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
-    batch = parse_shell_history(read_lines(spark, "bash_history", [str(logs / f"{i:02}.log") for i in range(10)], "h"))
-    # One file a partition: the file's time orders the rows.
-    from pyspark.sql import functions as F
+    def put(places):
+        for i in places:
+            f = logs / f"{i:02}.log"
+            f.write_text(commands[i] + "\n")
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
 
-    batch = batch.withColumn("seq", F.unix_seconds("event_time"))
+    def run():
+        lines = stream_lines(spark, "bash_history", str(logs), str(tmp_path / "tail"), "h", "me", from_begin=True)
+        events = parse_shell_history(lines)
+        query = stream_filter(events, settings, "8 seconds").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+        assert query.awaitTermination(120)
+
+    for places in ((3, 0, 5, 6), (1, 2, 9, 4), (8, 7, 12, 10), (11, 15, 13, 14)):
+        put(places)
+        run()
+    (logs / "end.log").write_text("bye\n")
+    os.utime(logs / "end.log", (1_700_001_000, 1_700_001_000))
+    run()
+    batch = parse_shell_history(read_rolled(spark, "bash_history", [str(logs / f"{i:02}.log") for i in range(len(commands))], "h"))
     expected = sorted((r["command"], r["event_time"]) for r in filter_events(batch, settings).collect())
-    events = parse_shell_history(stream_lines(spark, "bash_history", str(logs), "h", "me", max_files=1)).withColumn("seq", F.unix_seconds("event_time"))
-    query = stream_filter(events, settings).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
-    query.awaitTermination(120)
-    got = sorted((r["command"], r["event_time"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    got = sorted((r["command"], r["event_time"]) for r in spark.read.parquet(str(tmp_path / "out")).where("command != 'bye'").collect())
     assert got == expected and expected[0][1] < dt.datetime(2030, 1, 1)
 
 
@@ -81,31 +92,9 @@ def test_denial_alerts(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
     (logs / "a.log").write_text("\n".join([record("AVC", 0, 1, 'apparmor="DENIED" comm="a"'), record("SYSCALL", 0, 1, "success=no"), record("USER_LOGIN", 1, 2, 'acct="bob"')]) + "\n")
-    lines = stream_lines(spark, "auditd", str(logs), "h", "me")
+    late = "\n".join([record("AVC", 9000, 7, 'apparmor="DENIED" comm="z"'), record("SYSCALL", 9000, 7, "success=no"), record("AVC", 90000, 8, "x=1"), record("USER_LOGIN", 90000, 9, "res=failed")])
+    (logs / "b.log").write_text(late + "\n")
+    lines = stream_lines(spark, "auditd", str(logs), str(tmp_path / "tail"), "h", "me", from_begin=True)
     denial_alerts(lines, str(tmp_path / "out"), str(tmp_path / "ck"), FilterSettings(min_severity="high", rate_limit_window_sec=3)).awaitTermination(120)
-    (row,) = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert row["event_type"] == "DENIED" and row["user"] is None and row["agent_id"] == "me"
-
-
-def test_start_position(spark, tmp_path):
-    """A tail from the end passes over older files, and keeps its start over restarts."""
-    import os
-    import time
-
-    logs = tmp_path / "logs"
-    logs.mkdir()
-    (logs / "old.log").write_text("old\n")
-    os.utime(logs / "old.log", (1_700_000_000, 1_700_000_000))
-    since = first_start(spark, str(tmp_path / "start"))
-    time.sleep(1.1)
-
-    def run():
-        lines = stream_lines(spark, "bash_history", str(logs), "h", since=first_start(spark, str(tmp_path / "start")))
-        lines.select("line").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
-        return sorted(r["line"] for r in spark.read.schema("line string").parquet(str(tmp_path / "out")).collect())
-
-    (logs / "new.log").write_text("new\n")
-    assert run() == ["new"]
-    time.sleep(1.1)
-    (logs / "later.log").write_text("later\n")
-    assert run() == ["later", "new"] and first_start(spark, str(tmp_path / "start")) == since
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("timestamp").collect()
+    assert [r["event_type"] for r in rows] == ["DENIED", "DENIED"] and rows[0]["user"] is None and rows[0]["agent_id"] == "me"

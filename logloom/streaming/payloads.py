@@ -46,8 +46,11 @@ class BatchEvents(StatefulProcessor):
                     due = None
         if docs:
             self.held.put([(d,) for d in docs])
-            if due is None:
-                due = timerValues.getCurrentProcessingTimeInMs() + self.interval_ms
+            latest = timerValues.getCurrentProcessingTimeInMs() + self.interval_ms
+            if due is None or due > latest:  # a restart may come with a shorter interval
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                due = latest
                 self.handle.registerTimer(due)
         else:
             self.held.clear()

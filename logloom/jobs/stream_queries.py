@@ -133,6 +133,8 @@ def _until(query, done: Callable[[], bool], seconds: float = 300) -> None:
                 raise TimeoutError("the stream did not get there")
             time.sleep(0.3)
     finally:
+        while query.isActive and query.status["isTriggerActive"] and time.time() < end:  # not in the middle of a batch
+            time.sleep(0.02)
         query.stop()
 
 

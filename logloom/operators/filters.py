@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,8 +116,10 @@ def _runs(batches):
 def rate_limit(events: DataFrame, window_sec: int) -> DataFrame:
     """Of each rate key, events at least ``window_sec`` after the last accepted one; ties go by ``seq``.
 
-    The rule is greedy, so what a time slice accepts depends on the last accepted
-    time before it, and on nothing else. Events are dealt by key *and* slice, so a
+    Most events have none of their key within a window before or behind them. They are
+    accepted whatever came, and bear on nothing. For the rest, the rule is greedy, so what
+    a time slice accepts depends on the last accepted time before it, and on
+    nothing else. Events are dealt by key *and* slice, so a
     noisy key spreads over many tasks: first each slice tells, for every way to
     enter it, the time it leaves behind; these few rows are followed slice by slice
     of a key; then each slice accepts its events with the time it was entered with.
@@ -162,18 +165,25 @@ def rate_limit(events: DataFrame, window_sec: int) -> DataFrame:
 
     def accept(batches):
         current, last = None, None
-        for key, at, t in _runs(batches):
-            if (key, at) != current:
-                current, last = (key, at), t["_entered"][0].as_py()
-            keep, last = _accepted(t["_us"].to_numpy(), last, window)
-            if len(keep):
-                yield from t.drop_columns(["_key", "_us", "_slice", "_entered"]).take(pa.array(keep)).to_batches()
-
-    order = ("_key", "_slice", "_us")
-    told = keyed.select(*order).repartition("_key", "_slice").sortWithinPartitions(*order).mapInArrow(ways, "_key string, _slice long, upto long, out long")
+        for batch in batches:
+            alone = batch.column("_alone")
+            yield batch.filter(alone).select(columns)
+            for key, at, t in _runs([batch.filter(pc.invert(alone))]):
+                if (key, at) != current:
+                    current, last = (key, at), t["_entered"][0].as_py()
+                keep, last = _accepted(t["_us"].to_numpy(), last, window)
+                if len(keep):
+                    yield from t.select(columns).take(pa.array(keep)).to_batches()
+
+    columns, order = events.columns, ("_key", "_slice", "_us")
+    row, begin = F.col("_us"), F.col("_slice") * width
+    near = Window.partitionBy("_key", "_slice").orderBy("_us", "seq")
+    alone = (row - F.coalesce(F.lag("_us").over(near), begin) >= window) & (F.coalesce(F.lead("_us").over(near), begin + width) - row >= window)
+    keyed = keyed.withColumn("_alone", alone)
+    told = keyed.where("not _alone").select(*order).sortWithinPartitions(*order).mapInArrow(ways, "_key string, _slice long, upto long, out long")
     entered = told.repartition("_key").sortWithinPartitions("_key", "_slice", "upto").mapInArrow(follow, "_key string, _slice long, _entered long").dropDuplicates(["_key", "_slice"])
     # Times of entry are brought to the rows' own partitioning; the join deals rows by the same keys, so they move once.
-    dealt = keyed.join(entered.hint("merge"), ["_key", "_slice"], "left").select(*[F.col(c) for c in events.columns], *order, "_entered")
+    dealt = keyed.join(entered.hint("merge"), ["_key", "_slice"], "left").select(*columns, *order, "_entered", "_alone")
     return dealt.sortWithinPartitions(*order, "seq").mapInArrow(accept, schema)
 
 

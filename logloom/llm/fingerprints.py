@@ -49,28 +49,22 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``n_chars``, ``digest``: narrow, no shuffle."""
+def mark(canon: str) -> int:
+    """A second hash, which tells texts of one digest apart without sending them."""
+    return xxhash.xxh3_64_intdigest(canon.encode("utf-8", "surrogatepass"), seed=1) - (1 << 63)
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([digest(canonical(t)) for t in texts], pa.string())], ["key", "n_chars", "digest"])
-
-    return docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).mapInArrow(run, "key long, n_chars long, digest string")
 
-
-def canonical_texts(docs: DataFrame) -> DataFrame:
+def canonical_texts(docs: DataFrame, name=digest) -> DataFrame:
     def run(batches):
         for batch in batches:
             canon = [canonical(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(c) for c in canon], pa.string()), pa.array(canon, pa.string())], ["digest", "canon"])
+            yield pa.RecordBatch.from_arrays([pa.array([name(c) for c in canon], pa.string()), pa.array([mark(c) for c in canon], pa.int64()), pa.array(canon, pa.string())], ["digest", "mark", "canon"])
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "digest string, canon string")
+    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "digest string, mark long, canon string")
 
 
-def numbered_collisions(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``digest, canon, variant`` of texts that differ though their digests are equal.
+def numbered_collisions(docs: DataFrame, repeated: DataFrame, name=digest) -> DataFrame:
+    """``digest, mark, canon, variant`` of texts that differ though their digests are equal.
 
     Only buckets with more than one row are looked at. Each map task reduces a
     bucket to its least and greatest canonical text before the shuffle, so a
@@ -78,23 +72,24 @@ def numbered_collisions(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     buckets where the two differ are listed in full.
     """
     few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    inside = canonical_texts(docs).join(F.broadcast(repeated) if few else repeated.hint("merge"), "digest", "left_semi")
+    inside = canonical_texts(docs, name).join(F.broadcast(repeated) if few else repeated.hint("merge"), "digest", "left_semi")
     unequal = inside.groupBy("digest").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).where("least != most").select("digest")
     listed = inside.join(unequal, "digest", "left_semi").distinct()
     return listed.withColumn("variant", F.row_number().over(Window.partitionBy("digest").orderBy("canon")) - 1)
 
 
-_PAIR = "doc_id long, n_chars long, edited_sha256 string, digest string, edited_digest string, same_edited boolean, same_next boolean, canon_size long"
+_PAIR = "doc_id long, n_chars long, edited_sha256 string, digest string, edited_digest string, same_edited boolean, same_next boolean, mark long"
 _WALK = f"{_PAIR}, part int, edge string, text string"
 
 
-def _pair(doc_id, text: str, following: str) -> tuple:
+def _pair(name, doc_id, text: str, own: str, following: str, after: str) -> tuple:
+    """A text and the next one, both with their canonical form."""
     changed = edited(text, following)
-    own, other, after = canonical(text), canonical(changed), canonical(following)
-    return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), digest(own), digest(other), own == other, own == after, len(own)
+    other = canonical(changed)
+    return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), name(own), name(other), own == other, own == after, mark(own)
 
 
-_FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("edited_digest", pa.string()), ("same_edited", pa.bool_()), ("same_next", pa.bool_()), ("canon_size", pa.int64())]
+_FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("digest", pa.string()), ("edited_digest", pa.string()), ("same_edited", pa.bool_()), ("same_next", pa.bool_()), ("mark", pa.int64())]
 _EDGES = [("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())]
 
 
@@ -103,34 +98,43 @@ def _batch(rows: list[tuple], fields) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def _walk(batches):
+def _walk(name):
     """Pairs each text with the next one of its sorted partition; the partition's first and last are also told."""
-    from pyspark import TaskContext
-
-    part, before, first = TaskContext.get().partitionId(), None, True
-    nothing = (None,) * len(_FIELDS)
-    for batch in batches:
-        rows = []
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for i, doc_id in enumerate(ids):
-            text = texts[i].as_py()
-            if first:
-                rows.append((*nothing, part, "first", text))
-                first = False
-            if before is not None:
-                rows.append((*_pair(*before, text), part, None, None))
-            before = (doc_id, text)
-        yield _batch(rows, _FIELDS + _EDGES)
-    if before is not None:
-        yield _batch([(before[0], *nothing[1:], part, "last", before[1])], _FIELDS + _EDGES)
-
-
-def _finish(batches):
-    for batch in batches:
-        yield _batch([_pair(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)], _FIELDS)
-
-
-def compared_with_next(docs: DataFrame) -> DataFrame:
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, before, first = TaskContext.get().partitionId(), None, True
+        nothing = (None,) * len(_FIELDS)
+        for batch in batches:
+            rows = []
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for i, doc_id in enumerate(ids):
+                text = texts[i].as_py()
+                canon = canonical(text)
+                if first:
+                    rows.append((*nothing, part, "first", text))
+                    first = False
+                if before is not None:
+                    rows.append((*_pair(name, *before, text, canon), part, None, None))
+                before = (doc_id, text, canon)
+            yield _batch(rows, _FIELDS + _EDGES)
+        if before is not None:
+            yield _batch([(before[0], *nothing[1:], part, "last", before[1])], _FIELDS + _EDGES)
+
+    return run
+
+
+def _finish(name):
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            yield _batch([_pair(name, doc_id, own, canonical(own), following, canonical(following)) for doc_id, own, following in rows], _FIELDS)
+
+    return run
+
+
+def compared_with_next(docs: DataFrame, name=digest) -> DataFrame:
     """Every document beside its edited text and the next document by ascending ``doc_id``.
 
     Texts move once, in a range partitioning by ``doc_id``. Inside a partition the
@@ -138,7 +142,7 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     one row a partition, never the whole column.
     """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    walked = stored(ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_walk, _WALK), "walked")
+    walked = stored(ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_walk(name), _WALK), "walked")
     firsts = walked.where("edge = 'first'").select("part", "text")
     # One row a partition: the order of partitions that hold rows, and after the last the first.
     parts = firsts.select("part")
@@ -146,28 +150,21 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     after = parts.withColumn("after", F.lead("part").over(order)).crossJoin(F.broadcast(parts.agg(F.min("part").alias("least")))).select("part", F.coalesce("after", "least").alias("after"))
     lasts = walked.where("edge = 'last'").select("doc_id", F.col("text").alias("own"), "part")
     ends = lasts.join(after, "part").join(firsts.select(F.col("part").alias("after"), F.col("text").alias("following")), "after")
-    finished = ends.select("doc_id", "own", "following").mapInArrow(_finish, _PAIR)
+    finished = ends.select("doc_id", "own", "following").mapInArrow(_finish(name), _PAIR)
     return walked.where("edge is null").select(*[n for n, _ in _FIELDS]).unionByName(finished)
 
 
-def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fingerprinted(docs: DataFrame, name=digest) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and the likeness of the two and of the next document's."""
-    docs = documents(spark, sf_dir)
-    rows = stored(compared_with_next(docs), "fingerprints")
+    rows = stored(compared_with_next(docs, name), "fingerprints")
     repeated = rows.groupBy("digest").count().where("count > 1").select("digest")
-    collisions = stored(numbered_collisions(docs, repeated).where("variant > 0"), "collisions")
+    collisions = stored(numbered_collisions(docs, repeated, name).where("variant > 0").select("digest", "mark", "variant"), "collisions")
     named = rows.withColumns({"fingerprint": F.col("digest"), "edited_fingerprint": F.col("edited_digest")})
-    if not collisions.isEmpty():  # never seen with 128 bits; the texts decide then
-        own = canonical_keyed(docs).join(collisions, ["digest", "canon"]).select("doc_id", "variant").distinct()
+    if not collisions.isEmpty():  # never seen with 128 bits; the texts have decided then
         suffix = F.when(F.col("variant").isNotNull(), F.concat(F.lit("-"), F.col("variant").cast("string"))).otherwise("")
-        named = named.join(own, "doc_id", "left").withColumns({"fingerprint": F.concat("digest", suffix), "edited_fingerprint": F.concat("edited_digest", F.when(F.col("same_edited"), suffix).otherwise(""))}).drop("variant")
+        named = named.join(collisions.hint("merge"), ["digest", "mark"], "left").withColumns({"fingerprint": F.concat("digest", suffix), "edited_fingerprint": F.concat("edited_digest", F.when(F.col("same_edited"), suffix).otherwise(""))})
     return named.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("same_edited").cast("double").alias("near_edited"), F.col("same_next").cast("double").alias("near_next"))
 
 
-def canonical_keyed(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            canon = [canonical(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(c) for c in canon], pa.string()), pa.array(canon, pa.string())], ["doc_id", "digest", "canon"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, digest string, canon string")
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprinted(documents(spark, sf_dir))

@@ -70,11 +70,30 @@ def test_fingerprints(docs, empty, rows):
     assert fp.canonical("Ⅷ  ﬁne STRASSE\tß") == fp.canonical("viii fine strasse SS")
 
 
-def test_fingerprint_collisions(spark, docs, monkeypatch):
+def test_fingerprint_collisions(spark, docs, rows, tmp_path):
+    """With a digest of one hexadecimal digit most buckets hold several texts; bytes tell them apart, and equal ones stay equal."""
     from logloom.llm import fingerprints as fp
 
-    repeated = fp.fingerprints(docs).groupBy("digest").count().where("count > 1").select("digest")
-    assert fp.numbered_collisions(docs, repeated).where("variant > 0").count() == 0
+    weak = lambda canon: fp.digest(canon)[:1]
+    texts = [(i, t) for i, t, *_ in rows] + [(500, "Straße"), (501, "STRASSE"), (None, "no id"), (9, "a"), (9, "b"), (9, "A ")]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    for got, name in ((fp.fingerprinted(table, weak).collect(), weak), (fp.op1_document_fingerprints(spark, str(tmp_path)).collect(), fp.digest)):
+        ordered = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+        by_text, seen = {}, {}
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in texts)
+        of = {}
+        for r in got:
+            of.setdefault((r["doc_id"], r["n_chars"], r["edited_sha256"]), []).append(r)
+        for (i, t), (_, following) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+            t, following = t or "", following or ""
+            changed = fp.edited(t, following)
+            r = of[i, len(t), hashlib.sha256(changed.encode()).hexdigest()][0]
+            canon = fp.canonical(t)
+            assert by_text.setdefault(canon, r["fingerprint"]) == r["fingerprint"] and seen.setdefault(r["fingerprint"], canon) == canon
+            assert r["near_next"] == (canon == fp.canonical(following)) and r["near_edited"] == (canon == fp.canonical(changed))
+            assert r["fingerprint"].startswith(name(canon)) and (r["edited_fingerprint"] == r["fingerprint"]) >= bool(r["near_edited"])
+        assert name is fp.digest or any("-" in f for f in seen)
 
 
 # --- packing --------------------------------------------------------------------------------------------------------

@@ -126,6 +126,7 @@ SQL: dict[str, str] = {
     "stream_dedupe": f"WITH {SHELL} SELECT hostname, command, raw_log FROM (SELECT *, lag(command) OVER (ORDER BY seq) AS prev FROM b) WHERE prev IS NULL OR prev <> command",
     "stream_payloads": f"""WITH {AUTH}, n AS (SELECT hostname, timestamp, row_number() OVER (PARTITION BY hostname ORDER BY timestamp, seq) - 1 AS n FROM a)
       SELECT hostname AS agent_id, n // 50 AS batch_no, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM n GROUP BY hostname, n // 50""",
+    "stream_to_table": f"""WITH {AUTH} SELECT hostname AS agent_id, event_type, "user", raw_log, (SELECT count(*) FROM a) AS ids, (SELECT count(*) FROM a) AS last_id FROM a WHERE event_type IN ('ssh_fail', 'sudo') AND "user" LIKE 'u1%'""",
     "table_counts": """SELECT 'loaded' AS step, count(*) AS n FROM orders UNION ALL SELECT unnest(['inserted', 'again']), count(*) FROM events UNION ALL SELECT 'removed', count(*) FROM events WHERE event_type IN ('click', 'view')
       UNION ALL SELECT 'all', count(*) FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'none', 0 UNION ALL SELECT 'left in dbNew', count(*) FROM events WHERE event_type NOT IN ('click', 'view')
       UNION ALL SELECT 'left in db' || o_orderstatus, count(*) FROM orders WHERE o_orderstatus <> 'O' GROUP BY ALL""",

@@ -19,7 +19,8 @@ from logloom.sources.lines import read_rolled, stream_lines
 from logloom.storage import session_dir
 from logloom.streaming.alerts import ROCKSDB, audit_events, write_documents
 from logloom.streaming.limits import stream_filter
-from logloom.streaming.payloads import stream_payloads, write_payloads
+from logloom.streaming.payloads import insert_into_table, stream_payloads, write_payloads
+from logloom.tables import DocumentTable
 
 
 def _host() -> Column:
@@ -133,7 +134,9 @@ def _until(query, done: Callable[[], bool], seconds: float = 300) -> None:
                 raise TimeoutError("the stream did not get there")
             time.sleep(0.3)
     finally:
-        while query.isActive and query.status["isTriggerActive"] and time.time() < end:  # not in the middle of a batch
+        for _ in range(100):  # not in the middle of a batch, if that can be helped
+            if not query.isActive or not query.status["isTriggerActive"]:
+                break
             time.sleep(0.02)
         query.stop()
 
@@ -158,7 +161,25 @@ def streamed_payloads(s: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("agent_id", "batch_no").agg(F.count("*").alias("n"), F.min(F.when(F.col("place") == 0, F.col("doc.timestamp"))).alias("first"), F.max("doc.timestamp").alias("last"))
 
 
+def streamed_to_table(s: SparkSession, d: str) -> DataFrame:
+    """From files to a searchable table: tailed lines, payloads of an agent a host, inserts, and a find by an indexed field."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    path = new_path(s, "ingest")
+    lines = fx.auth_lines(s, d).withColumn("host", F.col("hostname"))
+    _written(lines, f"{path}/logs")
+    total = lines.count()
+    events = parse_auth(stream_lines(s, "auth", f"{path}/logs", f"{path}/tail", _host(), _host(), from_begin=True))
+    query = insert_into_table(stream_payloads(events, "mydb", 500, 2), f"{path}/table", f"{path}/state", "ingest", "500 milliseconds", ("event_type",))
+    table = DocumentTable(s, f"{path}/table")
+    _until(query, lambda: sum(f["rows"] for f in table.snapshot().files.values()) >= total)
+    found = table.find("mydb", '{"event_type":{"$in":["ssh_fail","sudo"]},"user":{"$like":"u1%"}}')
+    ids = table.read("mydb").agg(F.countDistinct("_id").alias("ids"), F.max(F.col("_id").cast("long")).alias("last_id"))
+    field = lambda c: F.try_element_at("fields", F.lit(c)).alias(c)
+    return found.select(field("agent_id"), field("event_type"), field("user"), field("raw_log")).crossJoin(F.broadcast(ids))
+
+
 QUERIES = {
+    "stream_to_table": streamed_to_table,
     "stream_merge_audit": streamed_audit,
     "stream_filter": streamed_limits,
     "stream_dedupe": streamed_dedupe,

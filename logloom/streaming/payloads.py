@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.sources.documents import event_document
+from logloom.tables import DocumentTable
 
 PAYLOAD = "agent_id string, batch_no bigint, n int, payload string"
 
@@ -87,3 +88,19 @@ def write_payloads(payloads: DataFrame, out: str, checkpoint: str, trigger: str
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return payloads.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(processingTime=trigger).start()
+
+
+def insert_into_table(payloads: DataFrame, root: str, checkpoint: str, name: str, trigger: str = "1 second", indexed: tuple[str, ...] = ()) -> StreamingQuery:
+    """Inserts the documents of payloads into the :class:`logloom.tables.DocumentTable` at ``root``, one commit a micro-batch.
+
+    A micro-batch is committed under ``name`` and its number, so one that is run again after a failure inserts nothing twice. Ids go by
+    agent, payload and place.
+    """
+
+    def insert(batch: DataFrame, number: int) -> None:
+        request = F.from_json("payload", "database string, data array<map<string,string>>")
+        rows = batch.select("agent_id", "batch_no", request.alias("r")).select("agent_id", "batch_no", "r.database", F.posexplode("r.data").alias("place", "fields"))
+        if not batch.isEmpty():
+            DocumentTable(batch.sparkSession, root, indexed).insert(rows, ("agent_id", "batch_no", "place"), (name, number))
+
+    return payloads.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(insert).trigger(processingTime=trigger).start()

@@ -1,6 +1,6 @@
 """A tail of growing log files as a streaming source: offsets are bytes of each file.
 
-``path`` names the live files: a folder (all files below it), a file or a pattern. A file
+``path`` names the live files: a file, a folder (all files below it) or a pattern of either. A file
 is known by its inode and its first bytes, so it is followed when it is renamed, and a
 new file at its path, or the same one cut and written again, is a new one. What a
 renamed file still gets is read first. Compressed files and hidden ones are passed over.
@@ -46,8 +46,14 @@ class Posix:
     """Files of a mounted file system."""
 
     def listed(self, path: str) -> list[str]:
-        found = [os.path.join(where, f) for root in glob.glob(path) for where, _, files in os.walk(root) for f in files] if os.path.isdir(path) else glob.glob(path)
-        return sorted(p for p in found if os.path.isfile(p) and _wanted(p, path))
+        out = []
+        for root in [path] if os.path.exists(path) else glob.glob(path):
+            if os.path.isdir(root):
+                below = [os.path.join(where, f) for where, _, files in os.walk(root) for f in files]
+                out += [p for p in below if os.path.isfile(p) and _wanted(p, root)]
+            elif _wanted(root, os.path.dirname(root)):
+                out.append(root)
+        return sorted(out)
 
     def siblings(self, folder: str) -> dict[str, str]:
         """Path of each file of a folder by its identity."""

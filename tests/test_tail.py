@@ -112,6 +112,16 @@ def test_state_survives_a_crash(place):
     assert read(reader(place), {"at": {}}, reader(place).latestOffset()) == ["one"]
 
 
+def test_which_files(place):
+    for name in ("host=a/x.log", "host=b/x.log", "host=b/y.txt", "host=b/_SUCCESS", "host=b/.x.crc", "host=b/_temporary/z.log", "other/x.log", "x.log.gz", "w[1].log"):
+        (place / "logs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (place / "logs" / name).write_text("1\n")
+    listed = lambda pattern: [os.path.relpath(p, place / "logs") for p in tail.Posix().listed(str(place / "logs") + pattern)]
+    assert listed("") == ["host=a/x.log", "host=b/x.log", "host=b/y.txt", "other/x.log", "w[1].log"]
+    assert listed("/host=*") == ["host=a/x.log", "host=b/x.log", "host=b/y.txt"] and listed("/host=*/x.log") == ["host=a/x.log", "host=b/x.log"]
+    assert listed("/w[1].log") == ["w[1].log"] and listed("/none") == listed("/host=b/_SUCCESS") == []
+
+
 def test_store_paths(place):
     """Files of a store are known by path; here a local one."""
     (place / "logs" / "host=a").mkdir()

@@ -3,6 +3,12 @@
 Each stage reads what the one before it wrote. All but the last return the
 columns of ``documents``; the last returns one row for each document that is
 left, with its batch.
+
+Nulls: a null text is scored and packed as the empty text, has no lines and no personal
+data, and is no near copy of anything; neither is a row without a ``doc_id``. Rows of equal
+id and text are scored and edited alike and stay or go together; of rows with one id and different
+texts the least text takes part in the search for near copies, and the others stay. An
+empty table gives an empty result at every stage; further columns are carried to the last.
 """
 
 from __future__ import annotations

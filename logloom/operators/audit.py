@@ -30,11 +30,11 @@ def merge_rows(lines: DataFrame) -> DataFrame:
     )
 
 
-def audit_event(groups: DataFrame, event_time: str | None = None) -> DataFrame:
+def audit_event(groups: DataFrame, event_time: str | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
     """Events of merged groups: ``audit_ts``, ``raw_avc``, ``raw_syscall``, ``raw_proctitle`` and the fields, NULL for absent.
 
-    ``event_time`` names a column of ``groups`` to take the event time from, which
-    keeps the watermark of a stream.
+    ``event_time`` names a column of ``groups`` to take the event time from; columns
+    ``kept`` of it come after the others.
     """
     denied = F.col("raw_avc").isNotNull() | (F.coalesce("success", F.lit("")) == "no") | F.coalesce("exit", F.lit("")).startswith("-")
     syscall = F.col("raw_syscall").isNotNull()
@@ -50,9 +50,9 @@ def audit_event(groups: DataFrame, event_time: str | None = None) -> DataFrame:
         "command": F.coalesce("exe", "proctitle", F.lit("")), "ip": F.lit(""),
         "raw_log": sanitize_raw(F.when(raw == "", "(merged audit event)").otherwise(raw)),
     }
-    out = groups.select(*[values[f].alias(f) for f in EVENT_FIELDS], "agent_id", "seq", "ingest_time", *([F.col(event_time).alias("event_time")] if event_time else []))
+    out = groups.select(*[values[f].alias(f) for f in EVENT_FIELDS], "agent_id", "seq", "ingest_time", *([F.col(event_time).alias("event_time"), *kept] if event_time else []))
     if event_time:
-        return out.select(*EVENT_FIELDS, *CARRIED)
+        return out.select(*EVENT_FIELDS, *CARRIED, *kept)
     return out.withColumn("event_time", F.coalesce(F.try_to_timestamp("timestamp"), "ingest_time")).select(*EVENT_FIELDS, *CARRIED)
 
 

@@ -16,8 +16,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def audit_events(lines: DataFrame, hold: str = "2 seconds", delay: str = "10 seconds") -> DataFrame:
-    """Merged groups and single records of a stream of audit lines."""
-    single = parse_audit_record(audit_columns(lines).where(~is_mergeable())).withWatermark("event_time", delay)
+    """Merged groups and single records of a stream of audit lines; the watermark is that of ``passed``, which is behind ``event_time`` by ``hold`` at most."""
+    single = parse_audit_record(audit_columns(lines).where(~is_mergeable())).withColumn("passed", F.col("event_time")).withWatermark("passed", delay)
     return stream_merge_audit(lines, hold, delay).unionByName(single)
 
 
@@ -37,6 +37,6 @@ def write_documents(events: DataFrame, out: str, checkpoint: str, interval: str
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def denial_alerts(lines: DataFrame, out: str, checkpoint: str, settings: FilterSettings, interval: str | None = None) -> StreamingQuery:
+def denial_alerts(lines: DataFrame, out: str, checkpoint: str, settings: FilterSettings, interval: str | None = None, hold: str = "2 seconds") -> StreamingQuery:
     """Single records and merged groups, filtered statelessly and limited, as documents."""
-    return write_documents(stream_filter(audit_events(lines), settings, None), out, checkpoint, interval)
+    return write_documents(stream_filter(audit_events(lines, hold), settings, None, "passed", hold), out, checkpoint, interval)

@@ -3,6 +3,10 @@
 State is kept for ``hold`` after a group's first record and dropped by an
 event-time timer, so it stays bounded; records behind the watermark are late and
 start no new group.
+
+A group that is not completed comes out when the watermark is past its time by ``hold``. A
+stream must not give rows behind its watermark, so the watermark goes on in a column of its own,
+``passed``, which is the group's time and ``hold``; what follows must wait for ``hold`` longer.
 """
 
 from __future__ import annotations
@@ -10,18 +14,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.operators.audit import FIRST, KEYS, audit_event, merge_rows
+from logloom.streaming.limits import millis
 
 RAWS = {"AVC": "raw_avc", "SYSCALL": "raw_syscall", "PROCTITLE": "raw_proctitle"}
 GROUP_FIELDS = (*FIRST, *RAWS.values(), "agent_id")
 STATE = ", ".join(f"{n} string" for n in GROUP_FIELDS) + ", seq bigint, ingest_us bigint, until_ms bigint"
 STATE_FIELDS = (*GROUP_FIELDS, "seq", "ingest_us", "until_ms")
-MERGED = "hostname string, audit_ts string, serial bigint, " + ", ".join(f"{n} string" for n in GROUP_FIELDS) + ", seq bigint, ingest_time timestamp, group_time timestamp"
+MERGED = "hostname string, audit_ts string, serial bigint, " + ", ".join(f"{n} string" for n in GROUP_FIELDS) + ", seq bigint, ingest_time timestamp, group_time timestamp, passed timestamp"
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -40,7 +44,7 @@ class MergeRecords(StatefulProcessor):
         return dict(zip(STATE_FIELDS, held, strict=True)) if held is not None else None
 
     def _row(self, key, group: dict) -> Row:
-        times = {"ingest_time": EPOCH + timedelta(microseconds=group["ingest_us"]), "group_time": EPOCH + timedelta(milliseconds=group["until_ms"] - self.hold_ms)}
+        times = {"ingest_time": EPOCH + timedelta(microseconds=group["ingest_us"]), "group_time": EPOCH + timedelta(milliseconds=group["until_ms"] - self.hold_ms), "passed": EPOCH + timedelta(milliseconds=group["until_ms"] + 1)}
         return Row(**dict(zip(KEYS, key, strict=True)), **{n: group[n] for n in (*GROUP_FIELDS, "seq")}, **times)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
@@ -77,12 +81,12 @@ class MergeRecords(StatefulProcessor):
 
 
 def stream_merge_audit(lines: DataFrame, hold: str = "2 seconds", delay: str = "10 seconds") -> DataFrame:
-    """Events of mergeable records of a stream of lines, with ``event_time`` as the event-time column, which carries the watermark.
+    """Events of mergeable records of a stream of lines, with ``passed``, which carries the watermark.
 
     Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider.
     """
-    hold_ms = int(pd.Timedelta(hold).total_seconds() * 1000)
+    hold_ms = millis(hold)
     rows = merge_rows(lines).withColumn("group_time", F.coalesce(F.try_to_timestamp("audit_ts"), "ingest_time")).withWatermark("group_time", delay)
     rows = rows.withColumns({"ingest_us": F.unix_micros("ingest_time"), "group_us": F.unix_micros("group_time")})
-    merged = rows.groupBy(*KEYS).transformWithState(MergeRecords(hold_ms), outputStructType=MERGED, outputMode="append", timeMode="eventTime", eventTimeColumnName="group_time")
-    return audit_event(merged, "group_time")
+    merged = rows.groupBy(*KEYS).transformWithState(MergeRecords(hold_ms), outputStructType=MERGED, outputMode="append", timeMode="eventTime", eventTimeColumnName="passed")
+    return audit_event(merged, "group_time", ("passed",))

@@ -3,7 +3,8 @@
 Files and hosts arrive in any order, and both rules turn on what came before. So a row is held
 until the watermark has passed it, that is, until no earlier one can come, and then goes
 through the rules in the order of ``(event_time, seq)``: a stream gives what batch gives, as long as rows are
-late by less than the watermark's delay. Held are the rows of that delay alone.
+late by less than the watermark's delay. Held are the rows of that delay alone. Where an operator
+before has held rows back behind the watermark, they are waited for that much longer.
 
 All shell history events of a host share a rate key, so the last command and the last accepted time
 are two fields of one state. The time is dropped once its window has passed; the last
@@ -15,12 +16,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.operators.filters import RATE_KEY, filter_stateless, is_forced
 from logloom.schemas import EVENT, EVENT_FIELDS, FilterSettings
+from logloom.streaming.sliced_limits import sliced_limits
 
 COLUMNS = (*EVENT_FIELDS, "agent_id", "seq", "event_time")
 HELD = ", ".join(f"{c} string" for c in (*EVENT_FIELDS, "agent_id")) + ", seq bigint, us bigint"
@@ -30,8 +33,8 @@ EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 class LimitEvents(StatefulProcessor):
-    def __init__(self, window_sec: int, dedupe: bool):
-        self.window_us, self.dedupe = window_sec * 1_000_000, dedupe
+    def __init__(self, window_sec: int, dedupe: bool, hold_ms: int = 0):
+        self.window_us, self.dedupe, self.hold_ms = window_sec * 1_000_000, dedupe, hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -40,22 +43,28 @@ class LimitEvents(StatefulProcessor):
         self.held = handle.getListState("held", HELD)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [tuple(r)[: AT + 1] for r in rows]
+        new, forced = [], []
+        for r in rows:
+            (forced if r["forced"] else new).append(tuple(r)[: AT + 1])
+        if new:
+            self._hold(new)
+        return (_event(r) for r in forced)
+
+    def _hold(self, new: list[tuple]) -> None:
         self.held.appendList(new)
-        due = min(_ms(r[AT]) for r in new)
+        due = min(_ms(r[AT]) for r in new) + self.hold_ms
         accepted, command, had = self.last.get() or (None, None, None)
         if had is None or due < had:
             if had is not None:
                 self.handle.deleteTimer(had)
             self.handle.registerTimer(due)
             self.last.update((accepted, command, due))
-        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         upto = timerValues.getCurrentWatermarkInMs()
         held = [tuple(r) for r in self.held.get()]
-        ripe = sorted((r for r in held if _ms(r[AT]) <= upto), key=lambda r: (r[AT], r[AT - 1]))
-        rest = [r for r in held if _ms(r[AT]) > upto]
+        ripe = sorted((r for r in held if _ms(r[AT]) + self.hold_ms <= upto), key=lambda r: (r[AT], r[AT - 1]))
+        rest = [r for r in held if _ms(r[AT]) + self.hold_ms > upto]
         accepted, command, _ = self.last.get() or (None, None, None)
         shell = self.dedupe and dict(zip(RATE_KEY, key, strict=True))["source"] == "bash_history"
         for r in ripe:
@@ -67,8 +76,8 @@ class LimitEvents(StatefulProcessor):
                 if accepted is not None and r[AT] - accepted < self.window_us:
                     continue
                 accepted = r[AT]
-            yield Row(**dict(zip(COLUMNS, (*r[:AT], EPOCH + timedelta(microseconds=r[AT])), strict=True)))
-        over = None if accepted is None else (accepted + self.window_us) // 1000 + 1
+            yield _event(r)
+        over = None if accepted is None else _ms(accepted + self.window_us) + self.hold_ms
         if over is not None and over <= upto:
             accepted = over = None
         if rest:
@@ -76,7 +85,7 @@ class LimitEvents(StatefulProcessor):
         elif held:
             self.held.clear()
         # The timer that fired goes by itself; it was the earliest.
-        due = min([*(_ms(r[AT]) for r in rest), *([over] if over is not None else [])], default=None)
+        due = min([*(_ms(r[AT]) + self.hold_ms for r in rest), *([over] if over is not None else [])], default=None)
         if due is not None:
             self.handle.registerTimer(due)
         if accepted is None and command is None and due is None:
@@ -88,26 +97,41 @@ class LimitEvents(StatefulProcessor):
         pass
 
 
+def _event(held: tuple) -> Row:
+    return Row(**dict(zip(COLUMNS, (*held[:AT], EPOCH + timedelta(microseconds=held[AT])), strict=True)))
+
+
 def _ms(us: int) -> int:
     """The millisecond that must have passed, so that the watermark is behind all of the time."""
     return us // 1000 + 1
 
 
-def stream_limits(events: DataFrame, s: FilterSettings, delay: str | None = "10 seconds") -> DataFrame:
-    """Rules R7 and R8 on a stream of events that passed the stateless rules and are not forced.
+def millis(interval: str) -> int:
+    return int(pd.Timedelta(interval).total_seconds() * 1000)
+
+
+def stream_limits(events: DataFrame, s: FilterSettings, delay: str | None = "10 seconds", mark: str = "event_time", hold: str = "0 seconds", slice_sec: int | None = None) -> DataFrame:
+    """Rules R7 and R8 on a stream of events that passed the stateless rules; forced ones pass at once and touch no state.
 
-    ``delay`` is None where ``event_time`` has a watermark already.
+    They go through the same operator, as a branch of their own would do all that comes before a second time.
+    ``delay`` is None where column ``mark`` has a watermark already; it may be behind ``event_time``
+    by ``hold``. With ``slice_sec`` a key has a state for each slice of so many seconds
+    (:mod:`logloom.streaming.sliced_limits`), which spreads a key with most of the rows, but
+    gives them out when their slice is over.
     """
     if s.rate_limit_window_sec <= 0 and not s.dedupe_bash_history:
-        return events
-    rows = events.withWatermark("event_time", delay) if delay else events
+        return events.select(*COLUMNS)
+    if slice_sec and not delay:
+        raise ValueError("slices read their events twice, so no stateful operator may come before")
+    rows = events.withWatermark(mark, delay) if delay else events
     # Fields of the key may be missing; they are one value then, as in batch.
-    named = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in EVENT_FIELDS], "agent_id", "seq", F.unix_micros("event_time").alias("us"), "event_time")
-    processor = LimitEvents(s.rate_limit_window_sec, s.dedupe_bash_history)
+    named = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in EVENT_FIELDS], "agent_id", "seq", F.unix_micros("event_time").alias("us"), is_forced(s).alias("forced"), mark)
+    if slice_sec:
+        return sliced_limits(named, s, mark, millis(hold), slice_sec)
+    processor = LimitEvents(s.rate_limit_window_sec, s.dedupe_bash_history, millis(hold))
     return named.groupBy(*RATE_KEY).transformWithState(processor, outputStructType=EVENT, outputMode="append", timeMode="eventTime")
 
 
-def stream_filter(events: DataFrame, s: FilterSettings, delay: str | None = "10 seconds") -> DataFrame:
-    """The whole chain on a stream; forced events skip the state and are not held."""
-    rows = filter_stateless(events, s)
-    return stream_limits(rows.where(~is_forced(s)), s, delay).unionByName(rows.where(is_forced(s)).select(*COLUMNS))
+def stream_filter(events: DataFrame, s: FilterSettings, delay: str | None = "10 seconds", mark: str = "event_time", hold: str = "0 seconds", slice_sec: int | None = None) -> DataFrame:
+    """The whole chain on a stream."""
+    return stream_limits(filter_stateless(events, s), s, delay, mark, hold, slice_sec)

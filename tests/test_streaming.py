@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import pytest
+
 from logloom.operators.audit import merge_audit
-from logloom.operators.filters import filter_events
+from logloom.operators.filters import dedupe_consecutive, filter_events, rate_limit
 from logloom.operators.parsers import parse_shell_history
 from logloom.schemas import FilterSettings
 from logloom.sources.lines import collect_events, read_lines, read_rolled, stream_lines
@@ -88,6 +90,65 @@ def test_limits_stream_equals_batch(spark, tmp_path):
     assert got == expected and expected[0][1] < dt.datetime(2030, 1, 1)
 
 
+def test_audit_stream_at_a_slow_watermark(spark, tmp_path):
+    """The watermark stops between a group's time and the end of its hold; the group comes out later, and the limit takes it in its place."""
+    import os
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    times = [(0, 10.5), (11,), (12.5, 1.5), (15,), (40,), (100,)]
+    settings = FilterSettings(rate_limit_window_sec=1)
+    for i, seconds in enumerate(times):
+        lines = []
+        for j, second in enumerate(seconds):
+            stamp = f"{1_700_000_000 + int(second)}.{int(second * 1000) % 1000:03}"
+            lines += [f'type=AVC msg=audit({stamp}:{10 * i + j}): comm="a"', f'type=USER_LOGIN msg=audit({stamp}:{100 + 10 * i + j}): acct="bob"']
+        f = logs / f"{i}.log"
+        f.write_text("".join(r + "\n" for r in lines))
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+        rows = stream_lines(spark, "auditd", str(logs), str(tmp_path / "tail"), "h", "me", from_begin=True)
+        denial_alerts(rows, str(tmp_path / "out"), str(tmp_path / "ck"), settings).awaitTermination(120)
+    got = sorted(r["timestamp"][:21] for r in spark.read.parquet(str(tmp_path / "out")).where("event_type = 'DENIED'").collect())
+    batch = merge_audit(read_rolled(spark, "auditd", str(logs), "h", "me"), "eager")
+    expected = sorted(r["timestamp"][:21] for r in filter_events(batch, settings).collect())
+    assert got == expected[:-1] and len(expected) == 7  # the last one is still held
+
+
+@pytest.mark.parametrize("slice_sec, window, dedupe", [(8, 3, True), (4, 9, False), (5, 0, True)])
+def test_sliced_limits_equal_batch(spark, tmp_path, slice_sec, window, dedupe):
+    """Slices longer and shorter than the window; one key has nearly all rows; three runs, each goes on from the checkpoint."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(slice_sec)
+    rows = []
+    for i in range(400):
+        host = "hot" if rng.random() < 0.9 else f"h{rng.randrange(3)}"
+        at = rng.choice((i // 3, i / 4, i * 1.0001))
+        rows.append((round((1_700_000_000 + at) * 1_000_000), host, "bash_history" if host != "h0" else "auth", rng.choice(("ls", "ls", "pwd", "")), i))
+    rows.sort(key=lambda r: r[0] + rng.randrange(8_000_000))
+    settings = FilterSettings(rate_limit_window_sec=window, dedupe_bash_history=dedupe)
+    made = spark.createDataFrame(rows, "us long, hostname string, source string, command string, seq long")
+    text = {c: F.lit("") for c in ("timestamp", "event_type", "process", "severity", "user", "ip")}
+    event = lambda d: d.withColumns(text | {"raw_log": F.lit("x"), "agent_id": F.lit("me"), "event_time": F.timestamp_micros("us")}).drop("us")
+
+    def run(part):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        events = event(spark.readStream.schema(made.schema).parquet(str(tmp_path / "in")))
+        query = stream_filter(events, settings, "20 seconds", slice_sec=slice_sec).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+        assert query.awaitTermination(120)
+
+    for lo in (0, 150, 300):
+        run(spark.createDataFrame(rows[lo : lo + (150 if lo < 300 else 100)], made.schema))
+    run(spark.createDataFrame([(1_700_010_000_000_000, "end", "auth", "", 9999)], made.schema))
+    key = lambda d: sorted((r["hostname"], r["seq"]) for r in d.where("hostname != 'end'").collect())
+    order = ("event_time", "seq")
+    batch = dedupe_consecutive(event(made), order) if dedupe else event(made)
+    expected = key(rate_limit(batch, window))
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == expected and len(expected) > 20
+
+
 def test_denial_alerts(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()

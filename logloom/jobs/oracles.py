@@ -147,6 +147,10 @@ SELECT timestamp, hostname, event_type, nullif(process, '') AS process, severity
     "stream_filter": f"""WITH RECURSIVE {AUTH}, q AS (SELECT *, date_trunc('millisecond', CAST(left(timestamp, 23) AS TIMESTAMP)) AS ts FROM a WHERE event_type <> 'ssh_fail'),
 {_limit("q", ["hostname", "event_type", "process", '"user"', "ip"], 21600)}, al AS (SELECT {_FIELDS} FROM w UNION ALL SELECT {_FIELDS} FROM a WHERE event_type = 'ssh_fail')
 SELECT timestamp, hostname, event_type, nullif(process, '') AS process, severity, nullif("user", '') AS "user", nullif(ip, '') AS ip, raw_log FROM al""",
+    "stream_hot_key": f"""WITH RECURSIVE {AUTH}, flagged AS (SELECT *, event_type = 'ssh_fail' AS f FROM a),
+      q AS (SELECT seq, timestamp, CASE WHEN f THEN hostname ELSE 'web01' END AS hostname, CASE WHEN f THEN event_type ELSE 'sudo_session_close' END AS event_type, CASE WHEN f THEN "user" ELSE '' END AS "user",
+        CASE WHEN f THEN ip ELSE '' END AS ip, date_trunc('millisecond', CAST(left(timestamp, 23) AS TIMESTAMP)) AS ts FROM flagged),
+      {_limit("q", ["hostname", "event_type", '"user"', "ip"], 3600)} SELECT timestamp, hostname, event_type, nullif("user", '') AS "user", nullif(ip, '') AS ip FROM w""",
     "read_lines": f"""WITH {AUTH} SELECT timestamp, event_type, "user", ip, command, raw_log FROM a""",
     "payload_files": f"""WITH {SHELL} SELECT 'mydb' AS database, timestamp, command, CAST(NULL AS VARCHAR) AS "user" FROM b""",
     "load_collection": f"WITH {_ORDERS} SELECT 'mydb' AS database, _id, CAST(cust AS VARCHAR) AS cust, mixed FROM o",

@@ -65,6 +65,18 @@ def streamed_limits(s: SparkSession, d: str) -> DataFrame:
     return out.select("timestamp", "hostname", "event_type", "process", "severity", "user", "ip", "raw_log")
 
 
+def streamed_hot_key(s: SparkSession, d: str) -> DataFrame:
+    """Authentication events of which most have one rate key, at most one in an hour; the key has a state for each day."""
+    settings = FilterSettings(rate_limit_window_sec=3600)
+    failed = F.col("line").contains("Failed password")
+    closed = F.concat(F.substring_index("line", " ", 1), F.lit(" web01 sudo: pam_unix(sudo:session): session closed for user root"))
+    lines = fx.auth_lines(s, d).select(F.when(failed, F.col("hostname")).otherwise("web01").alias("host"), F.when(failed, F.col("line")).otherwise(closed).alias("line"))
+    lines = lines.repartition(8, F.xxhash64("line")).sortWithinPartitions(F.xxhash64("line"))
+    end = s.range(1).select(F.lit("end").alias("host"), F.lit("2090-01-01T00:00:00Z end sshd[7]: bye").alias("line"))
+    out = _replayed(s, lines.unionByName(end), "auth", lambda rows: stream_filter(parse_auth(rows), settings, "1 day", slice_sec=86_400)).where("timestamp < '2090'")
+    return out.select("timestamp", "hostname", "event_type", "user", "ip")
+
+
 def tailed(s: SparkSession, d: str) -> DataFrame:
     """A tail that starts when the files hold the ``view`` lines, reads what comes, and goes on after a restart."""
     path = new_path(s, "tail")
@@ -182,6 +194,7 @@ QUERIES = {
     "stream_to_table": streamed_to_table,
     "stream_merge_audit": streamed_audit,
     "stream_filter": streamed_limits,
+    "stream_hot_key": streamed_hot_key,
     "stream_dedupe": streamed_dedupe,
     "tail_lines": tailed,
     "rolled_order": rolled_order,

@@ -13,23 +13,23 @@ command, one value a host, stays.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.operators.filters import RATE_KEY, filter_stateless, is_forced
-from logloom.schemas import EVENT, EVENT_FIELDS, FilterSettings
+from logloom.schemas import EVENT_FIELDS, FilterSettings
+from logloom.streaming.held_rows import EVENT_ROWS, HELD, EventRow, in_runs, left, packed, passing, places, unpacked
 from logloom.streaming.sliced_limits import sliced_limits
 
 COLUMNS = (*EVENT_FIELDS, "agent_id", "seq", "event_time")
-HELD = ", ".join(f"{c} string" for c in (*EVENT_FIELDS, "agent_id")) + ", seq bigint, us bigint"
-AT = len(COLUMNS) - 1
-COMMAND = COLUMNS.index("command")
-EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: What a row has beside its key and time.
+REST = (*[c for c in EVENT_FIELDS if c not in RATE_KEY], "agent_id", "seq")
 
 
 class LimitEvents(StatefulProcessor):
@@ -43,16 +43,19 @@ class LimitEvents(StatefulProcessor):
         self.held = handle.getListState("held", HELD)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new, forced = [], []
-        for r in rows:
-            (forced if r["forced"] else new).append(tuple(r)[: AT + 1])
-        if new:
-            self._hold(new)
-        return (_event(r) for r in forced)
-
-    def _hold(self, new: list[tuple]) -> None:
-        self.held.appendList(new)
-        due = min(_ms(r[AT]) for r in new) + self.hold_ms
+        first = None
+        for run in in_runs(rows):
+            new = [(r["us"], r["seq"], r["command"], r["row"]) for r in run if not r["forced"]]
+            if new:
+                self.held.appendValue(packed(new))
+                least = min(r[0] for r in new)
+                first = least if first is None else min(first, least)
+            if len(new) < len(run):
+                yield from (EventRow(key[0], r["us"], r["row"]) for r in run if r["forced"])
+        if first is not None:
+            self._wait(_ms(first) + self.hold_ms)
+
+    def _wait(self, due: int) -> None:
         accepted, command, had = self.last.get() or (None, None, None)
         if had is None or due < had:
             if had is not None:
@@ -62,30 +65,23 @@ class LimitEvents(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         upto = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.held.get()]
-        ripe = sorted((r for r in held if _ms(r[AT]) + self.hold_ms <= upto), key=lambda r: (r[AT], r[AT - 1]))
-        rest = [r for r in held if _ms(r[AT]) + self.hold_ms > upto]
+        held = list(self.held.get())
+        us, _ = places(held)
+        ripe = _ms(us) + self.hold_ms <= upto
         accepted, command, _ = self.last.get() or (None, None, None)
-        shell = self.dedupe and dict(zip(RATE_KEY, key, strict=True))["source"] == "bash_history"
-        for r in ripe:
-            if shell:
-                same, command = bool(r[COMMAND]) and r[COMMAND] == command, r[COMMAND]
-                if same:
-                    continue
-            if self.window_us:
-                if accepted is not None and r[AT] - accepted < self.window_us:
-                    continue
-                accepted = r[AT]
-            yield _event(r)
+        shell = self.dedupe and dict(zip(RATE_KEY, json.loads(key[0]), strict=True))["source"] == "bash_history"
+        kept, (accepted, command) = passing(held, ripe, (accepted, command), shell, self.window_us)
+        yield from unpacked(key[0], held, kept)
         over = None if accepted is None else _ms(accepted + self.window_us) + self.hold_ms
         if over is not None and over <= upto:
             accepted = over = None
-        if rest:
-            self.held.put(rest)
+        rest = us[~ripe]
+        if len(rest):
+            self.held.put(list(left(held, ~ripe)))
         elif held:
             self.held.clear()
         # The timer that fired goes by itself; it was the earliest.
-        due = min([*(_ms(r[AT]) + self.hold_ms for r in rest), *([over] if over is not None else [])], default=None)
+        due = min([*([_ms(int(rest.min())) + self.hold_ms] if len(rest) else []), *([over] if over is not None else [])], default=None)
         if due is not None:
             self.handle.registerTimer(due)
         if accepted is None and command is None and due is None:
@@ -97,11 +93,7 @@ class LimitEvents(StatefulProcessor):
         pass
 
 
-def _event(held: tuple) -> Row:
-    return Row(**dict(zip(COLUMNS, (*held[:AT], EPOCH + timedelta(microseconds=held[AT])), strict=True)))
-
-
-def _ms(us: int) -> int:
+def _ms(us: int | np.ndarray) -> int | np.ndarray:
     """The millisecond that must have passed, so that the watermark is behind all of the time."""
     return us // 1000 + 1
 
@@ -124,12 +116,22 @@ def stream_limits(events: DataFrame, s: FilterSettings, delay: str | None = "10
     if slice_sec and not delay:
         raise ValueError("slices read their events twice, so no stateful operator may come before")
     rows = events.withWatermark(mark, delay) if delay else events
-    # Fields of the key may be missing; they are one value then, as in batch.
-    named = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in EVENT_FIELDS], "agent_id", "seq", F.unix_micros("event_time").alias("us"), is_forced(s).alias("forced"), mark)
+    # Fields of the key may be missing; they are one value then, as in batch. All else of a row is one text, which Python only carries.
+    named = rows.select(
+        F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in RATE_KEY])).alias("key"), F.unix_micros("event_time").alias("us"), F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("command", F.lit("")).alias("command"),
+        is_forced(s).alias("forced"), F.to_json(F.struct(*[F.coalesce(c, F.lit("")).alias(c) if c in EVENT_FIELDS else F.col(c) for c in REST])).alias("row"), mark,
+    )
     if slice_sec:
-        return sliced_limits(named, s, mark, millis(hold), slice_sec)
+        return _events(sliced_limits(named, s, mark, millis(hold), slice_sec))
     processor = LimitEvents(s.rate_limit_window_sec, s.dedupe_bash_history, millis(hold))
-    return named.groupBy(*RATE_KEY).transformWithState(processor, outputStructType=EVENT, outputMode="append", timeMode="eventTime")
+    return _events(named.groupBy("key").transformWithState(processor, outputStructType=EVENT_ROWS, outputMode="append", timeMode="eventTime"))
+
+
+def _events(rows: DataFrame) -> DataFrame:
+    """Events of the rows of an operator."""
+    key, rest = F.from_json("key", "array<string>").alias("k"), F.from_json("row", ", ".join(f"{c} {'bigint' if c == 'seq' else 'string'}" for c in REST)).alias("r")
+    places = {c: F.col("k")[i] for i, c in enumerate(RATE_KEY)} | {c: F.col("r")[c] for c in REST}
+    return rows.select("us", key, rest).select(*[places[c].alias(c) for c in COLUMNS[:-1]], F.timestamp_micros("us").alias("event_time"))
 
 
 def stream_filter(events: DataFrame, s: FilterSettings, delay: str | None = "10 seconds", mark: str = "event_time", hold: str = "0 seconds", slice_sec: int | None = None) -> DataFrame:

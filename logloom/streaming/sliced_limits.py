@@ -16,6 +16,7 @@ slices should be shorter than the delay.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
@@ -24,15 +25,12 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from logloom.operators.filters import RATE_KEY, _accepted, _ways_through
-from logloom.schemas import EVENT, EVENT_FIELDS, FilterSettings
+from logloom.operators.filters import RATE_KEY, _ways_through
+from logloom.schemas import FilterSettings
+from logloom.streaming.held_rows import EVENT_ROWS, HELD, EventRow, commands, in_runs, packed, passing, places, repeats, unpacked
 
-KEY = ", ".join(f"{c} string" for c in RATE_KEY)
-WAYS = f"{KEY}, slice bigint, first string, last string, upto array<bigint>, out array<bigint>, upto_less array<bigint>, out_less array<bigint>, passed timestamp"
-ENTERED = f"{KEY}, slice bigint, entered_us bigint, entered_command string, passed timestamp"
-COLUMNS = (*EVENT_FIELDS, "agent_id", "seq", "us")
-HELD = ", ".join(f"{c} string" for c in (*EVENT_FIELDS, "agent_id")) + ", seq bigint, us bigint"
-SEQ, AT, COMMAND = COLUMNS.index("seq"), COLUMNS.index("us"), COLUMNS.index("command")
+WAYS = "key string, slice bigint, first string, last string, upto array<bigint>, out array<bigint>, upto_less array<bigint>, out_less array<bigint>, passed timestamp"
+ENTERED = "key string, slice bigint, entered_us bigint, entered_command string, passed timestamp"
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -51,7 +49,7 @@ class Sliced(StatefulProcessor):
         return (number + 1) * self.width // 1000 + self.hold_ms
 
     def is_shell(self, key) -> bool:
-        return self.dedupe and key[RATE_KEY.index("source")] == "bash_history"
+        return self.dedupe and json.loads(key[0])[RATE_KEY.index("source")] == "bash_history"
 
     def close(self) -> None:
         pass
@@ -60,26 +58,30 @@ class Sliced(StatefulProcessor):
 class TellWays(Sliced):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "us bigint, seq bigint, command string")
+        self.rows = handle.getListState("rows", HELD)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if not self.rows.exists():
-            self.handle.registerTimer(self.over_ms(key[-1]))
-        self.rows.appendList([(r["us"], r["seq"], r["command"]) for r in rows])
+            self.handle.registerTimer(self.over_ms(int(key[1])))
+        for run in in_runs(rows):
+            self.rows.appendValue(packed([(r["us"], r["seq"], r["command"]) for r in run]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        rows = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[:2])
+        held = list(self.rows.get())
         self.rows.clear()
-        if not rows:
+        times, seq = places(held)
+        if not len(times):
             return
-        commands = [r[2] for r in rows]
-        repeats = [self.is_shell(key) and i > 0 and bool(c) and c == commands[i - 1] for i, c in enumerate(commands)]
-        times = np.array([r[0] for r in rows], dtype=np.int64)[~np.array(repeats)]
-        (upto, out), (upto_less, out_less) = self._ways(times, key[-1]), self._ways(times[1:] if self.is_shell(key) else times[:0], key[-1])
+        number, shell = int(key[1]), self.is_shell(key)
+        order = np.lexsort((seq, times))
+        said, times = commands(held)[order], times[order]
+        if shell:
+            times = times[~repeats(said, None)]
+        (upto, out), (upto_less, out_less) = self._ways(times, number), self._ways(times[1:] if shell else times[:0], number)
         # A row must not be behind the watermark, nor on it.
-        passed = _time(1000 * (self.over_ms(key[-1]) + 1))
-        yield Row(**dict(zip(RATE_KEY, key, strict=False)), slice=key[-1], first=commands[0], last=commands[-1], upto=upto, out=out, upto_less=upto_less, out_less=out_less, passed=passed)
+        passed = _time(1000 * (self.over_ms(number) + 1))
+        yield Row(key=key[0], slice=number, first=said[0], last=said[-1], upto=upto, out=out, upto_less=upto_less, out_less=out_less, passed=passed)
 
     def _ways(self, times: np.ndarray, number: int) -> tuple[list, list]:
         if not len(times) or not self.window_us:
@@ -97,7 +99,7 @@ class FollowWays(Sliced):
         accepted, command, had = self.last.get() or (None, None, None)
         told = []
         for r in sorted(rows, key=lambda r: r["slice"]):  # a row for each slice that is over
-            told.append(Row(**dict(zip(RATE_KEY, key, strict=True)), slice=r["slice"], entered_us=accepted, entered_command=command, passed=r["passed"]))
+            told.append(Row(key=key[0], slice=r["slice"], entered_us=accepted, entered_command=command, passed=r["passed"]))
             less = self.is_shell(key) and bool(r["first"]) and r["first"] == command
             upto, out = (r["upto_less"], r["out_less"]) if less else (r["upto"], r["out"])
             i = 0 if accepted is None else int(np.searchsorted(upto, accepted + self.window_us, side="left"))
@@ -128,42 +130,36 @@ class AcceptEvents(Sliced):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         new, entered = [], None
-        for r in rows:
-            if r["is_told"]:
-                entered = (r["entered_us"], r["entered_command"])
-            elif r["forced"]:
-                yield self._event(tuple(r[c] for c in COLUMNS))
-            else:
-                new.append(tuple(r[c] for c in COLUMNS))
+        for run in in_runs(rows):
+            held = [(r["us"], r["seq"], r["command"], r["row"]) for r in run if not r["is_told"] and not r["forced"]]
+            if held:
+                new.append(packed(held))
+            if len(held) < len(run):
+                for r in run:
+                    if r["is_told"]:
+                        entered = (r["entered_us"], r["entered_command"])
+                    elif r["forced"]:
+                        yield EventRow(key[0], r["us"], r["row"])
         if entered is None:
             if new:
                 self.held.appendList(new)
             return
-        held = sorted([*(tuple(r) for r in self.held.get()), *new], key=lambda r: (r[AT], r[SEQ]))
+        held = [*self.held.get(), *new]
         self.held.clear()
-        accepted, command = entered
-        if self.is_shell(key):
-            before = [command, *(r[COMMAND] for r in held)]
-            held = [r for r, c in zip(held, before, strict=False) if not r[COMMAND] or r[COMMAND] != c]
-        if self.window_us:
-            keep, _ = _accepted(np.array([r[AT] for r in held], dtype=np.int64), accepted, self.window_us)
-            held = [held[i] for i in keep]
-        yield from map(self._event, held)
-
-    def _event(self, held: tuple) -> Row:
-        return Row(**dict(zip(COLUMNS[:AT], held, strict=False)), event_time=_time(held[AT]))
+        kept, _ = passing(held, np.ones(len(places(held)[0]), dtype=bool), entered, self.is_shell(key), self.window_us)
+        yield from unpacked(key[0], held, kept)
 
 
 def sliced_limits(rows: DataFrame, s: FilterSettings, mark: str, hold_ms: int, slice_sec: int) -> DataFrame:
-    """Rules R7 and R8 on a stream of event fields, ``agent_id, seq, us, forced`` and ``mark``, which has the watermark."""
+    """Rules R7 and R8 on a stream of ``key, us, seq, command, forced, row`` and ``mark``, which has the watermark; gives ``key, us, row``."""
     settings = (s.rate_limit_window_sec, s.dedupe_bash_history, hold_ms, slice_sec)
     dealt = rows.withColumn("slice", F.floor(F.col("us") / (slice_sec * 1_000_000)).cast("long")).withColumnRenamed(mark, "passed")
-    by_slice = (*RATE_KEY, "slice")
+    by_slice = ("key", "slice")
 
     def through(rows: DataFrame, by: tuple[str, ...], processor: StatefulProcessor, schema: str, column: str = "") -> DataFrame:
         return rows.groupBy(*by).transformWithState(processor, outputStructType=schema, outputMode="append", timeMode="eventTime", eventTimeColumnName=column)
 
     ways = through(dealt.where("not forced").select(*by_slice, "us", "seq", "command", "passed"), by_slice, TellWays(*settings), WAYS, "passed")
-    entered = through(ways, RATE_KEY, FollowWays(*settings), ENTERED, "passed")
+    entered = through(ways, ("key",), FollowWays(*settings), ENTERED, "passed")
     both = dealt.withColumn("is_told", F.lit(False)).unionByName(entered.withColumn("is_told", F.lit(True)), allowMissingColumns=True)
-    return through(both, by_slice, AcceptEvents(*settings), EVENT)
+    return through(both, by_slice, AcceptEvents(*settings), EVENT_ROWS)

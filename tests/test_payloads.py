@@ -3,7 +3,9 @@
 import json
 import time
 
-from logloom.operators.parsers import parse_shell_history
+from pyspark.sql import functions as F
+
+from logloom.operators.parsers import parse_auth, parse_shell_history
 from logloom.sources.documents import insert_payloads
 from logloom.sources.lines import read_lines, stream_lines
 from logloom.streaming.payloads import stream_payloads, write_payloads
@@ -42,3 +44,29 @@ def test_full_interval_and_restart(spark, tmp_path):
     stored = spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(out).orderBy("batch_no").first()["payload"]
     as_stream = json.loads(stored)
     assert json.loads(batch).keys() == as_stream.keys() and json.loads(batch)["data"][0].keys() == as_stream["data"][0].keys()
+
+
+def test_one_agent_spreads_and_equals_batch(spark, tmp_path):
+    """One agent has all rows, over many hours and in files in no order: several tasks make its payloads, and they are those of batch."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    lines = [f"2024-01-{1 + i % 700 // 24:02}T{i % 24:02}:00:{i // 700:02}.{i:06}Z h sudo: pam_unix(sudo:session): session closed for user u{i}\n" for i in range(2100)]
+    for k in range(3):
+        (logs / f"{k}.log").write_text("".join(lines[k::3]))
+    tasks, got = set(), []
+
+    def keep(batch, number):
+        rows = batch.withColumn("task", F.spark_partition_id()).collect()
+        tasks.update(r["task"] for r in rows)
+        got.extend((r["agent_id"], r["batch_no"], r["n"], json.loads(r["payload"])["data"]) for r in rows)
+
+    events = parse_auth(stream_lines(spark, "auth", str(logs), str(tmp_path / "tail"), "h", "me", from_begin=True))
+    query = stream_payloads(events, "mydb", 4, 3600).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(keep).trigger(processingTime="200 milliseconds").start()
+    end = time.time() + 90
+    while len(got) < 525 and time.time() < end:
+        assert query.exception() is None
+        time.sleep(0.3)
+    query.stop()
+    batch = insert_payloads(parse_auth(read_lines(spark, "auth", str(logs), "h", "me")), "mydb", 4).collect()
+    assert sorted(got, key=lambda r: r[1]) == sorted([("me", r["batch_no"], 4, json.loads(r["payload"])["data"]) for r in batch], key=lambda r: r[1])
+    assert len(tasks) > 1

@@ -61,6 +61,8 @@ HOT = 16
 HOT_SHINGLES = 1_000_000
 #: Pairs are listed for groups of up to so many sets.
 BLOCK = 16
+#: Added to what a set needs, where it is of the size class of its group and not of the next lesser one.
+OWN = 1 << 15
 #: So many ids (about 40 bytes each) may go to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 BIN_SETS = 1500
@@ -119,7 +121,7 @@ class Threshold:
         return 100 * shared >= self.percent * union
 
     def signatures(self, s: np.ndarray, hot: np.ndarray):
-        """For the own size class of a set and the next: hashes, and how many of them a linked set shares at least.
+        """For the own size class of a set and the next: hashes, how many of them a linked set shares at least, and whether it is the own.
 
         The number counts groups that are not empty. Where it is 0, the partner's may be
         more, so the groups are named nonetheless; where both have 0, the prefixes meet.
@@ -137,10 +139,10 @@ class Threshold:
             partner = min(self.edges[c + 1] - 1, len(s) * 100 // self.percent)
             need = n - self.differ(len(s) + partner) - int((~held).sum())
             name = np.arange(n, dtype=np.uint64) | np.uint64(c << 48)
-            yield mix((total[cut[1:]] - total[cut[:-1]]) + mix(name))[held], max(need, 0)
+            yield mix((total[cut[1:]] - total[cut[:-1]]) + mix(name))[held], max(need, 0), c == own
             if need < 1:
                 first = len(s) + 1 + (-self.percent * len(s)) // 100  # len - ceil(percent of len) + 1
-                yield mix(np.concatenate([rest, s[common]])[:first] ^ mix(np.array([c], dtype=np.uint64) + _S2)), 1
+                yield mix(np.concatenate([rest, s[common]])[:first] ^ mix(np.array([c], dtype=np.uint64) + _S2)), 1, c == own
 
 
 def _among(s: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -232,10 +234,10 @@ def _candidate_pairs(docs: DataFrame, k: int, threshold: Threshold, hot, buckets
             for row, s in shingle_sets(batch.column(1), k):
                 if not len(s):
                     continue
-                for sig, need in threshold.signatures(s, hot.value):
+                for sig, need, own in threshold.signatures(s, hot.value):
                     hashes.append(sig)
                     owners.append(np.full(len(sig), ids[row]))
-                    needs.append(np.full(len(sig), min(need, 65_535), dtype=np.uint16))
+                    needs.append(np.full(len(sig), min(need, OWN - 1) + OWN * own, dtype=np.uint16))
                     held += len(sig)
                 if held > SENT_AT_ONCE:
                     yield from sent_rows(hashes, owners, needs)
@@ -247,18 +249,19 @@ def _candidate_pairs(docs: DataFrame, k: int, threshold: Threshold, hot, buckets
         a, h, i, need = [], flat("hashes", np.uint64), flat("ids", np.int64), flat("needs", np.uint16).astype(np.int64)
         if len(h):
             order = np.lexsort((i, h))
-            h, i, need = h[order], i[order], need[order]
+            h, i, own, need = h[order], i[order], need[order] >= OWN, need[order] % OWN
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size = np.diff(np.append(start, len(h)))
             place = np.arange(len(h)) - np.repeat(start, size)
             lead, wide = np.repeat(start, size), np.repeat(size, size)
-            star = (place > 0) & (wide > BLOCK)  # large groups are chained
+            star = (place > 0) & (wide > BLOCK) & np.repeat(np.logical_or.reduceat(own, start), size)  # large groups are chained
             a.append(np.stack([i[star], i[lead[star]], np.ones(int(star.sum()), dtype=np.int64), np.zeros(int(star.sum()), dtype=np.int64)]))
             listed = (wide <= BLOCK) & (wide > 1)
             for step in range(1, BLOCK):
                 at = np.flatnonzero(listed & (place + step < wide))
                 if not len(at):
                     break
+                at = at[own[at] | own[at + step]]  # two sets of a lesser size class meet in that one
                 a.append(np.stack([i[at + step], i[at], np.ones(len(at), dtype=np.int64), np.maximum(need[at], need[at + step])]))
         pairs = np.concatenate(a, axis=1) if a else np.zeros((4, 0), dtype=np.int64)
         pairs = pairs[:, pairs[0] != pairs[1]]

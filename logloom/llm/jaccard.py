@@ -68,13 +68,19 @@ BROADCAST_IDS = 400_000
 BIN_SETS = 1500
 #: Groups that a task packs at once.
 SENT_AT_ONCE = 400_000
+#: Shingles of the documents of a bucket of groups, about 100 bytes of Python memory for each of its groups.
+BUCKET_SHINGLES = 500_000
+#: Shingles among which a task counts those met twice or more, at 8 bytes.
+COUNTED_AT_ONCE = 1 << 22
+#: Bytes of text that are hashed at once, at about 50 bytes of Python memory each.
+HASHED_AT_ONCE = 1 << 18
 
 _S1, _S2 = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 
 
 def shingle_sets(column: pa.Array, k: int):
     """Yields ``(row, sorted distinct shingle hashes)`` for every text."""
-    for lo, hi, data, offsets in text_chunks(column):
+    for lo, hi, data, offsets in text_chunks(column, HASHED_AT_ONCE):
         w = words_of(data, offsets, lower=True)
         all_shingles = phrase_hashes(w.hash, k)
         for i in range(hi - lo):
@@ -152,25 +158,46 @@ def _among(s: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == s
 
 
+def _often(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values met twice or more, and how often; ``hashes`` is sorted in place."""
+    hashes.sort()
+    again = np.concatenate([[False], hashes[1:] == hashes[:-1]]) if len(hashes) else np.zeros(0, dtype=bool)
+    start = np.flatnonzero(again & ~np.concatenate([[False], again[:-1]])) - 1
+    end = np.flatnonzero(again & ~np.concatenate([again[1:], [False]])) + 1
+    return hashes[start], end - start
+
+
 def _members(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents, and rows without ``n`` that count (``d2``) the shingles (``d1``) met twice or more in a batch."""
+    """Rows of documents, and rows without ``n`` that count (``d2``) the shingles (``d1``) met twice or more among some of a task."""
     names = ["doc_id", "n", "d1", "d2"]
-    batch_of = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+    batch_of = lambda *columns: pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names)
 
     def run(batches):
+        # Of room that is not filled no memory is taken.
+        room, filled, distinct = np.empty(COUNTED_AT_ONCE, dtype=np.uint64), 0, set()
+
+        def counted(hashes):
+            values, counts = _often(hashes)
+            empty = pa.nulls(len(values), pa.int64())
+            return batch_of(empty, empty, values.view(np.int64), counts)
+
         for batch in batches:
-            n, digests, seen, distinct = [], [], [], set()
+            n, digests = [], []
             for _, s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 digests.append(_digests(s))
-                if digests[-1] not in distinct:  # copies count once
-                    distinct.add(digests[-1])
-                    seen.append(s)
+                if digests[-1] in distinct:  # copies count once
+                    continue
+                if filled + len(s) > len(room):
+                    yield counted(room[:filled])
+                    filled, distinct = 0, set()
+                    if len(s) > len(room):
+                        room = np.empty(len(s), dtype=np.uint64)
+                distinct.add(digests[-1])
+                room[filled : filled + len(s)] = s
+                filled += len(s)
             yield batch_of(batch.column(0), n, [d[0] for d in digests], [d[1] for d in digests])
-            values, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = counts > 1
-            m = int(often.sum())
-            yield batch_of([None] * m, [None] * m, values[often].view(np.int64), counts[often])
+        yield counted(room[:filled])
 
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
@@ -478,7 +505,7 @@ def linked_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     reps = only_representatives(plain.where("doc_id is not null"), classes)
     total = sound.agg(F.sum("n")).collect()[0][0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, total // 2_000_000)
+    buckets = max(parts, total // BUCKET_SHINGLES)
     families = stored(components(_candidate_pairs(reps, k, threshold, hot, buckets)), "families")
     sizes = stored(families.groupBy("label").agg(F.count("*").alias("size")), "sizes")
     large = sizes.where(F.col("size") > REGION).select(F.col("label").alias("region"))

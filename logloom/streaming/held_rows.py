@@ -25,19 +25,19 @@ EventRow = Row("key", "us", "row")
 RUN = 10_000
 
 
-def _squeezed(value) -> bytes:
+def squeezed(value) -> bytes:
     raw = pickle.dumps(value, protocol=5)
     return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _spread(packed: bytes):
+def spread(packed: bytes):
     return pickle.loads(pa.decompress(packed[8:], struct.unpack("<q", packed[:8])[0], codec="zstd", asbytes=True))
 
 
 def packed(rows: list[tuple]) -> tuple[bytes, bytes, bytes]:
     """An element of ``(us, seq, command, row)``; the last may be missing."""
     us, seq, said, *texts = zip(*rows, strict=True)
-    return np.array([us, seq], dtype=np.int64).tobytes(), _squeezed(said), _squeezed(texts[0]) if texts else b""
+    return np.array([us, seq], dtype=np.int64).tobytes(), squeezed(said), squeezed(texts[0]) if texts else b""
 
 
 def in_runs(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
@@ -55,7 +55,7 @@ def places(elements: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
 def commands(elements: list[tuple]) -> np.ndarray:
     """Commands of all rows of elements; equal ones are one object."""
     known: dict[str, str] = {}
-    out = [known.setdefault(c, c) for e in elements for c in _spread(e[1])]
+    out = [known.setdefault(c, c) for e in elements for c in spread(e[1])]
     array = np.empty(len(out), dtype=object)
     array[:] = out
     return array
@@ -90,7 +90,7 @@ def unpacked(key: str, elements: list[tuple], kept: np.ndarray) -> Iterator[Row]
         us = places([e])[0]
         mask, at = kept[at : at + len(us)], at + len(us)
         if mask.any():
-            rows = _spread(e[2])
+            rows = spread(e[2])
             for i in np.flatnonzero(mask).tolist():
                 yield EventRow(key, int(us[i]), rows[i])
 
@@ -104,5 +104,5 @@ def left(elements: list[tuple], stay: np.ndarray) -> Iterator[tuple]:
         if mask.all():
             yield e
         elif mask.any():
-            columns = [us.tolist(), seq.tolist(), _spread(e[1]), *([_spread(e[2])] if e[2] else [])]
+            columns = [us.tolist(), seq.tolist(), spread(e[1]), *([spread(e[2])] if e[2] else [])]
             yield packed([row for row, stays in zip(zip(*columns, strict=True), mask, strict=True) if stays])

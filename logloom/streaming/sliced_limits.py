@@ -9,6 +9,9 @@ last command. So three operators follow each other in the same batch:
    the slices in order and tells each what it is entered with.
 3. :class:`AcceptEvents` holds the events of a key and slice until they are told.
 
+In a query the keys of a bucket (a hash of the key) share these states, as each call goes to the JVM and back: most keys
+have few rows in a slice. :class:`TellBucket`, :class:`FollowBucket` and :class:`AcceptBucket` do the same for all keys of a bucket.
+
 A key with most of the rows is spread over as many tasks as it has slices under way: those of
 the watermark's delay, or of the backlog that a batch catches up on. The rows of one slice are one state, so
 slices should be shorter than the delay.
@@ -25,9 +28,9 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from logloom.operators.filters import RATE_KEY, _ways_through
+from logloom.operators.filters import RATE_KEY, _accepted, _ways_through
 from logloom.schemas import FilterSettings
-from logloom.streaming.held_rows import EVENT_ROWS, HELD, EventRow, commands, in_runs, packed, passing, places, repeats, unpacked
+from logloom.streaming.held_rows import EVENT_ROWS, HELD, EventRow, commands, in_runs, packed, passing, places, repeats, spread, squeezed, unpacked
 
 WAYS = "key string, slice bigint, first string, last string, upto array<bigint>, out array<bigint>, upto_less array<bigint>, out_less array<bigint>, passed timestamp"
 ENTERED = "key string, slice bigint, entered_us bigint, entered_command string, passed timestamp"
@@ -150,16 +153,165 @@ class AcceptEvents(Sliced):
         yield from unpacked(key[0], held, kept)
 
 
+#: Keys are dealt over so many buckets.
+BUCKETS = 16
+BUCKET_WAYS = "bucket long, slice bigint, ways binary, passed timestamp"
+BUCKET_ENTERED = "bucket long, slice bigint, entered binary, passed timestamp"
+
+
+def packed_keys(rows: list[tuple]) -> tuple[bytes, bytes, bytes]:
+    """An element of ``(key, us, seq, command, row)`` of several keys; the last may be missing."""
+    keys, us, seq, said, *texts = zip(*rows, strict=True)
+    codes: dict[str, int] = {}
+    numbers = np.array([codes.setdefault(k, len(codes)) for k in keys], dtype=np.int32)
+    return np.array([us, seq], dtype=np.int64).tobytes(), squeezed((list(codes), numbers, said if any(said) else None)), squeezed(texts[0]) if texts else b""
+
+
+def by_key(elements: list[tuple]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """``key, at, times, commands`` of the keys of elements, in the order of time and ``seq``; ``at`` are places among all rows."""
+    us, seq = places(elements)
+    codes, numbers, said = {}, [], []
+    for e in elements:
+        names, own, commands_ = spread(e[1])
+        numbers.append(np.array([codes.setdefault(k, len(codes)) for k in names], dtype=np.int64)[own])
+        said.append(commands_ or [""] * len(own))
+    if not numbers:
+        return
+    number, some = np.concatenate(numbers), np.empty(len(us), dtype=object)
+    some[:] = [c for each in said for c in each]
+    order = np.lexsort((seq, us, number))
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(number[order])) + 1, [len(order)]])
+    names = list(codes)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[lo:hi]
+        yield names[int(number[at[0]])], at, us[at], some[at]
+
+
+class TellBucket(TellWays):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if not self.rows.exists():
+            self.handle.registerTimer(self.over_ms(int(key[1])))
+        for run in in_runs(rows):
+            self.rows.appendValue(packed_keys([(r["key"], r["us"], r["seq"], r["command"]) for r in run]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held, number = list(self.rows.get()), int(key[1])
+        self.rows.clear()
+        ways = []
+        for name, _, times, said in by_key(held):
+            shell = self.is_shell((name,))
+            if shell:
+                times = times[~repeats(said, None)]
+            ways.append((name, said[0], said[-1], self._ways(times, number), self._ways(times[1:] if shell else times[:0], number)))
+        if ways:
+            # A row must not be behind the watermark, nor on it.
+            yield Row(bucket=key[0], slice=number, ways=squeezed(ways), passed=_time(1000 * (self.over_ms(number) + 1)))
+
+
+class FollowBucket(Sliced):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "keys binary, due_ms bigint")
+
+    def _keep(self, last: dict, had: int | None) -> None:
+        accepted = max((a for a, _ in last.values() if a is not None), default=None)
+        # The accepted time bears on rows within the window, which come when their slice is over.
+        due = None if accepted is None else self.over_ms((accepted + self.window_us) // self.width) + 1
+        if had is not None and had != due:
+            self.handle.deleteTimer(had)
+        if due is not None and had != due:
+            self.handle.registerTimer(due)
+        if last:
+            self.last.update((squeezed(last), due))
+        else:
+            self.last.clear()
+
+    def _without(self, last: dict, passed: int) -> dict:
+        """Without times whose window ends at ``passed`` or before; commands stay."""
+        now = {k: (a if a is not None and a + self.window_us > passed else None, c) for k, (a, c) in last.items()}
+        return {k: v for k, v in now.items() if v != (None, None)}
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.last.get()
+        last, had = (spread(bytes(held[0])), held[1]) if held is not None else ({}, None)
+        for r in sorted(rows, key=lambda r: r["slice"]):  # a row for each slice that is over
+            entered = {}
+            for name, first, final, whole, less in spread(bytes(r["ways"])):
+                accepted, command = last.get(name, (None, None))
+                if (accepted, command) != (None, None):
+                    entered[name] = (accepted, command)
+                shell = self.is_shell((name,))
+                upto, out = less if shell and first and first == command else whole
+                i = 0 if accepted is None else int(np.searchsorted(upto, accepted + self.window_us, side="left"))
+                last[name] = (out[i] if i < len(upto) else accepted, final if shell else None)
+            # Slices to come are later ones.
+            last = self._without(last, (r["slice"] + 1) * self.width)
+            yield Row(bucket=key[0], slice=r["slice"], entered=squeezed(entered), passed=r["passed"])
+        self._keep(last, had)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.last.get()
+        if held is not None and held[1] is not None and held[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            # The due time is that of the last of all accepted times.
+            self._keep({k: (None, c) for k, (_, c) in spread(bytes(held[0])).items() if c is not None}, None)
+        return iter(())
+
+
+class AcceptBucket(Sliced):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", HELD)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new, entered = [], None
+        for run in in_runs(rows):
+            held = []
+            for r in run:
+                if r["entered"] is not None:
+                    entered = spread(bytes(r["entered"]))
+                elif r["forced"]:
+                    yield EventRow(r["key"], r["us"], r["row"])
+                else:
+                    held.append((r["key"], r["us"], r["seq"], r["command"], r["row"]))
+            if held:
+                new.append(packed_keys(held))
+        if entered is None:
+            if new:
+                self.held.appendList(new)
+            return
+        elements = [*self.held.get(), *new]
+        self.held.clear()
+        kept = np.zeros(len(places(elements)[0]), dtype=bool)
+        for name, at, times, said in by_key(elements):
+            accepted, command = entered.get(name, (None, None))
+            if self.is_shell((name,)):
+                fresh = ~repeats(said, command)
+                at, times = at[fresh], times[fresh]
+            if self.window_us:
+                at = at[_accepted(times, accepted, self.window_us)[0]]
+            kept[at] = True
+        start = 0
+        for e in elements:
+            us = places([e])[0]
+            mask, start = kept[start : start + len(us)], start + len(us)
+            if mask.any():
+                names, own, _ = spread(e[1])
+                texts = spread(e[2])
+                for i in np.flatnonzero(mask).tolist():
+                    yield EventRow(names[own[i]], int(us[i]), texts[i])
+
+
 def sliced_limits(rows: DataFrame, s: FilterSettings, mark: str, hold_ms: int, slice_sec: int) -> DataFrame:
     """Rules R7 and R8 on a stream of ``key, us, seq, command, forced, row`` and ``mark``, which has the watermark; gives ``key, us, row``."""
     settings = (s.rate_limit_window_sec, s.dedupe_bash_history, hold_ms, slice_sec)
     dealt = rows.withColumn("slice", F.floor(F.col("us") / (slice_sec * 1_000_000)).cast("long")).withColumnRenamed(mark, "passed")
-    by_slice = ("key", "slice")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("long"))
+    by_slice = ("bucket", "slice")
 
     def through(rows: DataFrame, by: tuple[str, ...], processor: StatefulProcessor, schema: str, column: str = "") -> DataFrame:
         return rows.groupBy(*by).transformWithState(processor, outputStructType=schema, outputMode="append", timeMode="eventTime", eventTimeColumnName=column)
 
-    ways = through(dealt.where("not forced").select(*by_slice, "us", "seq", "command", "passed"), by_slice, TellWays(*settings), WAYS, "passed")
-    entered = through(ways, ("key",), FollowWays(*settings), ENTERED, "passed")
-    both = dealt.withColumn("is_told", F.lit(False)).unionByName(entered.withColumn("is_told", F.lit(True)), allowMissingColumns=True)
-    return through(both, by_slice, AcceptEvents(*settings), EVENT_ROWS)
+    ways = through(dealt.where("not forced").select(*by_slice, "key", "us", "seq", "command", "passed"), by_slice, TellBucket(*settings), BUCKET_WAYS, "passed")
+    entered = through(ways, ("bucket",), FollowBucket(*settings), BUCKET_ENTERED, "passed")
+    both = dealt.withColumn("entered", F.lit(None).cast("binary")).unionByName(entered, allowMissingColumns=True)
+    return through(both, by_slice, AcceptBucket(*settings), EVENT_ROWS)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.operators.query import compile_query, equality_key, implied_filter
-from logloom.storage import numbered
+from logloom.storage import beside, numbered
 
 
 def parse_documents(df: DataFrame, c: str | Column, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -78,7 +78,7 @@ def next_id(docs: DataFrame) -> DataFrame:
 
 def assign_ids(new_docs: DataFrame, start: DataFrame, order_by: tuple[str, ...]) -> DataFrame:
     """Dense ids in the order of ``order_by`` inside each database, from its ``start`` or from 1 where it is new."""
-    rows = numbered(new_docs.drop("_id"), "database", order_by, "_number").join(start, "database", "left")
+    rows = beside(numbered(new_docs.drop("_id"), "database", order_by, "_number"), "database", start)
     return rows.withColumn("_id", (F.col("_number") + F.coalesce("start", F.lit(1))).cast("string")).drop("_number", "start")
 
 

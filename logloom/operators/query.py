@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache, reduce
-from operator import and_, or_
+from operator import and_, eq, gt, lt, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -219,39 +220,67 @@ def _between(column: Column, text: str) -> Column:
 
 def matches(query: Pairs, fields: dict[str, str], doc_id: str | None = None) -> bool:
     """The predicate for one document, for queries that are data and so no column; equal to :func:`compile_query`."""
+    return predicate(query)(fields, doc_id)
+
+
+def predicate(query: Pairs) -> Callable[[dict[str, str], str | None], bool]:
+    """:func:`matches` of a query that many documents are tried on; operands are read once."""
     if not query:
-        return True
+        return lambda fields, doc_id: True
     first, value = query[0]
     if first in ("$or", "$and"):
-        return (any if first == "$or" else all)(matches(q, fields, doc_id) for q in value) and bool(value)
-    return all(_meets(doc_id if name == "_id" else fields.get(name), v) for name, v in query)
+        parts, how = [predicate(q) for q in value], any if first == "$or" else all
+        return lambda fields, doc_id: bool(parts) and how(p(fields, doc_id) for p in parts)
+    tests = [(name, _test(v)) for name, v in query]
+
+    def holds(fields: dict[str, str], doc_id: str | None) -> bool:
+        for name, test in tests:
+            found = doc_id if name == "_id" else fields.get(name)
+            if found is None or not test(found.strip(" \t\n\r")):
+                return False
+        return True
 
+    return holds
 
-def _meets(found: str | None, value) -> bool:
-    if found is None:
-        return False
-    own = found.strip(" \t\n\r")
+
+def _test(value) -> Callable[[str], bool]:
+    """One condition, for a field's trimmed value."""
     if not isinstance(value, Pairs):
         if isinstance(value, list):
-            return own == json.dumps(value)
+            return json.dumps(value).__eq__
         operand = _text(value)
-        return _holds(own, operand, "=") if operand else isinstance(value, str) and own == ""
-    tests = []
+        return _holding(operand, "=") if operand else lambda own: isinstance(value, str) and own == ""
+    tests: list[Callable[[str], bool]] = []
     for name, operand in value:
         if name == "$in":
-            tests.append(any(_holds(own, _text(i), "=") for i in operand))
+            tests.append(_any_of([_holding(_text(i), "=") for i in operand]))
         elif name in ("$eq", "$gt", "$lt", "$like") and (text := _text(operand)):
-            tests.append(_like(text).fullmatch(own) is not None if name == "$like" else _holds(own, text, {"$eq": "=", "$gt": ">", "$lt": "<"}[name]))
-    return bool(tests) and all(tests)
+            tests.append(_fits(_like(text)) if name == "$like" else _holding(text, {"$eq": "=", "$gt": ">", "$lt": "<"}[name]))
+    return tests[0] if len(tests) == 1 else lambda own: bool(tests) and all(t(own) for t in tests)
+
+
+def _any_of(tests: list[Callable[[str], bool]]) -> Callable[[str], bool]:
+    return lambda own: any(t(own) for t in tests)
+
+
+def _fits(pattern: re.Pattern) -> Callable[[str], bool]:
+    return lambda own: pattern.fullmatch(own) is not None
+
+
+def _holding(operand: str, how: str) -> Callable[[str], bool]:
+    """A comparison with ``operand``. Text compares by code points, which is the order of its UTF-8 bytes."""
+    against = {"=": eq, ">": gt, "<": lt}[how]
+    if not _integer(operand):
+        return lambda own: against(own, operand)
+    number = int(operand)
+    fits = INT_MIN <= number <= INT_MAX
 
+    def holds(own: str) -> bool:
+        if not _integer(own):
+            return against(own, operand)
+        return fits and INT_MIN <= (n := int(own)) <= INT_MAX and against(n, number)
 
-def _holds(own: str, operand: str, how: str) -> bool:
-    a, b = own.encode(), operand.encode()
-    if _integer(operand) and _integer(own):
-        a, b = int(own), int(operand)
-        if not (INT_MIN <= a <= INT_MAX and INT_MIN <= b <= INT_MAX):
-            return False
-    return a == b if how == "=" else a > b if how == ">" else a < b
+    return holds
 
 
 @lru_cache(maxsize=1000)

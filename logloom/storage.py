@@ -63,6 +63,16 @@ def _beside_parts(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(parts) if few else parts.hint("merge"), on).drop("_p", "_key")
 
 
+def beside(rows: DataFrame, key: str, about: DataFrame) -> DataFrame:
+    """``rows`` with what ``about`` holds for their key, NULL where it holds nothing; ``about`` has one row a key.
+
+    Few go to every executor, so rows stay where they are: dealt by key, a key with most rows would be in one task.
+    """
+    about = stored(about, "about")
+    few = about.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(about) if few else about, key, "left")
+
+
 def numbered(rows: DataFrame, key: str, order_by: tuple[str, ...], number: str) -> DataFrame:
     """``rows`` with a dense ``number`` from 0 inside each ``key``, in the order of ``order_by``.
 

@@ -3,7 +3,11 @@
 import json
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from logloom.operators import requests as rq
+from logloom.operators.documents import assign_ids, next_id
 from logloom.operators.query import checked, matches, parsed_query
 
 REQUEST = "seq long, database string, operation string, data string, query string"
@@ -84,3 +88,22 @@ def test_edges(spark):
     assert replayed(spark, [], [("a", "1", {"k": "v"})])[2] == [("a", "1", (("k", "v"),))]
     hot = [(i, "a", ("insert", "find", "find", "delete")[i % 4 if i % 40 == 3 or i % 4 < 3 else 1], '{"k":"v"}' if i % 4 == 0 else "", "{}") for i in range(400)]
     assert replayed(spark, hot, []) == one_by_one(hot, [])  # one query that nearly all ask
+
+
+def test_inserts_of_a_database_stay_spread(spark):
+    """Ids are given where rows are: dealt by database to meet its first id, all rows of one would be in one task."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        new = spark.range(0, 4000, 1, 4).select(F.lit("a").alias("database"), F.create_map(F.lit("u"), F.col("id").cast("string")).alias("fields"), F.col("id").alias("at"))
+        made = assign_ids(new, next_id(spark.createDataFrame([], DOC)), ("at",))
+        in_parts = made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.max("_id")).collect()
+        assert len(in_parts) > 1 and max(r["count"] for r in in_parts) < 3000
+        assert sorted(int(r["_id"]) - r["at"] for r in made.collect()) == [1] * 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_maps_of_a_cut_batch():
+    maps = [{"a": "1", "b": None}, {}, {"c": "+2"}, {"a": ""}]
+    column = pa.array([list(m.items()) for m in maps], pa.map_(pa.string(), pa.string()))
+    assert list(rq._maps(column)) == maps and list(rq._maps(column.slice(1, 2))) == maps[1:3] and list(rq._maps(column.slice(0, 0))) == []

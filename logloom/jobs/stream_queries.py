@@ -136,14 +136,21 @@ def streamed_dedupe(s: SparkSession, d: str) -> DataFrame:
 
 
 def _until(query, done: Callable[[], bool], seconds: float = 300) -> None:
-    """Lets a stream that never ends run until ``done``."""
-    end = time.time() + seconds
+    """Lets a stream that never ends run until ``done``. A batch may take as long as it needs; batches without new rows for ``seconds`` are an error."""
+    seen = idle_since = None
     try:
         while not done():
             if query.exception():
                 raise query.exception()
-            if time.time() > end:
-                raise TimeoutError("the stream did not get there")
+            last = query.lastProgress
+            if last and (last["batchId"], last["timestamp"]) != seen:  # a batch has ended
+                seen = last["batchId"], last["timestamp"]
+                if any(s["startOffset"] != s["endOffset"] for s in last["sources"]):
+                    idle_since = None
+                elif idle_since is None:
+                    idle_since = time.time()
+                elif time.time() > idle_since + seconds and not done():
+                    raise TimeoutError("the stream did not get there")
             time.sleep(0.3)
     finally:
         for _ in range(100):  # not in the middle of a batch, if that can be helped

@@ -18,6 +18,7 @@ As a stream's plan is not shared, rows are read twice, once only to count.
 from __future__ import annotations
 
 import json
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.sources.documents import event_document
+from logloom.storage import session_dir
 from logloom.tables import DocumentTable
 
 PAYLOAD = "agent_id string, batch_no bigint, n int, payload string"
@@ -171,13 +173,18 @@ def insert_into_table(payloads: DataFrame, root: str, checkpoint: str, name: str
     """Inserts the documents of payloads into the :class:`logloom.tables.DocumentTable` at ``root``, one commit a micro-batch.
 
     A micro-batch is committed under ``name`` and its number, so one that is run again after a failure inserts nothing twice. Ids go by
-    agent, payload and place.
+    agent, payload and place. The plan of a micro-batch, with its state, is run once: its documents are written to a folder of the
+    session, which the next one overwrites.
     """
+    held = f"{session_dir(payloads.sparkSession)}/{uuid.uuid4().hex}/lists"
 
     def insert(batch: DataFrame, number: int) -> None:
         request = F.from_json("payload", "database string, data array<map<string,string>>")
-        rows = batch.select("agent_id", "batch_no", request.alias("r")).select("agent_id", "batch_no", "r.database", F.posexplode("r.data").alias("place", "fields"))
-        if not batch.isEmpty():
-            DocumentTable(batch.sparkSession, root, indexed).insert(rows, ("agent_id", "batch_no", "place"), (name, number))
+        rows = batch.select("agent_id", "batch_no", request.alias("r")).select("agent_id", "batch_no", "r.database", F.filter("r.data", lambda f: f.isNotNull()).alias("fields"))
+        rows = rows.withColumn("n", F.size("fields"))
+        rows.write.mode("overwrite").parquet(held)
+        lists = batch.sparkSession.read.schema(rows.schema).parquet(held)
+        if not lists.isEmpty():
+            DocumentTable(batch.sparkSession, root, indexed).insert_lists(lists, ("agent_id", "batch_no"), (name, number))
 
     return payloads.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(insert).trigger(processingTime=trigger).start()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from logloom.operators.query import compile_query, equality_key, equal_values
 from logloom.sources.tail import local
-from logloom.storage import numbered, stored
+from logloom.storage import BROADCAST_ROWS, numbered, running_sum, stored
 
 DOCUMENTS = "database string, _id string, fields map<string,string>"
 DATA = f"commit string, {DOCUMENTS}"
@@ -230,22 +230,48 @@ class DocumentTable:
         Rows without fields are rejected. ``txn`` is an application and a number that grows: what was committed under it is not
         done again. An id is never given twice, also after a delete.
         """
+
+        def number() -> tuple[DataFrame, dict[str, int]]:
+            rows = stored(numbered(new_docs.where("fields is not null").drop("_id"), "database", order_by, "_number").select("database", "fields", "_number"), "numbered")
+            return rows, {r[0]: r[1] for r in rows.groupBy("database").count().collect()}  # one row a database
+
+        return self._insert(number, txn)
+
+    def insert_lists(self, lists: DataFrame, order_by: tuple[str, ...], txn: tuple[str, int] | None = None) -> int:
+        """As :meth:`insert`, of rows that hold many documents each: ``database``, ``fields``, an array of ``n``, and the columns of ``order_by``.
+
+        Only the lengths of lists are numbered; documents are not sorted. ``order_by`` tells the lists of a database apart, and
+        ``lists`` is read more than once, so it should be a table.
+        """
+
+        def number() -> tuple[DataFrame, dict[str, int]]:
+            ends = stored(running_sum(lists.where("n > 0").select("database", *order_by, F.col("n").cast("long").alias("_n")), "database", order_by, "_n", "_upto"), "ends")
+            few = ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+            places = ends.select("database", *order_by, (F.col("_upto") - F.col("_n")).alias("_before"))
+            rows = lists.join(F.broadcast(places) if few else places, ["database", *order_by])
+            rows = rows.select("database", "_before", F.posexplode("fields").alias("_place", "fields")).select("database", "fields", (F.col("_before") + F.col("_place")).alias("_number"))
+            return rows, {r[0]: r[1] for r in ends.groupBy("database").agg(F.max("_upto")).collect()}  # one row a database
+
+        return self._insert(number, txn)
+
+    def _insert(self, number: Callable[[], tuple[DataFrame, dict[str, int]]], txn: tuple[str, int] | None) -> int:
+        """Inserts what ``number`` tells: ``database, fields, _number``, dense from 0 inside a database, and how many each database gets."""
         rows = None
+        counts: dict[str, int] = {}
         done: dict = {}
 
         def work(snap: Snapshot) -> int:
-            nonlocal rows
+            nonlocal rows, counts
             if rows is None:  # numbered once, whatever other writers do
-                rows = stored(numbered(new_docs.where("fields is not null").drop("_id"), "database", order_by, "_number").select("database", "fields", "_number"), "numbered")
+                rows, counts = number()
             if not done or any(snap.next_id.get(d, 1) != n for d, n in done["start"].items()):
-                counts = {r[0]: r[1] for r in rows.groupBy("database").count().collect()} if not done else done["counts"]  # one row a database
                 start = {d: snap.next_id.get(d, 1) for d in counts}
                 given = self.spark.createDataFrame(sorted(start.items()), "database string, _start long") if start else None
                 ids = rows.join(F.broadcast(given), "database").withColumn("_id", (F.col("_number") + F.col("_start")).cast("string")) if start else None
-                done.update(start=start, counts=counts, added=self._write(ids, snap.indexed) if start else {})
-            total = sum(done["counts"].values())
+                done.update(start=start, added=self._write(ids, snap.indexed) if start else {})
+            total = sum(counts.values())
             if total or txn:
-                self._commit(snap, done["added"], [], {d: done["start"][d] + n for d, n in done["counts"].items()}, txn, total)
+                self._commit(snap, done["added"], [], {d: done["start"][d] + n for d, n in counts.items()}, txn, total)
             return total
 
         return self._attempt(txn, work)

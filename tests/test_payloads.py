@@ -3,12 +3,15 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from logloom.jobs.stream_queries import _until
 from logloom.operators.parsers import parse_auth, parse_shell_history
 from logloom.sources.documents import insert_payloads
 from logloom.sources.lines import read_lines, stream_lines
-from logloom.streaming.payloads import stream_payloads, write_payloads
+from logloom.streaming.payloads import insert_into_table, stream_payloads, write_payloads
+from logloom.tables import DocumentTable
 
 SCHEMA = "agent_id string, batch_no bigint, n int, payload string"
 
@@ -70,3 +73,55 @@ def test_one_agent_spreads_and_equals_batch(spark, tmp_path):
     batch = insert_payloads(parse_auth(read_lines(spark, "auth", str(logs), "h", "me")), "mydb", 4).collect()
     assert sorted(got, key=lambda r: r[1]) == sorted([("me", r["batch_no"], 4, json.loads(r["payload"])["data"]) for r in batch], key=lambda r: r[1])
     assert len(tasks) > 1
+
+
+def test_a_batch_runs_once_and_is_inserted_in_order(spark, tmp_path):
+    """What makes the payloads of a micro-batch is run once, and ids go by agent, payload and place."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    def payload(agent, number, n):
+        return (agent, number, n, json.dumps({"database": "mydb", "operation": "insert", "data": [{"at": f"{agent}{number}.{i}"} for i in range(n)], "query": {}}))
+
+    payloads = [payload(a, b, 3 - b) for b in (2, 0, 1) for a in ("y", "x")]
+    spark.createDataFrame(payloads, SCHEMA).repartition(3).write.json(str(tmp_path / "in"))
+    query = insert_into_table(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in")).mapInArrow(counted, SCHEMA), str(tmp_path / "table"), str(tmp_path / "ck"), "t", "100 milliseconds")
+    table, end = DocumentTable(spark, str(tmp_path / "table")), time.time() + 60
+    while not table.snapshot().files and time.time() < end:
+        assert query.exception() is None
+        time.sleep(0.2)
+    query.stop()
+    got = sorted((int(r["_id"]), r["fields"]["at"]) for r in table.read("mydb").collect())
+    assert got == list(enumerate([f"{a}{b}.{i}" for a in "xy" for b in range(3) for i in range(3 - b)], 1))
+    assert made.value == len(payloads)
+
+
+class _Stream:
+    """A query whose first batch takes ``took`` seconds, and whose others bring nothing."""
+
+    isActive, status = False, {"isTriggerActive": False}
+
+    def __init__(self, took):
+        self.end = time.time() + took
+
+    def exception(self):
+        return None
+
+    @property
+    def lastProgress(self):
+        now = time.time()
+        return None if now < self.end else {"batchId": int(now * 10), "timestamp": str(now), "sources": [{"startOffset": "1", "endOffset": "1"}]}
+
+    def stop(self):
+        pass
+
+
+def test_a_long_batch_is_waited_for():
+    query = _Stream(2)
+    _until(query, lambda: time.time() > query.end, 0.5)
+    with pytest.raises(TimeoutError):
+        _until(_Stream(0), lambda: False, 0.5)

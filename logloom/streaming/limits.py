@@ -115,14 +115,14 @@ def stream_limits(events: DataFrame, s: FilterSettings, delay: str | None = "10
         return events.select(*COLUMNS)
     if slice_sec and not delay:
         raise ValueError("slices read their events twice, so no stateful operator may come before")
-    rows = events.withWatermark(mark, delay) if delay else events
+    rows = events.withWatermark(mark, delay) if delay and not slice_sec else events
     # Fields of the key may be missing; they are one value then, as in batch. All else of a row is one text, which Python only carries.
     named = rows.select(
         F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in RATE_KEY])).alias("key"), F.unix_micros("event_time").alias("us"), F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("command", F.lit("")).alias("command"),
         is_forced(s).alias("forced"), F.to_json(F.struct(*[F.coalesce(c, F.lit("")).alias(c) if c in EVENT_FIELDS else F.col(c) for c in REST])).alias("row"), mark,
     )
     if slice_sec:
-        return _events(sliced_limits(named, s, mark, millis(hold), slice_sec))
+        return _events(sliced_limits(named, s, mark, delay, millis(hold), slice_sec))
     processor = LimitEvents(s.rate_limit_window_sec, s.dedupe_bash_history, millis(hold))
     return _events(named.groupBy("key").transformWithState(processor, outputStructType=EVENT_ROWS, outputMode="append", timeMode="eventTime"))
 

@@ -11,6 +11,8 @@ last command. So three operators follow each other in the same batch:
 
 In a query the keys of a bucket (a hash of the key) share these states, as each call goes to the JVM and back: most keys
 have few rows in a slice. :class:`TellBucket`, :class:`FollowBucket` and :class:`AcceptBucket` do the same for all keys of a bucket.
+Rows come to them, and leave them, packed (:func:`_packing`, :func:`_unpacking`): a row of Spark is up to 20,000 events of a bucket and
+slice, as Python gets and gives each row of a stateful operator by itself. A run of events is late when all of it is.
 
 A key with most of the rows is spread over as many tasks as it has slices under way: those of
 the watermark's delay, or of the backlog that a batch catches up on. The rows of one slice are one state, so
@@ -22,8 +24,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -275,9 +279,14 @@ class AcceptBucket(Sliced):
                     held.append((r["key"], r["us"], r["seq"], r["command"], r["row"]))
             if held:
                 new.append(packed_keys(held))
+        for keys, us, texts in self._kept(new, entered):
+            yield from map(EventRow, keys, us, texts)
+
+    def _kept(self, new: list[tuple], entered: dict | None) -> Iterator[tuple[list, list, list]]:
+        """Keys, times and texts of what is accepted, by element; without ``entered`` the new elements are held."""
         if entered is None:
-            if new:
-                self.held.appendList(new)
+            for lo in range(0, len(new), APPENDED):
+                self.held.appendList(new[lo : lo + APPENDED])
             return
         elements = [*self.held.get(), *new]
         self.held.clear()
@@ -295,23 +304,115 @@ class AcceptBucket(Sliced):
             us = places([e])[0]
             mask, start = kept[start : start + len(us)], start + len(us)
             if mask.any():
-                names, own, _ = spread(e[1])
-                texts = spread(e[2])
-                for i in np.flatnonzero(mask).tolist():
-                    yield EventRow(names[own[i]], int(us[i]), texts[i])
+                yield _texts(e, mask)
+
+
+def _texts(element: tuple, mask: np.ndarray) -> tuple[list, list, list]:
+    at = np.flatnonzero(mask).tolist()
+    us, (names, own, _), texts = places([element])[0], spread(element[1]), spread(element[2])
+    return [names[own[i]] for i in at], us[at].tolist(), [texts[i] for i in at]
+
+
+#: Events that are packed at a time, and elements that go to a state at a time.
+PACKED_ROWS = 20_000
+APPENDED = 32
+PACKED = "bucket long, slice bigint, forced boolean, places binary, keys binary, rows binary, passed timestamp"
+
+
+def _elements(t: pa.Table) -> pa.RecordBatch:
+    """The rows of a table as one element for each bucket, slice and whether they are forced."""
+    if t["us"].null_count:
+        raise ValueError("events without event_time have no slice")
+    group = [t[c].to_numpy() for c in ("forced", "slice", "bucket")]
+    order = np.lexsort(group)  # stable
+    t = t.take(pa.array(order))
+    forced, slices, buckets = (g[order] for g in group)
+    change = (np.diff(buckets) != 0) | (np.diff(slices) != 0) | (np.diff(forced.astype(np.int8)) != 0)
+    cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [t.num_rows]])
+    us, seq, passed = t["us"].to_numpy(), t["seq"].to_numpy(), t["passed"].cast(pa.int64()).to_numpy()
+    keys, said = (t[c].combine_chunks().dictionary_encode() for c in ("key", "command"))
+    names, codes = keys.dictionary.to_pylist(), keys.indices.to_numpy()
+    commands_ = np.array([*said.dictionary.to_pylist(), None], dtype=object)[:-1][said.indices.to_numpy()]  # equal ones are one object
+    texts = t["row"].to_pylist() if "row" in t.column_names else None
+    out = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own, numbers = np.unique(codes[lo:hi], return_inverse=True)
+        commands_of = commands_[lo:hi].tolist()
+        about = squeezed(([names[i] for i in own], numbers.astype(np.int32), commands_of if any(commands_of) else None))
+        out.append((np.array([us[lo:hi], seq[lo:hi]], dtype=np.int64).tobytes(), about, squeezed(texts[lo:hi]) if texts else b""))
+    at = pa.array(cuts[:-1])
+    three = [pa.array(c, pa.binary()) for c in zip(*out, strict=True)]
+    latest = pa.array(np.maximum.reduceat(passed, cuts[:-1])).cast(pa.timestamp("us", "UTC"))
+    return pa.RecordBatch.from_arrays([*(t[c].combine_chunks().take(at) for c in ("bucket", "slice", "forced")), *three, latest], [f.split()[0] for f in PACKED.split(", ")])
+
+
+def _packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs runs of exactly so many rows, so that the two readings of the events have the same elements, however Arrow's batches are cut."""
+    held, n = [], 0
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            part = b.slice(at, PACKED_ROWS - n)
+            held.append(part)
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == PACKED_ROWS:
+                yield _elements(pa.Table.from_batches(held))
+                held, n = [], 0
+    if n:
+        yield _elements(pa.Table.from_batches(held))
+
+
+def _unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for element in b.column("rows"):
+            keys, us, texts = spread(element.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(us, pa.int64()), pa.array(texts, pa.string())], ["key", "us", "row"])
+
+
+class TellPacked(TellBucket):
+    """Of elements in place of rows."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if not self.rows.exists():
+            self.handle.registerTimer(self.over_ms(int(key[1])))
+        while some := [(bytes(r["places"]), bytes(r["keys"]), b"") for r in islice(rows, APPENDED)]:
+            self.rows.appendList(some)
+        return iter(())
+
+
+class AcceptPacked(AcceptBucket):
+    """Of elements in place of rows; gives accepted ones packed, too."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new, entered = [], None
+        for r in rows:
+            if r["entered"] is not None:
+                entered = spread(bytes(r["entered"]))
+                continue
+            element = (bytes(r["places"]), bytes(r["keys"]), bytes(r["rows"]))
+            if r["forced"]:
+                yield Row(rows=squeezed(_texts(element, np.ones(len(places([element])[0]), dtype=bool))))
+            else:
+                new.append(element)
+        for kept in self._kept(new, entered):
+            yield Row(rows=squeezed(kept))
 
 
-def sliced_limits(rows: DataFrame, s: FilterSettings, mark: str, hold_ms: int, slice_sec: int) -> DataFrame:
-    """Rules R7 and R8 on a stream of ``key, us, seq, command, forced, row`` and ``mark``, which has the watermark; gives ``key, us, row``."""
+def sliced_limits(rows: DataFrame, s: FilterSettings, mark: str, delay: str, hold_ms: int, slice_sec: int) -> DataFrame:
+    """Rules R7 and R8 on a stream of ``key, us, seq, command, forced, row`` and ``mark``, which gets a watermark of ``delay``; gives ``key, us, row``."""
     settings = (s.rate_limit_window_sec, s.dedupe_bash_history, hold_ms, slice_sec)
     dealt = rows.withColumn("slice", F.floor(F.col("us") / (slice_sec * 1_000_000)).cast("long")).withColumnRenamed(mark, "passed")
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("long"))
     by_slice = ("bucket", "slice")
 
+    def elements(rows: DataFrame) -> DataFrame:
+        # The latest time of an element has the watermark, so the watermark is that of the rows.
+        return rows.mapInArrow(_packing, PACKED).withWatermark("passed", delay)
+
     def through(rows: DataFrame, by: tuple[str, ...], processor: StatefulProcessor, schema: str, column: str = "") -> DataFrame:
         return rows.groupBy(*by).transformWithState(processor, outputStructType=schema, outputMode="append", timeMode="eventTime", eventTimeColumnName=column)
 
-    ways = through(dealt.where("not forced").select(*by_slice, "key", "us", "seq", "command", "passed"), by_slice, TellBucket(*settings), BUCKET_WAYS, "passed")
+    ways = through(elements(dealt.drop("row")).where("not forced").drop("forced", "rows"), by_slice, TellPacked(*settings), BUCKET_WAYS, "passed")
     entered = through(ways, ("bucket",), FollowBucket(*settings), BUCKET_ENTERED, "passed")
-    both = dealt.withColumn("entered", F.lit(None).cast("binary")).unionByName(entered, allowMissingColumns=True)
-    return through(both, by_slice, AcceptBucket(*settings), EVENT_ROWS)
+    both = elements(dealt).withColumn("entered", F.lit(None).cast("binary")).unionByName(entered, allowMissingColumns=True)
+    return through(both, by_slice, AcceptPacked(*settings), "rows binary").mapInArrow(_unpacking, EVENT_ROWS)

@@ -25,13 +25,20 @@ EventRow = Row("key", "us", "row")
 RUN = 10_000
 
 
+#: Fewer bytes are not compressed; their length is given as -1.
+SMALL = 1024
+
+
 def squeezed(value) -> bytes:
     raw = pickle.dumps(value, protocol=5)
+    if len(raw) < SMALL:
+        return struct.pack("<q", -1) + raw
     return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def spread(packed: bytes):
-    return pickle.loads(pa.decompress(packed[8:], struct.unpack("<q", packed[:8])[0], codec="zstd", asbytes=True))
+    n = struct.unpack("<q", packed[:8])[0]
+    return pickle.loads(packed[8:] if n < 0 else pa.decompress(packed[8:], n, codec="zstd", asbytes=True))
 
 
 def packed(rows: list[tuple]) -> tuple[bytes, bytes, bytes]:

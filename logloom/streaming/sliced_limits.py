@@ -394,8 +394,15 @@ class AcceptPacked(AcceptBucket):
                 yield Row(rows=squeezed(_texts(element, np.ones(len(places([element])[0]), dtype=bool))))
             else:
                 new.append(element)
+        out: tuple[list, list, list] = [], [], []
         for kept in self._kept(new, entered):
-            yield Row(rows=squeezed(kept))
+            for column, more in zip(out, kept, strict=True):
+                column += more
+            if len(out[0]) >= PACKED_ROWS:
+                yield Row(rows=squeezed(out))
+                out = [], [], []
+        if out[0]:
+            yield Row(rows=squeezed(out))
 
 
 def sliced_limits(rows: DataFrame, s: FilterSettings, mark: str, delay: str, hold_ms: int, slice_sec: int) -> DataFrame:
